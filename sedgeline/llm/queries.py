@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sedgeline.llm import mixing, sharding
+from sedgeline.llm import decontamination, line_dedup, mixing, sharding
 from sedgeline.llm.common import documents
 
 
@@ -12,16 +13,76 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir)).select("doc_id", "source", "slot", "shard")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    bitmaps = line_dedup.keep_bitmaps(docs, policy=line_dedup.FREQUENT, min_docs=10, min_chars=1)
+    kept = line_dedup.apply_bitmaps(docs, bitmaps)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.contamination(documents(spark, sf_dir), benchmark, n=10)
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_line_dedup": op3_line_dedup,
+    "op7_decontamination": op7_decontamination,
     "op10_mixing": op10_mixing,
 }
 
 SQL = {
+    "op3_line_dedup": r"""
+with numbered as (
+  select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
+), lines as (
+  select row, doc_id, unnest(range(1, len(lines) + 1)) as pos, unnest(lines) as line from numbered
+), keyed as (
+  select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines
+), frequent as (
+  select key from keyed where length(key) >= 1 group by key having count(distinct row) >= 10
+), marked as (
+  select k.*, f.key is not null as gone from keyed k left join frequent f on k.key = f.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by row, doc_id
+""",
+    "op7_decontamination": r"""
+with doc_words as (
+  select row_number() over () as row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents
+), item_words as (
+  select item_id::varchar as item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from benchmark
+), item_windows as (
+  select distinct item, array_to_string(words[i : i + 9], ' ') as win, least(len(words), 10) as size
+  from (select item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as i from item_words where len(words) > 0)
+), sizes as (
+  select distinct size from item_windows
+), doc_windows as (
+  select row, start, size, array_to_string(words[start : start + size - 1], ' ') as win
+  from (select row, words, size, unnest(range(1, len(words) - size + 2)) as start from doc_words cross join sizes where len(words) >= size)
+), hits as (
+  select d.row, d.start, d.size, w.item from doc_windows d join item_windows w on d.win = w.win and d.size = w.size
+), covered as (
+  select row, count(distinct pos) as n_hit from (select row, unnest(range(start, start + size)) as pos from (select distinct row, start, size from hits)) group by row
+), found as (
+  select row, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hits group by row
+)
+select d.doc_id, len(d.words)::bigint as n_words, coalesce(c.n_hit, 0)::bigint as n_hit, coalesce(f.n_items, 0)::bigint as n_items,
+       sha256(coalesce(f.items, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
+from doc_words d left join covered c on d.row = c.row left join found f on d.row = f.row
+""",
     "op10_mixing": r"""
 with sizes as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
