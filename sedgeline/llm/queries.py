@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgeline.llm import decontamination, line_dedup, mixing, sharding
+from sedgeline.llm import decontamination, language_id, line_dedup, mixing, order_minhash, sharding
 from sedgeline.llm.common import documents
 
 
@@ -20,6 +20,26 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3, F.lit(0))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (remainder == 1).alias("held_out"))
+    model = language_id.train(docs.filter(~F.col("held_out")))
+    return language_id.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.fingerprints(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.as_text(F.col("signature")).alias("fingerprint"),
+        order_minhash.as_text(F.col("edited_signature")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        order_minhash.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.contamination(documents(spark, sf_dir), benchmark, n=10)
@@ -34,6 +54,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_order_minhash": op6_order_minhash,
     "op7_decontamination": op7_decontamination,
     "op10_mixing": op10_mixing,
 }
