@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgeline.llm import decontamination, language_id, line_dedup, mixing, order_minhash, sharding
+from sedgeline.llm import decontamination, jaccard_join, language_id, line_dedup, mixing, order_minhash, sharding
 from sedgeline.llm.common import documents
 
 
@@ -20,6 +20,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.link_components(documents(spark, sf_dir), n=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3, F.lit(0))
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (remainder == 1).alias("held_out"))
@@ -54,6 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_language_id": op5_language_id,
     "op6_order_minhash": op6_order_minhash,
     "op7_decontamination": op7_decontamination,
