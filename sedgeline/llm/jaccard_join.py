@@ -10,8 +10,8 @@ meet pass a test of the Hamming distance of short sketches and are then verified
 
 Blocks are carried as packed numpy arrays, one per slice of documents and target partition. Sets that
 are equal are one class throughout. A bucket of many classes isn't expanded into pairs: its members
-are compared with hubs, and those that are in one component by then are done; hubs double in each
-round until every bucket is done, so no link that matters for a component is lost.
+are compared with hubs, and those that are in one component by then are done. Rounds go on until every
+bucket is done, so no link that matters for a component is lost.
 
 Results for odd input: a null or empty text, or one without words, has an empty set and links with
 nothing. Fewer words than n are one shingle. Rows without doc_id take part in links, but name no
@@ -35,6 +35,8 @@ from sedgeline.llm.components import components
 SKETCH_BITS = 512
 #: Buckets of up to so many classes are compared pair by pair at once, larger ones by hubs in rounds.
 SMALL_BUCKET = 24
+#: Members of a large bucket that are compared with all others of it in the first round.
+HUBS = 64
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -295,31 +297,36 @@ def _with_sketches(whole: DataFrame, texts: DataFrame, pairs: DataFrame, met: Da
 def _finish_large(met: DataFrame, classes: DataFrame, texts: DataFrame, links: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links and components when every large bucket is done.
 
-    A bucket is done when all pairs of its members are compared or in one component. Each round takes
-    up to 2^round hubs of different components in a bucket, compares them with the members of other
-    components, and takes them out of the bucket.
+    A bucket is done when all pairs of its members are compared or in one component. Members outside
+    the bucket's largest component become hubs: they are compared with all members of other
+    components and then taken out. All of them at once, if they are few; else so many of them in a
+    round, at random, twice as many in each next one.
     """
-    named = met.filter(F.col("bucket").isNotNull()).join(classes.select(F.col("d1").alias("a"), "name"), "a").select("bucket", "name", F.col("a").alias("d1"))
-    # The first hub of each bucket, its least member in the order of numpy's unsigned names, is compared already; it does no harm again.
-    rest, round_number = cut(named), 1
-    groups = cut(components(links))
-    while True:
+    named = met.filter(F.col("bucket").isNotNull()).join(classes.select(F.col("d1").alias("a"), "name"), "a")
+    rest, groups, width = cut(named.select("bucket", "name", F.col("a").alias("d1"))), cut(components(links)), HUBS
+    while not rest.isEmpty():
         labels = groups.select(F.col("node").alias("name"), "component")
         labelled = rest.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        open_rows = cut(labelled.join(mixed.select("bucket"), "bucket", "left_semi"))
-        if open_rows.isEmpty():
-            return links, groups
-        cell = F.pmod(F.xxhash64("component", F.lit(round_number)), F.lit(1 << round_number))
-        hubs = open_rows.groupBy("bucket", cell.alias("cell")).agg(F.min(F.struct("component", "name", "d1")).alias("hub"))
-        hubs = cut(hubs.select("bucket", F.col("hub.component").alias("h_component"), F.col("hub.name").alias("h_name"), F.col("hub.d1").alias("h_d1")))
+        sizes = labelled.groupBy("bucket", "component").count()
+        largest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("parts"))
+        mixed = largest.filter("parts > 1").select("bucket", F.col("top.component").alias("main"), (F.col("all") - F.col("top.count")).alias("outside"))
+        open_rows = cut(labelled.join(mixed, "bucket"))
+        outside = open_rows.filter("component != main")
+        chosen = (F.col("outside") <= width) | (F.pmod(F.xxhash64("name", F.lit(width)), F.col("outside")) < width)
+        hubs = cut(outside.filter(chosen).select("bucket", F.col("component").alias("h_component"), F.col("name").alias("h_name"), F.col("d1").alias("h_d1")))
         against = open_rows.join(hubs, "bucket").filter(F.col("component") != F.col("h_component"))
         pairs = against.select(F.least("d1", "h_d1").alias("a"), F.greatest("d1", "h_d1").alias("b")).distinct()
-        links = cut(links.unionByName(_verify(classes, texts, pairs, n, percent)).distinct())
-        groups = cut(components(links))
+        found = cut(_verify(classes, texts, pairs, n, percent))
+        if not found.isEmpty():
+            links = cut(links.unionByName(found).distinct())
+            groups = cut(components(links))
         done = hubs.select("bucket", F.col("h_name").alias("name"))
         rest = cut(open_rows.select("bucket", "name", "d1").join(done, ["bucket", "name"], "left_anti"))
-        round_number += 1
+        width *= 2
+        if open_rows.filter(f"outside > {width // 2}").isEmpty():
+            # Every member outside was a hub: what is left of each bucket is one component.
+            break
+    return links, groups
 
 
 def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
