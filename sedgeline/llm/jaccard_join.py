@@ -9,9 +9,9 @@ given weight sends only those: one of them is unspoiled, and so as heavy in the
 meet pass a test of the Hamming distance of short sketches and are then verified exactly.
 
 Blocks are carried as packed numpy arrays, one per slice of documents and target partition. Sets that
-are equal are one class throughout. A bucket of many classes isn't expanded into pairs: its members
-are compared with hubs, and those that are in one component by then are done. Rounds go on until every
-bucket is done, so no link that matters for a component is lost.
+are equal are one class throughout. A bucket of many classes isn't expanded into pairs: its members are
+linked with one of them, and then the sketches of members that are not in one component yet are
+compared in tiles inside the tasks, so that every pair is looked at but only what may link is a row.
 
 Results for odd input: a null or empty text, or one without words, has an empty set and links with
 nothing. Fewer words than n are one shingle. Rows without doc_id take part in links, but name no
@@ -35,8 +35,8 @@ from sedgeline.llm.components import components
 SKETCH_BITS = 512
 #: Buckets of up to so many classes are compared pair by pair at once, larger ones by hubs in rounds.
 SMALL_BUCKET = 24
-#: Members of a large bucket that are compared with all others of it in the first round.
-HUBS = 64
+#: Members of a large bucket on one side of a tile in which sketches are compared.
+CHUNK = 4096
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -220,31 +220,22 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": bucket, "a": pa.array(a), "b": pa.array(b)})
 
 
-def _verify(classes: DataFrame, texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, b of d1), the links as class names (u, v): size, Hamming distance and then the sets themselves."""
+def _candidates(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b of d1), those whose sizes and whose sketches' Hamming distance allow a link."""
     sides = [classes.select(*[F.col(c).alias(f"{x}_{c}") for c in ("d1", "name", "n_shingles", "sketch")]) for x in "ab"]
     near = pairs.join(sides[0], F.col("a") == F.col("a_d1")).join(sides[1], F.col("b") == F.col("b_d1"))
     small, large = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
     most = F.floor((F.col("a_n_shingles") + F.col("b_n_shingles")) * (100 - percent) / (100 + percent))
-    words64 = range(SKETCH_BITS // 64)
-    apart = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in words64), F.lit(0))
-    near = cut(near.filter((small * 100 >= large * percent) & (apart <= most)).select("a_name", "b_name", "a_n_shingles", "b_n_shingles").distinct())
-    wanted = near.select(F.col("a_name").alias("name")).unionByName(near.select(F.col("b_name").alias("name"))).distinct()
-    chosen = wanted.join(classes, "name").select("name", F.col("doc.doc_id").alias("c_id"), F.col("doc.text_hash").alias("c_hash"))
-    found = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["c_id"]) & (texts["text_hash"] == chosen["c_hash"]))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, _row, value, sizes in shingle_sets(batch.column("text"), n):
-                stops = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-                lists = pa.ListArray.from_arrays(stops, pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("name")[first:end], lists], ["name", "items"])
+    apart = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return near.filter((small * 100 >= large * percent) & (apart <= most)).select("a_name", "b_name").distinct()
 
-    items = cut(found.select("name", "text").mapInArrow(sets, "name string, items array<long>").dropDuplicates(["name"]))
-    with_a = near.join(items.select(F.col("name").alias("a_name"), F.col("items").alias("a_items")), "a_name")
-    with_both = with_a.join(items.select(F.col("name").alias("b_name"), F.col("items").alias("b_items")), "b_name")
+
+def _verify(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs of class names (a_name, b_name), the links (u, v), by their whole sets."""
+    with_a = pairs.join(classes.select(F.col("name").alias("a_name"), F.col("items").alias("a_items")), "a_name")
+    with_both = with_a.join(classes.select(F.col("name").alias("b_name"), F.col("items").alias("b_items")), "b_name")
     common = F.size(F.array_intersect("a_items", "b_items"))
-    union = F.col("a_n_shingles") + F.col("b_n_shingles") - common
+    union = F.size("a_items") + F.size("b_items") - common
     return with_both.filter(common * 100 >= union * percent).select(F.col("a_name").alias("u"), F.col("b_name").alias("v"))
 
 
@@ -269,64 +260,81 @@ def similar(
     met = cut(packed.groupBy("part").applyInArrow(_meet, "bucket long, a long, b long"))
     whole = members.filter("n_shingles > 0").groupBy("name", "n_shingles", "d1").agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"))
     pairs = met.filter(F.col("bucket").isNull()).select("a", "b").distinct()
-    classes = _with_sketches(whole, texts, pairs, met, n)
-    links = cut(_verify(classes, texts, pairs, n, percent))
-    return members, *_finish_large(met, classes, texts, links, n, percent)
-
-
-def _with_sketches(whole: DataFrame, texts: DataFrame, pairs: DataFrame, met: DataFrame, n: int) -> DataFrame:
-    """The classes that met others, with their short sketches."""
+    classes = _met_classes(whole, texts, met, n)
+    links = cut(_verify(classes, _candidates(classes, pairs, percent), percent))
+    groups = cut(components(links))
+    more = cut(_verify(classes, _within_buckets(met, classes, groups, percent), percent))
+    if not more.isEmpty():
+        links = cut(links.unionByName(more).distinct())
+        groups = cut(components(links))
+    return members, links, groups
+
+
+def _met_classes(whole: DataFrame, texts: DataFrame, met: DataFrame, n: int) -> DataFrame:
+    """The classes that met others: d1, name, n_shingles, sketch, items (their shingles)."""
     seen = met.select(F.col("a").alias("d1")).unionByName(met.select(F.col("b").alias("d1"))).distinct()
-    near = cut(whole.join(seen, "d1", "left_semi"))
-    wanted = near.select("d1", "name", "n_shingles", "doc", F.col("doc.doc_id").alias("c_id"), F.col("doc.text_hash").alias("c_hash"))
+    wanted = whole.join(seen, "d1", "left_semi").select("d1", "name", "n_shingles", F.col("doc.doc_id").alias("c_id"), F.col("doc.text_hash").alias("c_hash"))
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["c_id"]) & (texts["text_hash"] == wanted["c_hash"]))
-    columns = ["d1", "name", "n_shingles", "doc"]
+    columns = ["d1", "name", "n_shingles"]
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, row, value, _sizes in shingle_sets(batch.column("text"), n):
-                sketches = [np.frombuffer(x, np.int64) for x in short_sketches(row, value, end - first)]
-                stops = pa.array(np.arange(len(sketches) + 1, dtype=np.int32) * (SKETCH_BITS // 64))
-                lists = pa.ListArray.from_arrays(stops, pa.array(np.concatenate(sketches)))
-                yield pa.RecordBatch.from_arrays([batch.column(c)[first:end] for c in columns] + [lists], [*columns, "sketch"])
+            for first, end, row, value, sizes in shingle_sets(batch.column("text"), n):
+                sketches = np.concatenate([np.frombuffer(x, np.int64) for x in short_sketches(row, value, end - first)])
+                stops = pa.array(np.arange(end - first + 1, dtype=np.int32) * (SKETCH_BITS // 64))
+                item_stops = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(stops, pa.array(sketches)), pa.ListArray.from_arrays(item_stops, pa.array(value.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays([batch.column(c)[first:end] for c in columns] + lists, [*columns, "sketch", "items"])
 
-    schema = "d1 long, name string, n_shingles long, doc struct<doc_id: long, text_hash: long>, sketch array<long>"
-    return cut(found.select(*columns, "text").mapInArrow(sketch, schema).dropDuplicates(["name"]))
+    schema = "d1 long, name string, n_shingles long, sketch array<long>, items array<long>"
+    return cut(found.select(*columns, "text").mapInArrow(describe, schema).dropDuplicates(["name"]))
 
 
-def _finish_large(met: DataFrame, classes: DataFrame, texts: DataFrame, links: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and components when every large bucket is done.
+def _within_buckets(met: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a_name, b_name) of large buckets whose sketches allow a link and that are not in one component yet.
 
-    A bucket is done when all pairs of its members are compared or in one component. Members outside
-    the bucket's largest component become hubs: they are compared with all members of other
-    components and then taken out. All of them at once, if they are few; else so many of them in a
-    round, at random, twice as many in each next one.
+    Sketches are compared in blocks of a bucket's members, inside the tasks; only what passes is a row.
+    A bucket is dealt to tiles of CHUNK members on either side, so that a task's memory is bounded.
     """
-    named = met.filter(F.col("bucket").isNotNull()).join(classes.select(F.col("d1").alias("a"), "name"), "a")
-    rest, groups, width = cut(named.select("bucket", "name", F.col("a").alias("d1"))), cut(components(links)), HUBS
-    while not rest.isEmpty():
-        labels = groups.select(F.col("node").alias("name"), "component")
-        labelled = rest.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
-        sizes = labelled.groupBy("bucket", "component").count()
-        largest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("parts"))
-        mixed = largest.filter("parts > 1").select("bucket", F.col("top.component").alias("main"), (F.col("all") - F.col("top.count")).alias("outside"))
-        open_rows = cut(labelled.join(mixed, "bucket"))
-        outside = open_rows.filter("component != main")
-        chosen = (F.col("outside") <= width) | (F.pmod(F.xxhash64("name", F.lit(width)), F.col("outside")) < width)
-        hubs = cut(outside.filter(chosen).select("bucket", F.col("component").alias("h_component"), F.col("name").alias("h_name"), F.col("d1").alias("h_d1")))
-        against = open_rows.join(hubs, "bucket").filter(F.col("component") != F.col("h_component"))
-        pairs = against.select(F.least("d1", "h_d1").alias("a"), F.greatest("d1", "h_d1").alias("b")).distinct()
-        found = cut(_verify(classes, texts, pairs, n, percent))
-        if not found.isEmpty():
-            links = cut(links.unionByName(found).distinct())
-            groups = cut(components(links))
-        done = hubs.select("bucket", F.col("h_name").alias("name"))
-        rest = cut(open_rows.select("bucket", "name", "d1").join(done, ["bucket", "name"], "left_anti"))
-        width *= 2
-        if open_rows.filter(f"outside > {width // 2}").isEmpty():
-            # Every member outside was a hub: what is left of each bucket is one component.
-            break
-    return links, groups
+    rows = met.filter(F.col("bucket").isNotNull()).select("bucket", F.col("a").alias("d1"))
+    labels = groups.select(F.col("node").alias("name"), "component")
+    labelled = rows.join(classes.select("d1", "name", "n_shingles", "sketch"), "d1").join(labels, "name", "left")
+    labelled = cut(labelled.select("bucket", "name", "n_shingles", "sketch", F.xxhash64(F.coalesce("component", "name")).alias("component")))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("all")).filter("low < high")
+    chunks = F.ceil(F.col("all") / CHUNK).cast("int")
+    chunk = F.pmod(F.xxhash64("name"), chunks).cast("int")
+    dealt = labelled.join(mixed.select("bucket", "all"), "bucket").withColumn("mine", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    tiles = dealt.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).drop("other", "all")
+    return tiles.groupBy("bucket", "low", "high").applyInArrow(_compare(percent), "a_name string, b_name string").distinct()
+
+
+def _compare(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        m = table.num_rows
+        table = table.combine_chunks()
+        size, component = table.column("n_shingles").to_numpy(), table.column("component").to_numpy()
+        mine, high = table.column("mine").to_numpy(), table.column("high").to_numpy()[0]
+        across = table.column("low").to_numpy()[0] != high
+        sketch = table.column("sketch").chunk(0).flatten().to_numpy().view(np.uint64).reshape(m, -1)
+        left, right = [], []
+        for i in range(0, m, 128):
+            j = min(i + 128, m)
+            apart = np.zeros((j - i, m), np.int64)
+            for k in range(sketch.shape[1]):
+                apart += np.bitwise_count(sketch[i:j, k, None] ^ sketch[None, :, k])
+            total = size[i:j, None] + size[None, :]
+            close = (apart <= total * (100 - percent) // (100 + percent)) & (component[i:j, None] != component[None, :])
+            close &= np.minimum(size[i:j, None], size[None, :]) * 100 >= np.maximum(size[i:j, None], size[None, :]) * percent
+            if across:
+                close &= mine[i:j, None] != mine[None, :]
+            a, b = np.nonzero(close)
+            fresh = a + i < b
+            left.append(a[fresh] + i)
+            right.append(b[fresh])
+        names = table.column("name")
+        return pa.table({"a_name": names.take(pa.array(np.concatenate(left))), "b_name": names.take(pa.array(np.concatenate(right)))})
+
+    return run
 
 
 def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
