@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgeline.llm import decontamination, jaccard_join, language_id, line_dedup, mixing, order_minhash, sharding
+from sedgeline.llm import decontamination, jaccard_join, language_id, line_dedup, maxent_lm, mixing, order_minhash, sharding
 from sedgeline.llm.common import documents
 
 
+def remainder(modulus: int):
+    """CRC-32 of doc_id as text, modulo; 0 for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
+
+
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(documents(spark, sf_dir), held_out=remainder(7) == 2)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir)).select("doc_id", "source", "slot", "shard")
 
@@ -26,8 +35,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3, F.lit(0))
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (remainder == 1).alias("held_out"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (remainder(3) == 1).alias("held_out"))
     model = language_id.train(docs.filter(~F.col("held_out")))
     return language_id.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -57,6 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_maxent_lm": op1_maxent_lm,
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
     "op4_jaccard_join": op4_jaccard_join,
