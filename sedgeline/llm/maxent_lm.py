@@ -37,7 +37,7 @@ WIDTH = CLASSES + 1
 FREQUENT = 1 << 20
 ROUNDS = 2
 BATCH = 8192
-RATE = 0.7
+RATE = 0.25
 _END, _BEGIN = np.uint64(0xE0F), np.uint64(0xB0F)
 _FLUSH = 1 << 19
 
