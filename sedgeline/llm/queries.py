@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgeline.llm import decontamination, jaccard_join, language_id, line_dedup, maxent_lm, mixing, order_minhash, sharding
+from sedgeline.llm import decontamination, jaccard_join, language_id, line_dedup, maxent_lm, mixing, order_minhash, sharding, suffix_dedup, warc
 from sedgeline.llm.common import documents
 
 
@@ -60,6 +60,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(documents(spark, sf_dir))
+    return found.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -72,6 +81,8 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_order_minhash": op6_order_minhash,
     "op7_decontamination": op7_decontamination,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
 }
 
