@@ -106,13 +106,15 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 def _step(weights: np.ndarray, seen: np.ndarray, used: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
     """An adaptive step on the rows that a batch uses; rows: (tokens, features of each)."""
-    flat = rows.ravel()
+    flat = rows.ravel().astype(np.uint16)  # rows are under 2^16, which are sorted by digits
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
-    starts = np.flatnonzero(np.diff(ordered, prepend=-1))
-    row = ordered[starts]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     total = np.add.reduceat(gradient[order // rows.shape[1]], starts, axis=0)
-    count = np.diff(np.append(starts, len(ordered)))
+    _move(weights, seen, used, ordered[starts], total, np.diff(np.append(starts, len(ordered))))
+
+
+def _move(weights: np.ndarray, seen: np.ndarray, used: np.ndarray, row: np.ndarray, total: np.ndarray, count: np.ndarray) -> None:
     seen[row] += np.square(total).mean(axis=1)
     used[row] += count
     weights[row] -= RATE * total / np.sqrt(seen[row] + 1e-2)[:, None]
@@ -132,17 +134,20 @@ def _learn(shared):
                 target = np.where(place >= 0, place // PER_CLASS, CLASSES)
                 for i in range(0, len(tokens), BATCH):
                     part = slice(i, i + BATCH)
-                    here, goal = np.concatenate([np.zeros((len(tokens[part]), 1), np.int32), rows[part]], axis=1), target[part]
-                    gradient = np.exp(_log_softmax(classes[here[:, 1]] + classes[here[:, 2]] + classes[here[:, 3]] + classes[0]))
+                    here, goal = rows[part], target[part]
+                    gradient = np.exp(_log_softmax(classes[here[:, 0]] + classes[here[:, 1]] + classes[here[:, 2]] + classes[0]))
                     gradient[np.arange(len(goal)), goal] -= 1
+                    _move(classes, seen[0], used[0], np.zeros(1, int), gradient.sum(axis=0, keepdims=True), np.array([len(goal)]))
                     _step(classes, seen[0], used[0], here, gradient)
                     inside = np.flatnonzero(goal < CLASSES)
                     if len(inside):
                         group, word = goal[inside], place[part][inside] % PER_CLASS
-                        both = np.stack([group, within_rows(before[part][inside], group)], axis=1).astype(np.int32)
-                        gradient = np.exp(_log_softmax(within[both[:, 0]] + within[both[:, 1]]))
+                        row = within_rows(before[part][inside], group)
+                        gradient = np.exp(_log_softmax(within[group] + within[row]))
                         gradient[np.arange(len(word)), word] -= 1
-                        _step(within, seen[1], used[1], both, gradient)
+                        own = (group == np.arange(CLASSES)[:, None]).astype(np.float32)
+                        _move(within, seen[1], used[1], np.arange(CLASSES), own @ gradient, own.sum(axis=1))
+                        _step(within, seen[1], used[1], row[:, None], gradient)
         for base, count, change in ((0, used[0], classes - model.classes), (CLASS_ROWS, used[1], within - model.within)):
             row = np.flatnonzero(count)
             change = np.pad(change[row] * count[row, None], ((0, 0), (0, WIDTH - change.shape[1])))
