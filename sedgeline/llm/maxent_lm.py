@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgeline.llm.blocks import ASCII_LOWER, hashes, mix, slices, words
+from sedgeline.llm.blocks import ASCII_LOWER, hashes, slices, words
 from sedgeline.llm.common import cut, row_key, same
 
 CLASSES, PER_CLASS = 32, 32
@@ -36,10 +36,11 @@ WIDTH = CLASSES + 1
 #: A token is frequent if more than one in so many tokens is it.
 FREQUENT = 1 << 20
 ROUNDS = 2
-BATCH = 8192
+BATCH = 16384
 RATE = 0.25
 _END, _BEGIN = np.uint64(0xE0F), np.uint64(0xB0F)
 _FLUSH = 1 << 19
+_ODD = np.random.default_rng(7).integers(0, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def token_arrays(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -77,10 +78,22 @@ class Model:
     classes: np.ndarray
     within: np.ndarray
 
+    def __post_init__(self):
+        """token is sorted: where tokens of each value of their first 16 bits start, and the longest run of one value."""
+        first = (self.token >> np.uint64(48)).astype(np.int64)
+        self.starts = np.searchsorted(first, np.arange(1 << 16))
+        self.longest = int(np.bincount(first, minlength=1).max())
+
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether frequent, where)"""
-        at = np.minimum(np.searchsorted(self.token, tokens), len(self.token) - 1)
-        return self.token[at] == tokens, at
+        start = self.starts[tokens >> np.uint64(48)]
+        known, at = np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+        for k in range(self.longest):
+            here = np.minimum(start + k, len(self.token) - 1)
+            equal = self.token[here] == tokens
+            known |= equal
+            np.copyto(at, here, where=equal)
+        return known, at
 
 
 def features(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +103,14 @@ def features(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     one, two = np.full(len(tokens), _BEGIN), np.full(len(tokens), _BEGIN)
     one[1:] = np.where(at[1:] > 0, tokens[:-1], _BEGIN)
     two[2:] = np.where(at[2:] > 1, tokens[:-2], _BEGIN)
-    rows = [mix(one + np.uint64(1)), mix(two + np.uint64(2)), mix(mix(one + np.uint64(3)) ^ two)]
-    return np.stack([(r % np.uint64(CLASS_ROWS - 1)).astype(np.int32) + 1 for r in rows], axis=1), one
+    # Tokens are mixed hashes: a product's first 14 bits are as good as any. Row 0 is every token's.
+    rows = [one * _ODD[0], two * _ODD[1], (one * _ODD[2] ^ two) * _ODD[3]]
+    return np.stack([np.maximum((r >> np.uint64(50)).astype(np.int32), 1) for r in rows], axis=1), one
 
 
 def within_rows(before: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Rows of the weights within classes: one for the word before, with the class (rows under CLASSES are the classes' own)."""
-    return (mix(before ^ (group.astype(np.uint64) << np.uint64(40))) % np.uint64(WORD_ROWS - CLASSES)).astype(np.int32) + CLASSES
+    return np.maximum(((((before + group.astype(np.uint64)) * _ODD[4]) ^ before) * _ODD[5] >> np.uint64(50)).astype(np.int32), CLASSES)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -104,6 +118,12 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 def _step(weights: np.ndarray, seen: np.ndarray, used: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
     """An adaptive step on the rows that a batch uses; rows: (tokens, features of each)."""
     flat = rows.ravel().astype(np.uint16)  # rows are under 2^16, which are sorted by digits
@@ -135,7 +155,7 @@ def _learn(shared):
                 for i in range(0, len(tokens), BATCH):
                     part = slice(i, i + BATCH)
                     here, goal = rows[part], target[part]
-                    gradient = np.exp(_log_softmax(classes[here[:, 0]] + classes[here[:, 1]] + classes[here[:, 2]] + classes[0]))
+                    gradient = _softmax(classes[here[:, 0]] + classes[here[:, 1]] + classes[here[:, 2]] + classes[0])
                     gradient[np.arange(len(goal)), goal] -= 1
                     _move(classes, seen[0], used[0], np.zeros(1, int), gradient.sum(axis=0, keepdims=True), np.array([len(goal)]))
                     _step(classes, seen[0], used[0], here, gradient)
@@ -143,7 +163,7 @@ def _learn(shared):
                     if len(inside):
                         group, word = goal[inside], place[part][inside] % PER_CLASS
                         row = within_rows(before[part][inside], group)
-                        gradient = np.exp(_log_softmax(within[group] + within[row]))
+                        gradient = _softmax(within[group] + within[row])
                         gradient[np.arange(len(word)), word] -= 1
                         own = (group == np.arange(CLASSES)[:, None]).astype(np.float32)
                         _move(within, seen[1], used[1], np.arange(CLASSES), own @ gradient, own.sum(axis=1))
