@@ -179,45 +179,49 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.uint64).ravel(), names[number]
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meet(small: int):
     """Pairs of sets that share a block in this part. Of large buckets: each member with the hub, and the bucket itself (bucket not null)."""
-    part = table.column("part")[0].as_py()
-    found = [_unpack(b.as_buffer()) for b in table.column("packed")] if table.num_rows else []
-    key, name = np.concatenate([k for k, _ in found]), np.concatenate([x for _, x in found])
-    del found
-    order = np.argsort(key, kind="stable")
-    key, name = key[order], name[order]
-    same = key[1:] == key[:-1]
-    shared = np.zeros(len(key), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    key, name = key[shared], name[shared]
-    order = np.lexsort((name, key))
-    key, name = key[order], name[order]
-    if len(key):
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name = key[new], name[new]
-    starts = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1))) if len(key) else np.empty(0, np.int64)
-    length = np.diff(np.append(starts, len(key)))
-    run_start, run_length = np.repeat(starts, length), np.repeat(length, length)
-    left, right = [], []
-    for k in range(1, min(SMALL_BUCKET, int(length.max(initial=1)))):
-        i = np.flatnonzero((key[k:] == key[:-k]) & (run_length[k:] <= SMALL_BUCKET))
-        left.append(name[i])
-        right.append(name[i + k])
-    large = np.flatnonzero((run_length > SMALL_BUCKET) & (run_start < np.arange(len(key))))
-    left.append(name[run_start[large]])
-    right.append(name[large])
-    pairs = np.stack([np.concatenate(left), np.concatenate(right)], axis=1)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    if len(pairs):
-        pairs = pairs[np.append(True, np.any(pairs[1:] != pairs[:-1], axis=1))]
-    members = np.flatnonzero(run_length > SMALL_BUCKET)
-    bucket = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(mix(key[members] ^ mix(np.full(len(members), part, np.uint64))).view(np.int64))])
-    a = np.concatenate([pairs[:, 0], name[members]]).view(np.int64)
-    b = np.concatenate([pairs[:, 1], name[members]]).view(np.int64)
-    return pa.table({"bucket": bucket, "a": pa.array(a), "b": pa.array(b)})
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        found = [_unpack(b.as_buffer()) for b in table.column("packed")] if table.num_rows else []
+        key, name = np.concatenate([k for k, _ in found]), np.concatenate([x for _, x in found])
+        del found
+        order = np.argsort(key, kind="stable")
+        key, name = key[order], name[order]
+        same = key[1:] == key[:-1]
+        shared = np.zeros(len(key), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        key, name = key[shared], name[shared]
+        order = np.lexsort((name, key))
+        key, name = key[order], name[order]
+        if len(key):
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+            key, name = key[new], name[new]
+        starts = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1))) if len(key) else np.empty(0, np.int64)
+        length = np.diff(np.append(starts, len(key)))
+        run_start, run_length = np.repeat(starts, length), np.repeat(length, length)
+        left, right = [], []
+        for k in range(1, min(small, int(length.max(initial=1)))):
+            i = np.flatnonzero((key[k:] == key[:-k]) & (run_length[k:] <= small))
+            left.append(name[i])
+            right.append(name[i + k])
+        large = np.flatnonzero((run_length > small) & (run_start < np.arange(len(key))))
+        left.append(name[run_start[large]])
+        right.append(name[large])
+        pairs = np.stack([np.concatenate(left), np.concatenate(right)], axis=1)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        if len(pairs):
+            pairs = pairs[np.append(True, np.any(pairs[1:] != pairs[:-1], axis=1))]
+        members = np.flatnonzero(run_length > small)
+        bucket = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(mix(key[members] ^ mix(np.full(len(members), part, np.uint64))).view(np.int64))])
+        a = np.concatenate([pairs[:, 0], name[members]]).view(np.int64)
+        b = np.concatenate([pairs[:, 1], name[members]]).view(np.int64)
+        return pa.table({"bucket": bucket, "a": pa.array(a), "b": pa.array(b)})
+
+    return run
 
 
 def _candidates(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -240,7 +244,7 @@ def _verify(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def similar(
-    docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", small: int = SMALL_BUCKET, chunk: int = CHUNK
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three frames: members (doc_id, text_hash, n_shingles, name of the class), links (u, v: names), groups (node, component: names).
 
@@ -257,13 +261,13 @@ def similar(
     bands = Bands(percent, int(largest))
     parts = partitions(spark)
     packed = texts.select("text").mapInArrow(_send(n, bands, parts), "part long, packed binary")
-    met = cut(packed.groupBy("part").applyInArrow(_meet, "bucket long, a long, b long"))
+    met = cut(packed.groupBy("part").applyInArrow(_meet(small), "bucket long, a long, b long"))
     whole = members.filter("n_shingles > 0").groupBy("name", "n_shingles", "d1").agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"))
     pairs = met.filter(F.col("bucket").isNull()).select("a", "b").distinct()
     classes = _met_classes(whole, texts, met, n)
     links = cut(_verify(classes, _candidates(classes, pairs, percent), percent))
     groups = cut(components(links))
-    more = cut(_verify(classes, _within_buckets(met, classes, groups, percent), percent))
+    more = cut(_verify(classes, _within_buckets(met, classes, groups, percent, chunk), percent))
     if not more.isEmpty():
         links = cut(links.unionByName(more).distinct())
         groups = cut(components(links))
@@ -290,20 +294,20 @@ def _met_classes(whole: DataFrame, texts: DataFrame, met: DataFrame, n: int) ->
     return cut(found.select(*columns, "text").mapInArrow(describe, schema).dropDuplicates(["name"]))
 
 
-def _within_buckets(met: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _within_buckets(met: DataFrame, classes: DataFrame, groups: DataFrame, percent: int, chunk: int) -> DataFrame:
     """Pairs (a_name, b_name) of large buckets whose sketches allow a link and that are not in one component yet.
 
     Sketches are compared in blocks of a bucket's members, inside the tasks; only what passes is a row.
-    A bucket is dealt to tiles of CHUNK members on either side, so that a task's memory is bounded.
+    A bucket is dealt to tiles of chunk members on either side, so that a task's memory is bounded.
     """
     rows = met.filter(F.col("bucket").isNotNull()).select("bucket", F.col("a").alias("d1"))
     labels = groups.select(F.col("node").alias("name"), "component")
     labelled = rows.join(classes.select("d1", "name", "n_shingles", "sketch"), "d1").join(labels, "name", "left")
     labelled = cut(labelled.select("bucket", "name", "n_shingles", "sketch", F.xxhash64(F.coalesce("component", "name")).alias("component")))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("all")).filter("low < high")
-    chunks = F.ceil(F.col("all") / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64("name"), chunks).cast("int")
-    dealt = labelled.join(mixed.select("bucket", "all"), "bucket").withColumn("mine", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    chunks = F.ceil(F.col("all") / chunk).cast("int")
+    mine = F.pmod(F.xxhash64("name"), chunks).cast("int")
+    dealt = labelled.join(mixed.select("bucket", "all"), "bucket").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     tiles = dealt.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).drop("other", "all")
     return tiles.groupBy("bucket", "low", "high").applyInArrow(_compare(percent), "a_name string, b_name string").distinct()
 
@@ -337,13 +341,15 @@ def _compare(percent: int):
     return run
 
 
-def link_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def link_components(
+    docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", small: int = SMALL_BUCKET, chunk: int = CHUNK
+) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, stands for each row of docs.
 
     component_id: the least doc_id that links reach. stands: the row is the one that stands for its
     component, that of the least doc_id (null last) and then text_hash; empty sets stand for themselves.
     """
-    members, _links, groups = similar(docs, n, percent, doc_id, text)
+    members, _links, groups = similar(docs, n, percent, doc_id, text, small, chunk)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     least = members.filter("name is not null").groupBy("name").agg(first.alias("first"))
     labelled = least.join(groups.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))

@@ -90,10 +90,10 @@ def _chains(around: np.ndarray) -> np.ndarray:
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one partition: extents that are repeated in it (passage null), and passages at its ends that may be elsewhere."""
-    table = pa.Table.from_batches(batches)
-    if not table.num_rows:
+    filled = [b for b in batches if b.num_rows]
+    if not filled:
         return
-    table = table.combine_chunks()
+    table = pa.Table.from_batches(filled).combine_chunks()
     key = table.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key, kind="stable")
     ordered = key[order]
