@@ -44,7 +44,7 @@ def series_features(days: DataFrame, params: Params = DEFAULT) -> DataFrame:
     spread = F.sqrt(F.greatest(F.regr_syy(y, t) - F.coalesce(slope, F.lit(0.0)) * F.coalesce(F.regr_sxy(y, t), F.lit(0.0)), F.lit(0.0)) / F.nullif(n - 1, F.lit(0)))
     return _changes(days).groupBy(MESH).agg(
         slope.alias("log_linear_slope"),
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r2)).alias("log_linear_r2"),
+        F.when(r2.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r2))).alias("log_linear_r2"),
         intercept.alias("intercept"),
         F.regr_slope(F.when(early, y), F.when(early, t)).alias("early_slope"),
         F.regr_slope(F.when(~early, y), F.when(~early, t)).alias("late_slope"),

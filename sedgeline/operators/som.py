@@ -22,7 +22,7 @@ class Grid:
     rows: int
 
     def points(self) -> np.ndarray:
-        return np.array([(x + 1 + 0.5 * (y % 2), (y + 1) * math.sqrt(3) / 2) for y in range(self.rows) for x in range(self.columns)])
+        return np.array([(x + 1 + 0.5 * ((y + 1) % 2), (y + 1) * math.sqrt(3) / 2) for y in range(self.rows) for x in range(self.columns)])
 
     def distances(self) -> np.ndarray:
         p = self.points()

@@ -366,7 +366,7 @@ BMU = """with book as (select row_number() over (order by vec_id) as neuron, emb
 ranked as (select vec_id, label, neuron, sqrt(list_sum(list_transform(list_zip(embedding::double[], w), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) as distance,
   row_number() over (partition by vec_id order by list_sum(list_transform(list_zip(embedding::double[], w), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), neuron) as place from embeddings, book),
 bmus as (select a.vec_id, a.label, a.neuron as bmu, a.distance, b.neuron as second from ranked a join ranked b using (vec_id) where a.place = 1 and b.place = 2),
-points as (select i + 1 as neuron, i % 5 + 1 + 0.5 * ((i // 5) % 2) as x, (i // 5 + 1) * sqrt(3) / 2 as y from (select unnest(range(25)) as i)),
+points as (select i + 1 as neuron, i % 5 + 1 + 0.5 * ((i // 5 + 1) % 2) as x, (i // 5 + 1) * sqrt(3) / 2 as y from (select unnest(range(25)) as i)),
 edges as (select a.neuron as src, b.neuron as dst from points a, points b where a.neuron <> b.neuron and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 1.1)"""
 
 
