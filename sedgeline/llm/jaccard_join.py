@@ -248,7 +248,7 @@ def similar(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three frames: members (doc_id, text_hash, n_shingles, name of the class), links (u, v: names), groups (node, component: names).
 
-    links hold every link within small buckets, and enough of them elsewhere for all components.
+    links are enough of all links for the components: those within one that others make needless aren't looked at.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent is above 0 and at most 100")
@@ -265,15 +265,31 @@ def similar(
     whole = members.filter("n_shingles > 0").groupBy("name", "n_shingles", "d1").agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"))
     pairs = met.filter(F.col("bucket").isNull()).select("a", "b").distinct()
     classes = _met_classes(whole, texts, met, n)
-    links = cut(_verify(classes, _candidates(classes, pairs, percent), percent))
+    near = cut(_candidates(classes, pairs, percent).select(F.greatest("a_name", "b_name").alias("a_name"), F.least("a_name", "b_name").alias("b_name")).distinct())
+    # One pair for each class first: in a group of near copies that links nearly all, and the rest need no look.
+    links = cut(_verify(classes, near.groupBy("a_name").agg(F.min("b_name").alias("b_name")), percent))
     groups = cut(components(links))
-    more = cut(_verify(classes, _within_buckets(met, classes, groups, percent, chunk), percent))
-    if not more.isEmpty():
-        links = cut(links.unionByName(more).distinct())
-        groups = cut(components(links))
+    links, groups = _extend(classes, _apart(near, groups), links, groups, percent)
+    links, groups = _extend(classes, _within_buckets(met, classes, groups, percent, chunk), links, groups, percent)
     return members, links, groups
 
 
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose classes are not in one component."""
+    labels = [groups.select(F.col("node").alias(f"{x}_name"), F.col("component").alias(f"{x}_component")) for x in "ab"]
+    labelled = pairs.join(labels[0], "a_name", "left").join(labels[1], "b_name", "left")
+    together = F.coalesce(F.col("a_component") == F.col("b_component"), F.lit(False))
+    return labelled.filter(~together).select("a_name", "b_name")
+
+
+def _extend(classes: DataFrame, pairs: DataFrame, links: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    more = cut(_verify(classes, pairs, percent))
+    if more.isEmpty():
+        return links, groups
+    links = cut(links.unionByName(more).distinct())
+    return links, cut(components(links))
+
+
 def _met_classes(whole: DataFrame, texts: DataFrame, met: DataFrame, n: int) -> DataFrame:
     """The classes that met others: d1, name, n_shingles, sketch, items (their shingles)."""
     seen = met.select(F.col("a").alias("d1")).unionByName(met.select(F.col("b").alias("d1"))).distinct()
