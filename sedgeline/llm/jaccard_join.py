@@ -127,10 +127,12 @@ def short_sketches(row: np.ndarray, value: np.ndarray, n_rows: int) -> list[byte
 def _describe(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, _row, value, sizes in shingle_sets(batch.column("text"), n):
+            for first, end, row, value, sizes in shingle_sets(batch.column("text"), n):
                 d1, d2 = digests(value, sizes)
+                sketches = np.concatenate([np.frombuffer(x, np.int64) for x in short_sketches(row, value, end - first)])
+                stops = pa.array(np.arange(end - first + 1, dtype=np.int32) * (SKETCH_BITS // 64))
                 arrays = [batch.column(c)[first:end] for c in ("doc_id", "text_hash")] + [pa.array(x.astype(np.int64)) for x in (sizes, d1.view(np.int64), d2.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_shingles", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(stops, pa.array(sketches))], ["doc_id", "text_hash", "n_shingles", "d1", "d2", "sketch"])
 
     return run
 
@@ -234,10 +236,10 @@ def _candidates(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame
     return near.filter((small * 100 >= large * percent) & (apart <= most)).select("a_name", "b_name").distinct()
 
 
-def _verify(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verify(items: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs of class names (a_name, b_name), the links (u, v), by their whole sets."""
-    with_a = pairs.join(classes.select(F.col("name").alias("a_name"), F.col("items").alias("a_items")), "a_name")
-    with_both = with_a.join(classes.select(F.col("name").alias("b_name"), F.col("items").alias("b_items")), "b_name")
+    with_a = pairs.join(items.select(F.col("name").alias("a_name"), F.col("items").alias("a_items")), "a_name")
+    with_both = with_a.join(items.select(F.col("name").alias("b_name"), F.col("items").alias("b_items")), "b_name")
     common = F.size(F.array_intersect("a_items", "b_items"))
     union = F.size("a_items") + F.size("b_items") - common
     return with_both.filter(common * 100 >= union * percent).select(F.col("a_name").alias("u"), F.col("b_name").alias("v"))
@@ -254,7 +256,7 @@ def similar(
         raise ValueError("percent is above 0 and at most 100")
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("text_hash"), F.col(text).alias("text"))
-    described = texts.mapInArrow(_describe(n), "doc_id long, text_hash long, n_shingles long, d1 long, d2 long")
+    described = texts.mapInArrow(_describe(n), "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sketch array<long>")
     name = F.concat_ws(":", "n_shingles", F.hex("d1"), F.hex("d2"))
     members = cut(described.withColumn("name", F.when(F.col("n_shingles") > 0, name)))
     largest = members.agg(F.max("n_shingles")).first()[0] or 1
@@ -262,15 +264,18 @@ def similar(
     parts = partitions(spark)
     packed = texts.select("text").mapInArrow(_send(n, bands, parts), "part long, packed binary")
     met = cut(packed.groupBy("part").applyInArrow(_meet(small), "bucket long, a long, b long"))
-    whole = members.filter("n_shingles > 0").groupBy("name", "n_shingles", "d1").agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"))
+    whole = members.filter("n_shingles > 0").groupBy("name", "n_shingles", "d1", "sketch").agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"))
+    seen = met.select(F.col("a").alias("d1")).unionByName(met.select(F.col("b").alias("d1"))).distinct()
+    classes = cut(whole.join(seen, "d1", "left_semi"))
     pairs = met.filter(F.col("bucket").isNull()).select("a", "b").distinct()
-    classes = _met_classes(whole, texts, met, n)
     near = cut(_candidates(classes, pairs, percent).select(F.greatest("a_name", "b_name").alias("a_name"), F.least("a_name", "b_name").alias("b_name")).distinct())
+    large = met.filter(F.col("bucket").isNotNull()).select(F.col("a").alias("d1")).distinct().join(classes, "d1").select("name")
+    items = _items(classes, near.select(F.explode(F.array("a_name", "b_name")).alias("name")).unionByName(large).distinct(), texts, n)
     # One pair for each class first: in a group of near copies that links nearly all, and the rest need no look.
-    links = cut(_verify(classes, near.groupBy("a_name").agg(F.min("b_name").alias("b_name")), percent))
+    links = cut(_verify(items, near.groupBy("a_name").agg(F.min("b_name").alias("b_name")), percent))
     groups = cut(components(links))
-    links, groups = _extend(classes, _apart(near, groups), links, groups, percent)
-    links, groups = _extend(classes, _within_buckets(met, classes, groups, percent, chunk), links, groups, percent)
+    links, groups = _extend(items, _apart(near, groups), links, groups, percent)
+    links, groups = _extend(items, _within_buckets(met, classes, groups, percent, chunk), links, groups, percent)
     return members, links, groups
 
 
@@ -282,32 +287,26 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return labelled.filter(~together).select("a_name", "b_name")
 
 
-def _extend(classes: DataFrame, pairs: DataFrame, links: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    more = cut(_verify(classes, pairs, percent))
+def _extend(items: DataFrame, pairs: DataFrame, links: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    more = cut(_verify(items, pairs, percent))
     if more.isEmpty():
         return links, groups
     links = cut(links.unionByName(more).distinct())
     return links, cut(components(links))
 
 
-def _met_classes(whole: DataFrame, texts: DataFrame, met: DataFrame, n: int) -> DataFrame:
-    """The classes that met others: d1, name, n_shingles, sketch, items (their shingles)."""
-    seen = met.select(F.col("a").alias("d1")).unionByName(met.select(F.col("b").alias("d1"))).distinct()
-    wanted = whole.join(seen, "d1", "left_semi").select("d1", "name", "n_shingles", F.col("doc.doc_id").alias("c_id"), F.col("doc.text_hash").alias("c_hash"))
+def _items(classes: DataFrame, names: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """name, items (the shingles) of the named classes, from one text of each."""
+    wanted = classes.join(names, "name", "left_semi").select("name", F.col("doc.doc_id").alias("c_id"), F.col("doc.text_hash").alias("c_hash"))
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["c_id"]) & (texts["text_hash"] == wanted["c_hash"]))
-    columns = ["d1", "name", "n_shingles"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, row, value, sizes in shingle_sets(batch.column("text"), n):
-                sketches = np.concatenate([np.frombuffer(x, np.int64) for x in short_sketches(row, value, end - first)])
-                stops = pa.array(np.arange(end - first + 1, dtype=np.int32) * (SKETCH_BITS // 64))
-                item_stops = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(stops, pa.array(sketches)), pa.ListArray.from_arrays(item_stops, pa.array(value.view(np.int64)))]
-                yield pa.RecordBatch.from_arrays([batch.column(c)[first:end] for c in columns] + lists, [*columns, "sketch", "items"])
+            for first, end, _row, value, sizes in shingle_sets(batch.column("text"), n):
+                stops = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("name")[first:end], pa.ListArray.from_arrays(stops, pa.array(value.view(np.int64)))], ["name", "items"])
 
-    schema = "d1 long, name string, n_shingles long, sketch array<long>, items array<long>"
-    return cut(found.select(*columns, "text").mapInArrow(describe, schema).dropDuplicates(["name"]))
+    return cut(found.select("name", "text").mapInArrow(describe, "name string, items array<long>").dropDuplicates(["name"]))
 
 
 def _within_buckets(met: DataFrame, classes: DataFrame, groups: DataFrame, percent: int, chunk: int) -> DataFrame:
