@@ -32,7 +32,7 @@ from sedgeline.llm.common import cut, partitions, row_key
 from sedgeline.llm.components import components
 
 #: Bits of the short sketch by which pairs are tested before their sets are compared.
-SKETCH_BITS = 512
+SKETCH_BITS = 2048
 #: Buckets of up to so many classes are compared pair by pair at once, larger ones by hubs in rounds.
 SMALL_BUCKET = 24
 #: Members of a large bucket on one side of a tile in which sketches are compared.
@@ -118,10 +118,15 @@ def block_keys(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, bands: Ban
 
 
 def short_sketches(row: np.ndarray, value: np.ndarray, n_rows: int) -> list[bytes]:
-    """SKETCH_BITS bits for each set: the parity of the shingles that fall on each bit."""
-    bit = row * SKETCH_BITS + (mix(value ^ np.uint64(0x452821E638D01377)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    odd = (np.bincount(bit, minlength=n_rows * SKETCH_BITS) & 1).astype(bool)
-    return [x.tobytes() for x in np.packbits(odd.reshape(n_rows, SKETCH_BITS), axis=1)]
+    """SKETCH_BITS bits for each set: the parity of the shingles that fall on each bit. row is ascending."""
+    bit = (mix(value ^ np.uint64(0x452821E638D01377)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    found = []
+    for first in range(0, n_rows, 512):
+        n = min(512, n_rows - first)
+        i, j = np.searchsorted(row, [first, first + n])
+        odd = (np.bincount((row[i:j] - first) * SKETCH_BITS + bit[i:j], minlength=n * SKETCH_BITS) & 1).astype(bool)
+        found += [x.tobytes() for x in np.packbits(odd.reshape(n, SKETCH_BITS), axis=1)]
+    return found
 
 
 def _describe(n: int):
@@ -301,12 +306,19 @@ def _items(classes: DataFrame, names: DataFrame, texts: DataFrame, n: int) -> Da
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["c_id"]) & (texts["text_hash"] == wanted["c_hash"]))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[str] = set()  # repeated rows meet in one task, and their class is described once
         for batch in batches:
+            fresh = []
+            for i, name in enumerate(batch.column("name").to_pylist()):
+                if name not in done:
+                    done.add(name)
+                    fresh.append(i)
+            batch = batch.take(pa.array(fresh, pa.int64()))
             for first, end, _row, value, sizes in shingle_sets(batch.column("text"), n):
                 stops = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("name")[first:end], pa.ListArray.from_arrays(stops, pa.array(value.view(np.int64)))], ["name", "items"])
 
-    return cut(found.select("name", "text").mapInArrow(describe, "name string, items array<long>").dropDuplicates(["name"]))
+    return cut(found.select("name", "text").mapInArrow(describe, "name string, items array<long>"))
 
 
 def _within_buckets(met: DataFrame, classes: DataFrame, groups: DataFrame, percent: int, chunk: int) -> DataFrame:
