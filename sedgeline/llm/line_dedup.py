@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgeline.llm.common import SPACE, ascii_lower, cut, partitions, row_key, text_or_empty
+from sedgeline.llm.common import ascii_lower, cut, partitions, row_key, text_or_empty
 
 FREQUENT, REPEATED = "frequent", "repeated"
 
 
-def line_key(line):
-    """A line stripped of [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased."""
-    return ascii_lower(F.regexp_replace(line, rf"^{SPACE}|{SPACE}$", ""))
+#: What is stripped from the ends of a line: [\x20\x09-\x0D].
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -146,10 +145,12 @@ def keep_bitmaps(
     if policy not in (FREQUENT, REPEATED):
         raise ValueError(f"policy is {FREQUENT} or {REPEATED}")
     spark = docs.sparkSession
-    named = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("text_hash"), F.split(text_or_empty(text), "\n", -1).alias("lines"))
+    named = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("text_hash"), text_or_empty(text).alias("text"))
+    # Whole texts are lower-cased, once, before they are split.
+    lines = F.split(ascii_lower(F.col("text")), "\n", -1)
     keys = named.select(
-        F.coalesce(F.col("doc_id"), F.lit(0)).alias("doc"), "text_hash", F.posexplode("lines").alias("pos", "line")
-    ).withColumn("key", line_key(F.col("line")))
+        F.coalesce(F.col("doc_id"), F.lit(0)).alias("doc"), "text_hash", F.posexplode(lines).alias("pos", "line")
+    ).withColumn("key", F.btrim(F.col("line"), F.lit(BLANKS)))
     hashed = keys.filter(F.length("key") >= min_chars).select(
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "doc", "text_hash", F.col("pos").cast("long").alias("pos")
     )
@@ -161,7 +162,7 @@ def keep_bitmaps(
     totals, before = _totals(sorted(ends.collect(), key=lambda r: (r["part"], r["h1"], r["h2"])))
     dropped = placed.mapInArrow(_stream(policy, min_docs, totals, before), "doc long, text_hash long, pos long").dropDuplicates()
     marked = dropped.groupBy("doc", "text_hash").agg(F.collect_list("pos").alias("positions"))
-    counted = named.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("doc"), "text_hash", F.size("lines").alias("n_lines")).dropDuplicates()
+    counted = named.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("doc"), "text_hash", F.size(F.split("text", "\n", -1)).alias("n_lines")).dropDuplicates()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
