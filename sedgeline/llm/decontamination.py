@@ -47,7 +47,8 @@ def prefix_table(docs: DataFrame, benchmark: DataFrame, n: int, item_id: str, te
     tokens = docs.select(F.explode(words(doc_text)).alias("token"))
     found = tokens.join(F.broadcast(vocabulary) if small else vocabulary, "token", "left_semi").groupBy("token").count()
     places = windows.select("window", "items", F.posexplode("window").alias("offset", "token"))
-    counted = places.join(found, "token", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    # found has at most a row for each word of the vocabulary; a word of many windows meets it where it is.
+    counted = places.join(F.broadcast(found) if small else found, "token", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     rarest = counted.groupBy("window", "items").agg(F.min(F.struct("count", "offset", "token")).alias("best"))
     # A window with a word that no document has is nowhere.
     return cut(rarest.filter(F.col("best.count") > 0).select(F.col("best.token").alias("token"), F.col("best.offset").alias("offset"), "window", "items"))
