@@ -146,7 +146,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, text_hash, start, end: maximal runs of words [start, end), each word of which is in a repeated passage."""
     named = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("text_hash"), F.col(text).alias("text"))
     schema = "key long, around binary, doc_id long, text_hash long, pos int, n_left byte, n_right byte"
-    dealt = named.mapInArrow(_suffixes, schema).repartitionByRange(partitions(docs.sparkSession), "key", "around")
+    # The place comes last in the order: equal suffixes, however many, go over as many partitions as they need.
+    dealt = named.mapInArrow(_suffixes, schema).repartitionByRange(partitions(docs.sparkSession), "key", "around", "text_hash", "doc_id", "pos")
     found = cut(dealt.mapInArrow(_match, "doc_id long, text_hash long, start long, end long, passage long"))
     open_ones = found.filter(F.col("passage").isNotNull()).distinct()
     again = open_ones.groupBy("passage").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("passage")
