@@ -37,6 +37,8 @@ WIDTH = CLASSES + 1
 FREQUENT = 1 << 20
 ROUNDS = 2
 BATCH = 16384
+#: Runs of one row in a batch are short up to so many tokens.
+SHORT = 6
 RATE = 0.25
 _END, _BEGIN = np.uint64(0xE0F), np.uint64(0xB0F)
 _FLUSH = 1 << 19
@@ -113,25 +115,50 @@ def within_rows(before: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.maximum(((((before + group.astype(np.uint64)) * _ODD[4]) ^ before) * _ODD[5] >> np.uint64(50)).astype(np.int32), CLASSES)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _gather(weights: np.ndarray, *rows: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each token's rows."""
+    total, more = np.take(weights, rows[0], axis=0), np.empty((len(rows[0]), weights.shape[1]), weights.dtype)
+    for row in rows[1:]:
+        total += np.take(weights, row, axis=0, out=more, mode="clip")  # clip: numpy writes to out without a copy
+    return total
+
+
+def _log_chance(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Of each row's softmax, the logarithm at goal; x is spent."""
     x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    value = x[np.arange(len(goal)), goal]
+    np.exp(x, out=x)
+    return value - np.log(np.einsum("ij->i", x))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
+    """x is spent."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= np.einsum("ij->i", x)[:, None]
     return x
 
 
+def _sums(values: np.ndarray, at: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Sums of values[at] over runs. Most runs are short: those are added one element of all runs at a time."""
+    total = values[at[starts]]
+    for k in range(1, SHORT):
+        runs = np.flatnonzero((length > k) & (length <= SHORT))
+        total[runs] += values[at[starts[runs] + k]]
+    long = length > SHORT
+    if long.any():
+        total[long] = np.add.reduceat(values[at[np.repeat(long, length)]], np.cumsum(length[long]) - length[long], axis=0)
+    return total
+
+
 def _step(weights: np.ndarray, seen: np.ndarray, used: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
     """An adaptive step on the rows that a batch uses; rows: (tokens, features of each)."""
     flat = rows.ravel().astype(np.uint16)  # rows are under 2^16, which are sorted by digits
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    total = np.add.reduceat(gradient[order // rows.shape[1]], starts, axis=0)
-    _move(weights, seen, used, ordered[starts], total, np.diff(np.append(starts, len(ordered))))
+    length = np.diff(np.append(starts, len(ordered)))
+    _move(weights, seen, used, ordered[starts], _sums(gradient, order // rows.shape[1], starts, length), length)
 
 
 def _move(weights: np.ndarray, seen: np.ndarray, used: np.ndarray, row: np.ndarray, total: np.ndarray, count: np.ndarray) -> None:
@@ -155,7 +182,7 @@ def _learn(shared):
                 for i in range(0, len(tokens), BATCH):
                     part = slice(i, i + BATCH)
                     here, goal = rows[part], target[part]
-                    gradient = _softmax(classes[here[:, 0]] + classes[here[:, 1]] + classes[here[:, 2]] + classes[0])
+                    gradient = _softmax(_gather(classes, *here.T) + classes[0])
                     gradient[np.arange(len(goal)), goal] -= 1
                     _move(classes, seen[0], used[0], np.zeros(1, int), gradient.sum(axis=0, keepdims=True), np.array([len(goal)]))
                     _step(classes, seen[0], used[0], here, gradient)
@@ -163,7 +190,7 @@ def _learn(shared):
                     if len(inside):
                         group, word = goal[inside], place[part][inside] % PER_CLASS
                         row = within_rows(before[part][inside], group)
-                        gradient = _softmax(within[group] + within[row])
+                        gradient = _softmax(_gather(within, group, row))
                         gradient[np.arange(len(word)), word] -= 1
                         own = (group == np.arange(CLASSES)[:, None]).astype(np.float32)
                         _move(within, seen[1], used[1], np.arange(CLASSES), own @ gradient, own.sum(axis=1))
@@ -227,13 +254,12 @@ def _score(shared, keep: list[str]):
                 for i in range(0, len(tokens), BATCH):
                     part = slice(i, i + BATCH)
                     here, goal = rows[part], target[part]
-                    chance = _log_softmax(classes_at(model, here))
-                    value[part] += chance[np.arange(len(goal)), goal] * log10
+                    value[part] += _log_chance(_gather(model.classes, *here.T) + model.classes[0], goal) * log10
                     inside = np.flatnonzero(goal < CLASSES)
                     if len(inside):
                         group = goal[inside]
-                        chance = _log_softmax(model.within[group] + model.within[within_rows(before[part][inside], group)])
-                        value[i + inside] += chance[np.arange(len(group)), place[part][inside] % PER_CLASS] * log10
+                        row = within_rows(before[part][inside], group)
+                        value[i + inside] += _log_chance(_gather(model.within, group, row), place[part][inside] % PER_CLASS) * log10
                 starts = np.cumsum(sizes) - sizes
                 sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, value, (place < 0).astype(np.int64))]
                 arrays = [batch.column(c)[first:end] for c in keep] + [pa.array(x) for x in (sizes, *sums)]
@@ -242,10 +268,6 @@ def _score(shared, keep: list[str]):
     return run
 
 
-def classes_at(model: Model, rows: np.ndarray) -> np.ndarray:
-    return model.classes[rows[:, 0]] + model.classes[rows[:, 1]] + model.classes[rows[:, 2]] + model.classes[0]
-
-
 def _rare(shared):
     """The tokens that are not frequent, of each text: distinct, with their number."""
 
