@@ -21,10 +21,11 @@ component; repeated rows are in one class. Extra columns are ignored; empty tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.llm.blocks import ASCII_LOWER, distinct, hashes, mix, shingles, slices, words
@@ -33,6 +34,8 @@ from sedgeline.llm.components import components
 
 #: Bits of the short sketch by which pairs are tested before their sets are compared.
 SKETCH_BITS = 2048
+#: Bits of the folded sketch that every pair that meets carries.
+FOLDED_BITS = 256
 #: Buckets of up to so many classes are compared pair by pair at once, larger ones by hubs in rounds.
 SMALL_BUCKET = 24
 #: Members of a large bucket on one side of a tile in which sketches are compared.
@@ -231,14 +234,31 @@ def _meet(small: int):
     return run
 
 
+def _apart_bits(words: int) -> Column:
+    """Hamming distance of a_bits and b_bits, arrays of so many 64-bit words."""
+    return sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(words)), F.lit(0))
+
+
+def _folded(sketch: str) -> Column:
+    """FOLDED_BITS bits of the sketch by XOR of its parts: again parities, so that distances don't grow."""
+    words, step = SKETCH_BITS // 64, FOLDED_BITS // 64
+    return F.array(*[reduce(Column.bitwiseXOR, [F.col(sketch)[k] for k in range(i, words, step)]) for i in range(step)])
+
+
 def _candidates(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b of d1), those whose sizes and whose sketches' Hamming distance allow a link."""
-    sides = [classes.select(*[F.col(c).alias(f"{x}_{c}") for c in ("d1", "name", "n_shingles", "sketch")]) for x in "ab"]
-    near = pairs.join(sides[0], F.col("a") == F.col("a_d1")).join(sides[1], F.col("b") == F.col("b_d1"))
+    """Of pairs (a, b of d1), those whose sizes and whose sketches' Hamming distance allow a link.
+
+    All pairs carry folded sketches only; whole ones go with those that pass the test on these.
+    """
     small, large = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
     most = F.floor((F.col("a_n_shingles") + F.col("b_n_shingles")) * (100 - percent) / (100 + percent))
-    apart = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return near.filter((small * 100 >= large * percent) & (apart <= most)).select("a_name", "b_name").distinct()
+    for bits, width in ((_folded("sketch"), FOLDED_BITS), (F.col("sketch"), SKETCH_BITS)):
+        described = classes.select("d1", "name", "n_shingles", bits.alias("bits"))
+        sides = [described.select(*[F.col(c).alias(f"{x}_{c}") for c in described.columns]) for x in "ab"]
+        near = pairs.join(sides[0], F.col("a") == F.col("a_d1")).join(sides[1], F.col("b") == F.col("b_d1"))
+        near = near.filter((small * 100 >= large * percent) & (_apart_bits(width // 64) <= most))
+        pairs = near.select("a", "b")
+    return near.select("a_name", "b_name").distinct()
 
 
 def _verify(items: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
