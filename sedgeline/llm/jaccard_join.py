@@ -4,14 +4,18 @@ Each distinct shingle of a document flips bits of a sketch (XOR), so that the Ha
 sketches is at most the size of the sets' symmetric difference. Sets that link differ by few shingles:
 |A xor B| <= t, where t follows from the sizes and the similarity. Per band of sizes the sketch is
 dealt to blocks, more than t of them; t differences spoil t blocks at most, so linked sets have equal
-blocks (pigeonhole) and meet in a join on (band, block, value). A set that has more than t blocks of a
-given weight sends only those: one of them is unspoiled, and so as heavy in the other set. Pairs that
+blocks (pigeonhole) and meet in a join on (band, block, value). A set that has more blocks of a
+given weight than differences from any partner sends only those: one of them is unspoiled, and so as
+heavy in the other set. Blocks of a single, maybe common, shingle are so left out. Pairs that
 meet pass a test of the Hamming distance of short sketches and are then verified exactly.
 
 Blocks are carried as packed numpy arrays, one per slice of documents and target partition. Sets that
 are equal are one class throughout. A bucket of many classes isn't expanded into pairs: its members are
-linked with one of them, and then the sketches of members that are not in one component yet are
-compared in tiles inside the tasks, so that every pair is looked at but only what may link is a row.
+linked with one of them, and then those buckets whose members are not in one component yet (found by
+numbers alone, and each set of members once) get the members' sketches and are compared in tiles inside
+the tasks, so that every pair is looked at but only what may link is a row. Pairs that pass are verified
+on their whole texts, one pair of each class first, then those across components. Sets are compared as
+64-bit hashes of shingles.
 
 Results for odd input: a null or empty text, or one without words, has an empty set and links with
 nothing. Fewer words than n are one shingle. Rows without doc_id take part in links, but name no
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.llm.blocks import ASCII_LOWER, distinct, hashes, mix, shingles, slices, words
-from sedgeline.llm.common import cut, partitions, row_key
+from sedgeline.llm.common import compact, cut, partitions, row_key, with_possible, without
 from sedgeline.llm.components import components
 
 #: Bits of the short sketch by which pairs are tested before their sets are compared.
@@ -40,6 +44,8 @@ FOLDED_BITS = 256
 SMALL_BUCKET = 24
 #: Members of a large bucket on one side of a tile in which sketches are compared.
 CHUNK = 4096
+#: Bytes of blocks that one task brings together, about.
+PART_BYTES = 32 << 20
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -66,7 +72,7 @@ def digests(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Bands:
-    """Size bands, and what a band's join needs: t differences at most, the number of blocks, the least weight.
+    """Size bands, and what a band's join needs: the number of blocks, more than the differences, and the least weight.
 
     Linked sets are in one band or in neighbouring ones. Join b is for pairs whose larger set is in
     band b; sets of band b - 1 that a set of band b can link with take part.
@@ -77,13 +83,18 @@ class Bands:
         while low[-1] <= largest:
             low.append(low[-1] * 100 // percent + 1)
         self.percent, self.low = percent, np.array(low, np.int64)
-        high = np.append(self.low[1:] - 1, 0)
-        self.differences = 2 * high * (100 - percent) // (100 + percent)
+        self.high = np.append(self.low[1:] - 1, 0)
+        most = 2 * self.high * (100 - percent) // (100 + percent)
         few = percent < 87
-        spread = np.maximum(self.differences + 1, np.floor(high / (3.5 if few else 7.0)).astype(np.int64))
-        tight = np.where(self.differences == 0, 1, 2 * (self.differences + 1))
-        self.blocks = np.where(high <= 64, tight, spread)
-        self.weight = np.where(high <= 64, 1, 1 if few else 3)
+        spread = np.maximum(most + 1, np.floor(self.high / (3.5 if few else 7.0)).astype(np.int64))
+        tight = np.where(most == 0, 1, 2 * (most + 1))
+        self.blocks = np.where(self.high <= 64, tight, spread)
+        self.weight = np.where(self.high <= 64, 1, 2 if few else 4)
+
+    def differences(self, sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """At most so many shingles are in one only of a set of this size and any set that it links with in the band's join."""
+        largest = np.minimum(np.maximum(self.high[band], sizes), sizes * 100 // self.percent)
+        return (sizes + largest) * (100 - self.percent) // (100 + self.percent)
 
     def joins(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(own band, whether the set also takes part in the next one's join)."""
@@ -109,7 +120,7 @@ def block_keys(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, bands: Ban
         np.bitwise_xor.at(content, at, mix(v + np.uint64(0x243F6A8885A308D3)))
         owner = np.repeat(np.arange(len(sizes)), blocks)
         heavy = weight >= bands.weight[band][owner]
-        enough = np.bincount(owner[heavy], minlength=len(sizes)) > bands.differences[band]
+        enough = np.bincount(owner[heavy], minlength=len(sizes)) > bands.differences(sizes, band)
         sent = np.flatnonzero(heavy | ~enough[owner])
         owner = owner[sent]
         place = (band[owner].astype(np.uint64) << np.uint64(32)) + (sent - first[owner]).astype(np.uint64)
@@ -246,117 +257,126 @@ def _folded(sketch: str) -> Column:
 
 
 def _candidates(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b of d1), those whose sizes and whose sketches' Hamming distance allow a link.
+    """Of pairs (a, b of d1), (u, v: ids, u the greater) whose sizes and whose sketches' Hamming distance allow a link.
 
     All pairs carry folded sketches only; whole ones go with those that pass the test on these.
     """
     small, large = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
     most = F.floor((F.col("a_n_shingles") + F.col("b_n_shingles")) * (100 - percent) / (100 + percent))
-    for bits, width in ((_folded("sketch"), FOLDED_BITS), (F.col("sketch"), SKETCH_BITS)):
-        described = classes.select("d1", "name", "n_shingles", bits.alias("bits"))
+    for on, bits, width in (("d1", _folded("sketch"), FOLDED_BITS), ("id", F.col("sketch"), SKETCH_BITS)):
+        described = classes.select(F.col(on).alias("on"), "id", "n_shingles", bits.alias("bits"))
         sides = [described.select(*[F.col(c).alias(f"{x}_{c}") for c in described.columns]) for x in "ab"]
-        near = pairs.join(sides[0], F.col("a") == F.col("a_d1")).join(sides[1], F.col("b") == F.col("b_d1"))
+        near = pairs.join(sides[0], F.col("a") == F.col("a_on")).join(sides[1], F.col("b") == F.col("b_on"))
         near = near.filter((small * 100 >= large * percent) & (_apart_bits(width // 64) <= most))
-        pairs = near.select("a", "b")
-    return near.select("a_name", "b_name").distinct()
+        pairs = near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def _whole(texts: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text: one text of each class in ids (id). Only texts that may be wanted are shuffled."""
+    wanted = cut(classes.join(ids, "id", "left_semi").select("id", F.col("doc.doc_id").alias("w_doc"), F.col("doc.text_hash").alias("w_hash")))
+    possible = with_possible(texts, wanted.select(F.col("w_hash").alias("text_hash")), "text_hash", "possible").filter("possible")
+    found = possible.join(wanted, possible["doc_id"].eqNullSafe(wanted["w_doc"]) & (possible["text_hash"] == wanted["w_hash"]))
+    return found.select("id", "text").dropDuplicates(["id"])  # repeated rows of a document
+
+
+def _verify(whole: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of pairs (u, v), the links, by the sets of their whole texts."""
+    both = pairs.join(whole.select(F.col("id").alias("u"), F.col("text").alias("u_text")), "u")
+    both = both.join(whole.select(F.col("id").alias("v"), F.col("text").alias("v_text")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u_sets, v_sets = (_sets(batch.column(c), n) for c in ("u_text", "v_text"))
+            links = []
+            for i, (x, y) in enumerate(zip(u_sets, v_sets, strict=True)):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common * 100 >= (len(x) + len(y) - common) * percent:
+                    links.append(i)
+            yield batch.select(["u", "v"]).take(pa.array(links, pa.int64()))
+
+    return both.select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
 
 
-def _verify(items: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs of class names (a_name, b_name), the links (u, v), by their whole sets."""
-    with_a = pairs.join(items.select(F.col("name").alias("a_name"), F.col("items").alias("a_items")), "a_name")
-    with_both = with_a.join(items.select(F.col("name").alias("b_name"), F.col("items").alias("b_items")), "b_name")
-    common = F.size(F.array_intersect("a_items", "b_items"))
-    union = F.size("a_items") + F.size("b_items") - common
-    return with_both.filter(common * 100 >= union * percent).select(F.col("a_name").alias("u"), F.col("b_name").alias("v"))
+def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    for _first, _end, _row, value, sizes in shingle_sets(column, n):
+        yield from np.split(value, np.cumsum(sizes)[:-1])
 
 
 def similar(
     docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", small: int = SMALL_BUCKET, chunk: int = CHUNK
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three frames: members (doc_id, text_hash, n_shingles, name of the class), links (u, v: names), groups (node, component: names).
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Four frames: members (doc_id, text_hash, n_shingles, d1, d2), classes (id, n_shingles, d1, d2) of sets that met
+    others, links (u, v: ids), groups (node, component: ids).
 
     links are enough of all links for the components: those within one that others make needless aren't looked at.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent is above 0 and at most 100")
-    spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("text_hash"), F.col(text).alias("text"))
-    described = texts.mapInArrow(_describe(n), "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sketch array<long>")
-    name = F.concat_ws(":", "n_shingles", F.hex("d1"), F.hex("d2"))
-    members = cut(described.withColumn("name", F.when(F.col("n_shingles") > 0, name)))
-    largest = members.agg(F.max("n_shingles")).first()[0] or 1
-    bands = Bands(percent, int(largest))
-    parts = partitions(spark)
+    members = cut(texts.mapInArrow(_describe(n), "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sketch array<long>"))
+    largest, every = members.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
+    bands = Bands(percent, int(largest or 1))
+    parts = max(partitions(docs.sparkSession), int(every or 0) * 5 // PART_BYTES)
     packed = texts.select("text").mapInArrow(_send(n, bands, parts), "part long, packed binary")
     met = cut(packed.groupBy("part").applyInArrow(_meet(small), "bucket long, a long, b long"))
-    whole = members.filter("n_shingles > 0").groupBy("name", "n_shingles", "d1", "sketch").agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"))
-    seen = met.select(F.col("a").alias("d1")).unionByName(met.select(F.col("b").alias("d1"))).distinct()
-    classes = cut(whole.join(seen, "d1", "left_semi"))
-    pairs = met.filter(F.col("bucket").isNull()).select("a", "b").distinct()
-    near = cut(_candidates(classes, pairs, percent).select(F.greatest("a_name", "b_name").alias("a_name"), F.least("a_name", "b_name").alias("b_name")).distinct())
-    large = met.filter(F.col("bucket").isNotNull()).select(F.col("a").alias("d1")).distinct().join(classes, "d1").select("name")
-    items = _items(classes, near.select(F.explode(F.array("a_name", "b_name")).alias("name")).unionByName(large).distinct(), texts, n)
+    seen = met.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("d1")).distinct()
+    chosen = members.filter("n_shingles > 0").join(seen, "d1", "left_semi")
+    classes = cut(chosen.groupBy("d1", "d2", "n_shingles", "sketch").agg(F.min(F.struct("doc_id", "text_hash")).alias("doc")))
+    # The rows are written, each in its partition, and so keep these numbers.
+    classes = classes.withColumn("id", F.monotonically_increasing_id())
+    near, _ = compact(_candidates(classes, met.filter(F.col("bucket").isNull()).select("a", "b").distinct(), percent))
+    whole = cut(_whole(texts, classes, near.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
     # One pair for each class first: in a group of near copies that links nearly all, and the rest need no look.
-    links = cut(_verify(items, near.groupBy("a_name").agg(F.min("b_name").alias("b_name")), percent))
-    groups = cut(components(links))
-    links, groups = _extend(items, _apart(near, groups), links, groups, percent)
-    links, groups = _extend(items, _within_buckets(met, classes, groups, percent, chunk), links, groups, percent)
-    return members, links, groups
+    links, _ = compact(_verify(whole, near.groupBy("u").agg(F.min("v").alias("v")), n, percent))
+    groups = components(links)
+    links, groups = _extend(whole, _apart(near, groups), links, groups, n, percent)
+    late, _ = compact(_within_buckets(met, classes, groups, percent, chunk))
+    if not late.isEmpty():
+        whole = cut(_whole(texts, classes, late.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
+        links, groups = _extend(whole, late.groupBy("u").agg(F.min("v").alias("v")), links, groups, n, percent)
+        links, groups = _extend(whole, _apart(late, groups), links, groups, n, percent)
+    return members.drop("sketch"), classes.select("id", "n_shingles", "d1", "d2"), links, groups
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs whose classes are not in one component."""
-    labels = [groups.select(F.col("node").alias(f"{x}_name"), F.col("component").alias(f"{x}_component")) for x in "ab"]
-    labelled = pairs.join(labels[0], "a_name", "left").join(labels[1], "b_name", "left")
-    together = F.coalesce(F.col("a_component") == F.col("b_component"), F.lit(False))
-    return labelled.filter(~together).select("a_name", "b_name")
+    labels = [groups.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "uv"]
+    labelled = pairs.join(labels[0], "u", "left").join(labels[1], "v", "left")
+    together = F.coalesce(F.col("u_component") == F.col("v_component"), F.lit(False))
+    return labelled.filter(~together).select("u", "v")
 
 
-def _extend(items: DataFrame, pairs: DataFrame, links: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    more = cut(_verify(items, pairs, percent))
-    if more.isEmpty():
+def _extend(whole: DataFrame, pairs: DataFrame, links: DataFrame, groups: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    pairs, _ = compact(pairs)
+    if pairs.isEmpty():
         return links, groups
-    links = cut(links.unionByName(more).distinct())
-    return links, cut(components(links))
-
-
-def _items(classes: DataFrame, names: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """name, items (the shingles) of the named classes, from one text of each."""
-    wanted = classes.join(names, "name", "left_semi").select("name", F.col("doc.doc_id").alias("c_id"), F.col("doc.text_hash").alias("c_hash"))
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["c_id"]) & (texts["text_hash"] == wanted["c_hash"]))
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[str] = set()  # repeated rows meet in one task, and their class is described once
-        for batch in batches:
-            fresh = []
-            for i, name in enumerate(batch.column("name").to_pylist()):
-                if name not in done:
-                    done.add(name)
-                    fresh.append(i)
-            batch = batch.take(pa.array(fresh, pa.int64()))
-            for first, end, _row, value, sizes in shingle_sets(batch.column("text"), n):
-                stops = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("name")[first:end], pa.ListArray.from_arrays(stops, pa.array(value.view(np.int64)))], ["name", "items"])
-
-    return cut(found.select("name", "text").mapInArrow(describe, "name string, items array<long>"))
+    links, _ = compact(links.unionByName(_verify(whole, pairs, n, percent)))
+    return links, components(links)
 
 
 def _within_buckets(met: DataFrame, classes: DataFrame, groups: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Pairs (a_name, b_name) of large buckets whose sketches allow a link and that are not in one component yet.
+    """Pairs (u, v) of large buckets whose sketches allow a link and that are not in one component yet.
 
-    Sketches are compared in blocks of a bucket's members, inside the tasks; only what passes is a row.
-    A bucket is dealt to tiles of chunk members on either side, so that a task's memory is bounded.
+    Buckets are first told apart by numbers: those within one component need no look, and of those with
+    the same members one is looked at. Only then the members get their sketches. A bucket is dealt to
+    tiles of chunk members on either side, so that a task's memory is bounded; in a tile only what
+    passes is a row.
     """
     rows = met.filter(F.col("bucket").isNotNull()).select("bucket", F.col("a").alias("d1"))
-    labels = groups.select(F.col("node").alias("name"), "component")
-    labelled = rows.join(classes.select("d1", "name", "n_shingles", "sketch"), "d1").join(labels, "name", "left")
-    labelled = cut(labelled.select("bucket", "name", "n_shingles", "sketch", F.xxhash64(F.coalesce("component", "name")).alias("component")))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("all")).filter("low < high")
+    numbered = rows.join(classes.select("d1", "id"), "d1").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
+    numbered, _ = compact(numbered.select("bucket", "id", F.coalesce("component", "id").alias("component")))
+    names = F.xxhash64("id"), F.xxhash64(F.lit("other"), "id")
+    summed = [F.sum(names[0].cast("decimal(20,0)")).alias("sum"), F.bit_xor(names[1]).alias("xor")]
+    about = numbered.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("all"), *summed)
+    mixed = about.filter("low < high").groupBy("all", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket", "all")
     chunks = F.ceil(F.col("all") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("name"), chunks).cast("int")
-    dealt = labelled.join(mixed.select("bucket", "all"), "bucket").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    tiles = dealt.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).drop("other", "all")
-    return tiles.groupBy("bucket", "low", "high").applyInArrow(_compare(percent), "a_name string, b_name string").distinct()
+    mine = F.pmod(F.xxhash64("id"), chunks).cast("int")
+    chosen = numbered.join(mixed, "bucket").withColumn("chunks", chunks).withColumn("mine", mine)
+    described = chosen.join(classes.select("id", "n_shingles", "sketch"), "id")
+    dealt = described.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = dealt.select("bucket", "id", "component", "n_shingles", "sketch", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    return tiles.groupBy("bucket", "low", "high").applyInArrow(_compare(percent), "u long, v long").distinct()
 
 
 def _compare(percent: int):
@@ -382,8 +402,9 @@ def _compare(percent: int):
             fresh = a + i < b
             left.append(a[fresh] + i)
             right.append(b[fresh])
-        names = table.column("name")
-        return pa.table({"a_name": names.take(pa.array(np.concatenate(left))), "b_name": names.take(pa.array(np.concatenate(right)))})
+        names = table.column("id").to_numpy()
+        u, v = names[np.concatenate(left)], names[np.concatenate(right)]
+        return pa.table({"u": pa.array(np.maximum(u, v)), "v": pa.array(np.minimum(u, v))})
 
     return run
 
@@ -396,33 +417,28 @@ def link_components(
     component_id: the least doc_id that links reach. stands: the row is the one that stands for its
     component, that of the least doc_id (null last) and then text_hash; empty sets stand for themselves.
     """
-    members, _links, groups = similar(docs, n, percent, doc_id, text, small, chunk)
+    members, classes, _links, groups = similar(docs, n, percent, doc_id, text, small, chunk)
+    name = ["d1", "d2", "n_shingles"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    least = members.filter("name is not null").groupBy("name").agg(first.alias("first"))
-    labelled = least.join(groups.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    of_component = labelled.groupBy("component").agg(F.min("first").alias("first"))
-    of_class = labelled.drop("first").join(of_component, "component").select("name", "first")
-    joined = members.join(of_class, "name", "left")
+    of_class = members.filter("n_shingles > 0").groupBy(*name).agg(first.alias("first"))
+    linked = groups.join(classes, groups["node"] == classes["id"]).select(*name, "component")
+    of_class, _ = compact(of_class.join(linked, name, "left"))
+    of_component = of_class.filter("component is not null").groupBy("component").agg(F.min("first").alias("best"))
+    best = of_class.join(of_component, "component", "left").select(*name, F.coalesce("best", "first").alias("first"))
+    joined = members.join(best, name, "left")
     stands = joined["doc_id"].eqNullSafe(F.col("first.doc_id")) & (joined["text_hash"] == F.col("first.text_hash"))
     return joined.select(
         "doc_id",
         "text_hash",
         "n_shingles",
-        F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
-        (F.col("name").isNull() | stands).alias("stands"),
+        F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        (F.col("first").isNull() | stands).alias("stands"),
     )
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows for which another one of their component stands. Empty sets stay."""
+    """docs without the rows for which another one of their component stands. Empty sets stay; of rows that repeat the one that stands, one stays."""
     found = cut(link_components(docs, n, percent, doc_id, text))
-    gone = found.filter(~F.col("stands")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = docs.withColumn("_key", row_key(doc_id, text))
-    stays = keyed.join(gone, keyed[doc_id].eqNullSafe(gone["_id"]) & (keyed["_key"] == gone["_hash"]), "left_anti")
-    repeated = cut(found.filter("stands and n_shingles > 0").groupBy("doc_id", "text_hash").count().filter("count > 1"))
-    if not repeated.isEmpty():
-        # Rows that are repeated as a whole have one name; one of them stays.
-        twice = (stays[doc_id].eqNullSafe(repeated["doc_id"])) & (stays["_key"] == repeated["text_hash"])
-        single = stays.join(repeated, twice, "left_anti")
-        stays = single.unionByName(stays.join(repeated, twice, "left_semi").dropDuplicates([doc_id, "_key"]))
-    return stays.select(*docs.columns)
+    gone = found.filter(~F.col("stands")).select("doc_id", "text_hash").distinct()
+    repeated = found.filter("stands and n_shingles > 0").groupBy("doc_id", "text_hash").count().filter("count > 1")
+    return without(docs, compact(gone)[0], doc_id, text, once=compact(repeated)[0])
