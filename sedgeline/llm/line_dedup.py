@@ -45,7 +45,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         starts = np.flatnonzero(new)
         stops = np.append(starts[1:], len(h1))
-        for i, j in {(starts[0], stops[0]), (starts[-1], stops[-1])}:
+        for i, j in sorted({(int(starts[0]), int(stops[0])), (int(starts[-1]), int(stops[-1]))}):
             first, last = (doc[i], text[i]), (doc[j - 1], text[j - 1])
             changes = 1 + int(np.count_nonzero((doc[i + 1 : j] != doc[i : j - 1]) | (text[i + 1 : j] != text[i : j - 1])))
             run = [int(h1[i]), int(h2[i]), changes, first, last]
@@ -89,6 +89,7 @@ def _stream(policy: str, min_docs: int, totals: dict, before: dict):
             return pa.RecordBatch.from_arrays([pa.array(rows[k][keep].astype(np.int64)) for k in (2, 3, 4)], ["doc", "text_hash", "pos"])
 
         open_key = None
+        last_row, last_new = None, True
         for rows in _runs(batches):
             if policy == REPEATED:
                 h1, h2, part = rows[0], rows[1], int(rows[5][0])
@@ -98,6 +99,11 @@ def _stream(policy: str, min_docs: int, totals: dict, before: dict):
                 if open_key == first or (open_key is None and (part, *first) in before):
                     new[0] = False
                 open_key = (int(h1[-1]), int(h2[-1]))
+                # A line of a repeated row (they are next to each other, in one partition) fares as its first copy.
+                same = np.append(last_row == tuple(int(x[0]) for x in rows[:5]), np.all([x[1:] == x[:-1] for x in rows[:5]], axis=0))
+                own = np.maximum.accumulate(np.where(same, -1, np.arange(len(h1))))
+                new = np.where(own >= 0, new[own], last_new)
+                last_row, last_new = tuple(int(x[-1]) for x in rows[:5]), bool(new[-1])
                 yield out(rows, ~new)
                 continue
             if held is not None:
