@@ -111,6 +111,19 @@ def shingles(word: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray,
     return rows[order], values[order]
 
 
+def windows(word: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of the n words from each position on; none for the last n - 1."""
+    if len(word) < n:
+        return np.empty(0, np.uint64)
+    out = np.empty(len(word) - n + 1, np.uint64)
+    up, down = _power(HASH_BYTES + n)
+    for i in range(0, len(out), HASH_BYTES):
+        part = word[i : i + HASH_BYTES + n - 1]
+        sums = np.append(np.uint64(0), np.cumsum(mix(part) * up[: len(part)], dtype=np.uint64))
+        out[i : i + HASH_BYTES] = mix((sums[n:] - sums[:-n]) * down[: len(part) - n + 1])
+    return out
+
+
 def distinct(row: np.ndarray, value: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct values of each row, sorted by row and value, and their number per row."""
     order = np.lexsort((value, row))
