@@ -66,7 +66,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), keep=["page_id"])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,13 +89,13 @@ QUERIES = {
 SQL = {
     "op3_line_dedup": r"""
 with numbered as (
-  select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
+  select row_number() over () as row, doc_id, hash(doc_id, text) as document, string_split(coalesce(text, ''), chr(10)) as lines from documents
 ), lines as (
-  select row, doc_id, unnest(range(1, len(lines) + 1)) as pos, unnest(lines) as line from numbered
+  select row, doc_id, document, unnest(range(1, len(lines) + 1)) as pos, unnest(lines) as line from numbered
 ), keyed as (
   select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines
 ), frequent as (
-  select key from keyed where length(key) >= 1 group by key having count(distinct row) >= 10
+  select key from keyed where length(key) >= 1 group by key having count(distinct document) >= 10
 ), marked as (
   select k.*, f.key is not null as gone from keyed k left join frequent f on k.key = f.key
 )
@@ -133,7 +133,11 @@ from doc_words d left join covered c on d.row = c.row left join found f on d.row
 """,
     "op10_mixing": r"""
 with sizes as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+         md5('mix:' || coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, '')))) as draw
+  from documents
+), digits as (
+  select *, length(bin(size))::double as w from sizes
 ), per_source as (
   select source, sum(size)::bigint as source_size from sizes group by source
 ), weighed as (
@@ -149,22 +153,29 @@ with sizes as (
 ), targets as (
   select l.source, l.source_size, case when l.level * l.weight >= l.cap then l.cap else c.level * l.weight end as target
   from levels l cross join common c
-), shares as (
-  select *, least(floor(coalesce(target / nullif(source_size, 0), 0)), 2)::bigint as whole from targets
-), wants as (
-  select *, greatest(target - whole * source_size, 0.0::double) as wanted from shares
-), odds as (
-  select s.doc_id, s.source, s.size, w.source_size, w.target, w.whole, w.wanted, w.wanted / nullif(w.source_size, 0) as inclusion,
-         (('0x' || substr(md5('mix:' || coalesce(s.doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
-  from sizes s join wants w on s.source is not distinct from w.source
+), sums as (
+  select source, w, sum(size)::bigint as words from digits group by source, w
+), tried as (
+  select s.*, t.source_size, t.target,
+         (t.target - coalesce(sum(words * 2.0::double) over (partition by s.source order by w desc rows between unbounded preceding and 1 preceding), 0.0::double))
+         / nullif(sum(words * w) over (partition by s.source order by w desc rows between current row and unbounded following), 0) as c
+  from sums s join targets t on s.source is not distinct from t.source
+), rates as (
+  select source, source_size, target, arg_max(c, w) filter (where c * w < 2) as c from tried group by source, source_size, target
+), certain as (
+  select t.source, sum(floor(coalesce(least(r.c * t.w, 2), 2)) * t.words) as words from tried t join rates r on t.source is not distinct from r.source group by t.source
+), expected as (
+  select d.*, r.source_size, r.target, greatest(round(r.target - k.words, 3), 0.0::double) as wanted, coalesce(least(r.c * d.w, 2.0::double), 2.0::double) as e,
+         (('0x' || substr(d.draw, 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
+  from digits d join rates r on d.source is not distinct from r.source join certain k on d.source is not distinct from k.source
+), quotients as (
+  select *, floor(e)::bigint as whole, case when e > floor(e) then u / (1 - u) / ((e - floor(e)) / (1 - (e - floor(e)))) end as q from expected
 ), ranked as (
-  select *, case when inclusion > 0 and inclusion < 1 then u / (1 - u) / (inclusion / (1 - inclusion)) else u / (1 - u) end as pareto from odds
+  select *, q / (1 + q) as place from quotients
 ), placed as (
-  select *, sum(size) over (partition by source order by pareto, doc_id nulls first, size rows between unbounded preceding and current row) - size as before_doc from ranked
+  select *, q is not null and sum(size) over (partition by source, q is null order by place, draw, size rows between unbounded preceding and current row) - size / 2.0::double <= wanted as extra
+  from ranked
 )
-select doc_id, size, source_size, target,
-       (whole + case when before_doc + size / 2.0::double <= wanted then 1 else 0 end)::bigint as copies,
-       ((whole + case when before_doc + size / 2.0::double <= wanted then 1 else 0 end) * size)::bigint as taken
-from placed
+select doc_id, size, source_size, target, whole + extra::bigint as copies, (whole + extra::bigint) * size as taken from placed
 """,
 }
