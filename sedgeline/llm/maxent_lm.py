@@ -1,10 +1,11 @@
 """LM scoring with a hashed maximum-entropy model.
 
 Tokens are words (A-Z lower-cased) and one end per text. The HEAD most frequent tokens are dealt to
-classes by rank, all others are one class more. A token's probability is that of its class, a softmax
-over features of its history (the word before, the two before, the second before: a skip), times that
-within the class: again a softmax over hashed features (the word before, with the class) for classes
-of the head, and add-one frequencies for the rest.
+classes by rank, all others by what they end in (their last byte). A token's probability is that of its
+class, a softmax over features of its history (the word before, the two before, the second before: a
+skip), times that within the class: again a softmax over hashed features (the word before, with the
+class) for classes of the head, and add-one frequencies in the class for the rest, which leave one place
+for words that training hasn't seen.
 
 Weights are learnt from all training texts: in each round every task takes steps on its share from the
 common weights, and its changes are summed per feature row, weighted by use, with a plain aggregation.
@@ -19,7 +20,7 @@ the score is the base score. Extra columns are ignored; an empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ from sedgeline.llm.common import cut, row_key, same
 CLASSES, PER_CLASS = 32, 32
 HEAD = CLASSES * PER_CLASS
 CLASS_ROWS = WORD_ROWS = 1 << 14
-WIDTH = CLASSES + 1
+#: Classes of the tokens outside the head.
+ENDINGS = 32
+WIDTH = CLASSES + ENDINGS
 #: A token is frequent if more than one in so many tokens is it.
 FREQUENT = 1 << 20
 ROUNDS = 2
@@ -40,43 +43,50 @@ BATCH = 16384
 #: Runs of one row in a batch are short up to so many tokens.
 SHORT = 6
 RATE = 0.25
+#: Letters are classes of their own, then digits, comma, full stop, other signs, and bytes of other characters in two.
+_ENDING = np.array([b - 97 if 97 <= b <= 122 else 26 if 48 <= b <= 57 else 27 if b == 44 else 28 if b == 46 else 29 if b < 128 else 30 + (b & 1) for b in range(256)], np.uint8)
 _END, _BEGIN = np.uint64(0xE0F), np.uint64(0xB0F)
 _FLUSH = 1 << 19
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def token_arrays(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Per slice of texts: first and end row, the hash of every token with each text's end, tokens per text."""
+def token_arrays(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per slice of texts: first and end row, hash and ending of every token with each text's end, tokens per text."""
     for first, end, data, rows in slices(column):
         lower = ASCII_LOWER[data]
         starts, ends, counts = words(lower, rows)
-        tokens = np.insert(hashes(lower, starts, ends), np.cumsum(counts), _END)
-        yield first, end, tokens, counts + 1
+        stops = np.cumsum(counts)
+        tokens = np.insert(hashes(lower, starts, ends), stops, _END)
+        endings = np.insert(_ENDING[lower[ends - 1]], stops, np.uint8(29))
+        yield first, end, tokens, endings, counts + 1
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(token: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "count"])
+    def out(token: np.ndarray, ending: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ending.astype(np.int32)), pa.array(count)], ["token", "ending", "count"])
 
-    known, totals = np.empty(0, np.uint64), np.empty(0, np.int64)
+    nothing = np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64)
+    known, kinds, totals = nothing
     for batch in batches:
-        for _first, _end, tokens, _sizes in token_arrays(batch.column("text")):
-            new, count = np.unique(tokens, return_counts=True)
-            both, place = np.unique(np.concatenate([known, new]), return_inverse=True)
+        for _first, _end, tokens, endings, _sizes in token_arrays(batch.column("text")):
+            new, at, count = np.unique(tokens, return_index=True, return_counts=True)
+            both, first, place = np.unique(np.concatenate([known, new]), return_index=True, return_inverse=True)
+            kinds = np.concatenate([kinds, endings[at]])[first]
             known, totals = both, np.bincount(place, np.concatenate([totals, count]), len(both)).astype(np.int64)
             if len(known) > _FLUSH:
-                yield out(known, totals)
-                known, totals = np.empty(0, np.uint64), np.empty(0, np.int64)
-    yield out(known, totals)
+                yield out(known, kinds, totals)
+                known, kinds, totals = nothing
+    yield out(known, kinds, totals)
 
 
 @dataclass
 class Model:
-    """token (sorted), log_count and place (in the head, or -1) of the frequent tokens, and the weights."""
+    """token (sorted), log_count and place (in the head, or -1) of the frequent tokens, the logarithms of the tail classes' sizes, and the weights."""
 
     token: np.ndarray
     log_count: np.ndarray
     place: np.ndarray
+    tail: np.ndarray
     classes: np.ndarray
     within: np.ndarray
 
@@ -174,11 +184,11 @@ def _learn(shared):
         seen = [np.zeros(CLASS_ROWS, np.float32), np.zeros(WORD_ROWS, np.float32)]
         used = [np.zeros(CLASS_ROWS, np.float32), np.zeros(WORD_ROWS, np.float32)]
         for batch in batches:
-            for _first, _end, tokens, sizes in token_arrays(batch.column("text")):
+            for _first, _end, tokens, endings, sizes in token_arrays(batch.column("text")):
                 rows, before = features(tokens, sizes)
                 known, at = model.look_up(tokens)
                 place = np.where(known, model.place[at], -1)
-                target = np.where(place >= 0, place // PER_CLASS, CLASSES)
+                target = np.where(place >= 0, place // PER_CLASS, CLASSES + endings.astype(np.int64))
                 for i in range(0, len(tokens), BATCH):
                     part = slice(i, i + BATCH)
                     here, goal = rows[part], target[part]
@@ -205,22 +215,27 @@ def _learn(shared):
 
 
 def vocabulary(train: DataFrame) -> DataFrame:
-    """token (hash), count over all training texts."""
-    return cut(train.mapInArrow(_count, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")))
+    """token (hash), ending, count over all training texts."""
+    counts = train.mapInArrow(_count, "token long, ending int, count long")
+    return cut(counts.groupBy("token").agg(F.min("ending").alias("ending"), F.sum("count").alias("count")))
 
 
 def fit(train: DataFrame, vocab: DataFrame, total: int) -> Model:
     """train: text and key columns; vocab: its vocabulary; total: its tokens."""
     spark = train.sparkSession
     frequent = vocab.filter(F.col("count") * FREQUENT >= total).toArrow()
-    token, count = frequent.column("token").to_numpy().view(np.uint64), frequent.column("count").to_numpy()
+    token, ending, count = frequent.column("token").to_numpy().view(np.uint64), frequent.column("ending").to_numpy(), frequent.column("count").to_numpy()
     order = np.argsort(token)
-    token, count = token[order], count[order]
+    token, ending, count = token[order], ending[order], count[order]
     place = np.full(len(token), -1, np.int32)
     head = np.lexsort((token, -count))[:HEAD]
     place[head] = np.arange(len(head))
+    size = np.ones(ENDINGS)
+    for r in vocab.groupBy("ending").agg((F.sum("count") + F.count(F.lit(1))).alias("size")).collect():
+        size[r["ending"]] += r["size"]
+    size -= np.bincount(ending[head], count[head] + 1, ENDINGS)
     weights = [np.zeros((CLASS_ROWS, WIDTH), np.float32), np.zeros((WORD_ROWS, PER_CLASS), np.float32)]
-    model = Model(token, np.log10(count + 1.0), place, *weights)
+    model = Model(token, np.log10(count + 1.0), place, np.log10(size), *weights)
     columns = [f"d{k}" for k in range(WIDTH)]
     schema = "row int, used float, " + ", ".join(f"{c} float" for c in columns)
     for number in range(ROUNDS):
@@ -234,7 +249,7 @@ def fit(train: DataFrame, vocab: DataFrame, total: int) -> Model:
         of_classes = row < CLASS_ROWS
         classes[row[of_classes]] += mean[of_classes].astype(np.float32)
         within[row[~of_classes] - CLASS_ROWS] += mean[~of_classes, :PER_CLASS].astype(np.float32)
-        model = Model(model.token, model.log_count, model.place, classes, within)
+        model = replace(model, classes=classes, within=within)
     return model
 
 
@@ -244,13 +259,14 @@ def _score(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for first, end, tokens, sizes in token_arrays(batch.column("text")):
+            for first, end, tokens, endings, sizes in token_arrays(batch.column("text")):
                 rows, before = features(tokens, sizes)
                 known, at = model.look_up(tokens)
                 place = np.where(known, model.place[at], -1)
-                target = np.where(place >= 0, place // PER_CLASS, CLASSES)
+                target = np.where(place >= 0, place // PER_CLASS, CLASSES + endings.astype(np.int64))
                 base = np.where(known, model.log_count[at], 0.0)
-                value = np.where(place >= 0, 0.0, base)
+                # Counts of tokens that aren't frequent come by a join.
+                value = np.where(place >= 0, 0.0, base - model.tail[endings])
                 for i in range(0, len(tokens), BATCH):
                     part = slice(i, i + BATCH)
                     here, goal = rows[part], target[part]
@@ -261,9 +277,9 @@ def _score(shared, keep: list[str]):
                         row = within_rows(before[part][inside], group)
                         value[i + inside] += _log_chance(_gather(model.within, group, row), place[part][inside] % PER_CLASS) * log10
                 starts = np.cumsum(sizes) - sizes
-                sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, value, (place < 0).astype(np.int64))]
+                sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, value)]
                 arrays = [batch.column(c)[first:end] for c in keep] + [pa.array(x) for x in (sizes, *sums)]
-                yield pa.RecordBatch.from_arrays(arrays, [*keep, "n_tokens", "often_known", "often_base", "partial", "n_tail"])
+                yield pa.RecordBatch.from_arrays(arrays, [*keep, "n_tokens", "often_known", "often_base", "partial"])
 
     return run
 
@@ -275,7 +291,7 @@ def _rare(shared):
         model = shared.value
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text_hash")
-            for first, _end, tokens, sizes in token_arrays(batch.column("text")):
+            for first, _end, tokens, _endings, sizes in token_arrays(batch.column("text")):
                 known, _at = model.look_up(tokens)
                 row, token = np.repeat(np.arange(len(sizes)), sizes)[~known], tokens[~known]
                 order = np.lexsort((token, row))
@@ -291,7 +307,7 @@ def _rare(shared):
 
 
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, model_tokens for each row; learns where held_out is false."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; learns where held_out is false."""
     spark = docs.sparkSession
     named = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("text_hash"), held_out.alias("held_out"), F.col(text).alias("text"))
     train = named.filter(~F.col("held_out")).select("text", F.xxhash64("text_hash").alias("key"))
@@ -302,13 +318,10 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
         zero, nothing = F.lit(0).cast("long"), F.lit(0.0)
         return empty.select("*", zero.alias("n_known"), zero.alias("train_tokens"), nothing.alias("base_score"), nothing.alias("score"))
     model = fit(train, vocab, total)
-    in_head = model.place >= 0
-    head_tokens = int(round(float(np.sum(10 ** model.log_count[in_head] - 1))))
-    tail = float(np.log10(total - head_tokens + size - int(in_head.sum()) + 1))
     shared = spark.sparkContext.broadcast(model)
     keep = ["doc_id", "text_hash", "held_out"]
     scored = named.mapInArrow(
-        _score(shared, keep), "doc_id long, text_hash long, held_out boolean, n_tokens long, often_known long, often_base double, partial double, n_tail long"
+        _score(shared, keep), "doc_id long, text_hash long, held_out boolean, n_tokens long, often_known long, often_base double, partial double"
     )
     scored = cut(scored)
     rare = named.select("doc_id", "text_hash", "text").mapInArrow(_rare(shared), "doc_id long, text_hash long, token long, n long")
@@ -328,5 +341,5 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
         (F.col("often_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("often_base") + rare_base - F.col("n_tokens") * F.lit(float(np.log10(total + size + 1)))).alias("base_score"),
-        (F.col("partial") + rare_base - F.col("n_tail") * F.lit(tail)).alias("score"),
+        (F.col("partial") + rare_base).alias("score"),
     )
