@@ -1,7 +1,8 @@
 """Document fingerprints by Order MinHash, with DataFrame functions only.
 
-The k-mers of a text are its runs of k words, numbered by occurrence, so that a repeated k-mer counts
-as often as it is there. Their hashes deal them to bins; in each bin the two minimal ones are taken,
+The k-mers of a text are its runs of three words, numbered by occurrence, so that a repeated k-mer counts
+as often as it is there. A text whose words have more than LONG code points on average (one without white
+space, such as Chinese) is taken by its runs of SPAN code points instead of words. Their hashes deal them to bins; in each bin the two minimal ones are taken,
 put back into the order they have in the text, and hashed as a tuple. Unlike the minima alone, the
 tuples change when passages are moved, as edit distance does. Two fingerprints are as alike as the
 share of bins, of those that are filled in either, that hold the same tuple.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from sedgeline.llm.common import SPACE, partitions, text_or_empty
 
 BINS = 64
+#: Code points a word, on average, beyond which a text is taken by code points, and how many of them stand for a word.
+LONG, SPAN = 24, 5
 _BIN_SHIFT = 63 - 6
 _HIGH = 0x7FFFFFFF00000000
 _LOW = 0xFFFFFFFF
@@ -92,7 +95,14 @@ def signature(text: Column) -> Column:
         kmers = F.transform(hashed, lambda w, i: F.xxhash64(w, F.get(hashed, i + 1), F.get(hashed, i + 2)))
         return _let(kmers, of_kmers)
 
-    return _let(F.transform(F.split(text, SPACE, -1), lambda w: F.xxhash64(w)), of_words)
+    def of_characters(c: Column) -> Column:
+        return F.transform(c, lambda x, i: F.xxhash64(x, *[F.get(c, i + k) for k in range(1, SPAN)]))
+
+    def units(words: Column) -> Column:
+        points = _let(F.filter(F.split(text, "", -1), lambda x: x != ""), of_characters)
+        return F.when(F.length(text) > F.size(words) * LONG, points).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
+
+    return _let(_let(F.split(text, SPACE, -1), units), of_words)
 
 
 def as_text(sig: Column) -> Column:
