@@ -1,14 +1,21 @@
 """The numbered operators against plain versions, on small tables with nulls, repeats, ties and odd texts."""
 
+import gzip
 import hashlib
+import json
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from sedgeline.llm.common import row_key
 from sedgeline.llm import decontamination, jaccard_join, language_id, line_dedup, maxent_lm, mixing, order_minhash, sharding, suffix_dedup, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, _key string, n_shingles long, name string"
@@ -53,11 +60,41 @@ def test_line_dedup(docs, rows, empty):
         n = len(keys(r[1]))
         want.append((r[0] is not None, r[0] or 0, n, n - len(kept), "\n".join(kept)))
     assert got == sorted(want) and any(x[3] for x in got)
-    first = line_dedup.keep_bitmaps(docs, line_dedup.REPEATED)
-    assert sum(r.n_dropped for r in first.collect()) > 0
     assert line_dedup.keep_bitmaps(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts, batch", [(1, 10_000), (7, 13), (64, 7)])
+def test_line_dedup_over_partitions(spark, parts, batch):
+    """Runs of equal lines that go over several partitions and batches, both policies, against plain versions."""
+    texts = ["\n".join([f"shared {k}" for k in range(60)] + [f"own {i}", "twice", "twice", ""]) for i in range(12)] + [None, "shared 1", "shared 1\n" * 40]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {}
+        for policy in (line_dedup.FREQUENT, line_dedup.REPEATED):
+            bits = line_dedup.keep_bitmaps(docs, policy, min_docs=10)
+            got[policy] = sorted((r.doc_id, r.n_dropped, r.kept_text) for r in line_dedup.apply_bitmaps(docs, bits).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    lines = [(t or "").split("\n") for t in texts]
+    count = Counter(x for ls in lines for x in set(ls) if x)
+    frequent = [[x for x in ls if count[x] < 10] for ls in lines]
+    seen, first = set(), []
+    for ls in lines:
+        kept = []
+        for x in ls:
+            if not x or x not in seen:
+                kept.append(x)
+            seen.add(x)
+        first.append(kept)
+    for policy, kept in ((line_dedup.FREQUENT, frequent), (line_dedup.REPEATED, first)):
+        want = [(i, len(ls) - len(k), "\n".join(k)) for i, (ls, k) in enumerate(zip(lines, kept, strict=True))]
+        assert got[policy] == sorted([*want, want[0]])
+
+
 @pytest.mark.parametrize("small, n, percent", [(24, 3, 90), (2, 3, 90), (2, 5, 80), (24, 5, 80)])
 def test_jaccard_join(docs, rows, empty, small, n, percent):
     sets = []
@@ -84,9 +121,15 @@ def test_jaccard_join(docs, rows, empty, small, n, percent):
     assert got == want
     kept = jaccard_join.one_of_each(docs, n, percent).collect()
     assert len(kept) == len({top(i) for i, s in enumerate(sets) if s}) + sum(not s for s in sets)
+    assert {r._key for r in kept} <= {r[4] for r in rows} and jaccard_join.one_of_each(docs, n, percent).columns == docs.columns
     assert jaccard_join.link_components(empty).count() == 0
 
 
+def found_in_order(docs, bench):
+    dirty = {(r.doc_id, r.text_hash) for r in decontamination.contamination(docs, bench, n=10).collect() if r.contaminated}
+    return [(r.doc_id, r.h) in dirty for r in docs.select("doc_id", row_key("doc_id", "text").alias("h")).collect()]
+
+
 def test_decontamination(spark, docs, rows, empty):
     items = [(1, " ".join(f"T2q{j}" for j in range(10, 25))), (2, "two, WORDS!"), (3, None), (4, "!!"), (2, "one"), (None, "漢字 absent")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -103,7 +146,9 @@ def test_decontamination(spark, docs, rows, empty):
                     names.add(i)
         want.append((str(r[0]), len(w), len(hit), len(names), sorted(str(i) for i in names if i is not None), bool(hit)))
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated) for r in found) == sorted(want)
-    assert decontamination.clean(docs, bench).count() == sum(not x[-1] for x in want)
+    clean = decontamination.clean(docs, bench).collect()
+    assert sorted(map(str, clean)) == sorted(str(r) for r, f in zip(docs.collect(), found_in_order(docs, bench), strict=True) if not f)
+    assert len(clean) == sum(not x[-1] for x in want) and decontamination.clean(empty, bench).count() == 0
     assert decontamination.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontamination.contamination(empty, bench).count() == 0
 
@@ -145,6 +190,78 @@ def test_maxent_lm(docs, rows, empty):
     assert maxent_lm.score(empty, out).count() == 0
 
 
+def test_maxent_lm_probabilities(spark, docs):
+    """Chances of all tokens after a history add up to 1, and scores are sums of their logarithms (a plain version)."""
+    train = docs.select("text", F.lit(0).alias("key"))
+    vocab = maxent_lm.vocabulary(train.select("text"))
+    total = vocab.agg(F.sum("count")).first()[0]
+    model = maxent_lm.fit(train, vocab, total)
+    counts = {r.token: (r.ending, r["count"]) for r in vocab.collect()}
+
+    def hashed(text):
+        return next(maxent_lm.token_arrays(pa.array([text])))[2]
+
+    known = {int(t): int(p) for t, p in zip(model.token.view(np.int64), model.place, strict=True)}
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def chances(history):
+        """The chance of every token of the vocabulary after the tokens in history, and that of any other token by its ending."""
+        sizes = np.array([len(history) + 1])
+        rows, before = maxent_lm.features(np.append(history, np.uint64(0)), sizes)
+        of_class = softmax(model.classes[rows[-1]].sum(axis=0) + model.classes[0])
+        found = {}
+        for token, (ending, n) in counts.items():
+            place = known.get(token, -1)
+            if place >= 0:
+                group = np.array([place // maxent_lm.PER_CLASS])
+                row = maxent_lm.within_rows(before[-1:], group)[0]
+                inside = softmax(model.within[group[0]] + model.within[row])
+                found[token] = of_class[group[0]] * inside[place % maxent_lm.PER_CLASS]
+            else:
+                found[token] = of_class[maxent_lm.CLASSES + ending] * (n + 1) / 10 ** model.tail[ending]
+        return found, of_class[maxent_lm.CLASSES :] / 10**model.tail, of_class
+
+    for text in ("one two", "w3x7 v1 w6x14", ""):
+        tokens = hashed(text)
+        found, other, of_class = chances(tokens[:-1])
+        head = sum(v for t, v in found.items() if known.get(t, -1) >= 0)
+        empty_places = 1 - sum(v for v in found.values()) - other.sum()
+        # Places of the head without a token (the vocabulary is small here) take the rest.
+        assert -1e-6 <= empty_places < 1 and head <= of_class[: maxent_lm.CLASSES].sum() + 1e-6
+        assert sum(v for t, v in found.items() if known.get(t, -1) < 0) + other.sum() == pytest.approx(of_class[maxent_lm.CLASSES :].sum(), abs=1e-5)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    some = [(1, 0, False, "One two"), (2, 0, False, ""), (3, 0, False, "w3x7 v1 unseen; w0x0")]
+    schema = "doc_id long, text_hash long, held_out boolean, n_tokens long, often_known long, often_base double, partial double"
+    df = spark.createDataFrame(some, "doc_id long, text_hash long, held_out boolean, text string")
+    got = {r.doc_id: r.partial for r in df.mapInArrow(maxent_lm._score(shared, ["doc_id", "text_hash", "held_out"]), schema).collect()}
+    for i, _, _, text in some:
+        tokens, want = hashed(text), 0.0
+        endings = next(maxent_lm.token_arrays(pa.array([text])))[3]
+        for k, token in enumerate(tokens):
+            found, other, _ = chances(tokens[:k])
+            want += math.log10(found.get(int(np.int64(token.view(np.int64))), other[endings[k]]))
+        assert got[i] == pytest.approx(want, abs=1e-3)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_maxent_lm_beats_the_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    r = maxent_lm.score(docs, out).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    print("held-out log10 probability a token:", r[0] / r[2], "base:", r[1] / r[2])
+    assert r[0] / r[2] > r[1] / r[2] + 0.05
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_language_id_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3, F.lit(0)) == 1
+    model = language_id.train(docs.filter(~out))
+    judged = language_id.predict(docs.filter(out & F.col("lang").isNotNull() & language_id.has_letter("text")), model)
+    right, every = judged.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
+    assert every > 300 and right / every >= 0.95
+
+
 def test_language_id(spark, docs, empty):
     words = {"en": "the of and that with this", "de": "der die und das nicht ist", "fr": "le la les des que dans", "es": "el los que una por con"}
     rows = [(i, " ".join(w.split()[(i * k) % 6] for k in range(1, 20)), lang) for i in range(60) for lang, w in words.items()]
@@ -154,6 +271,11 @@ def test_language_id(spark, docs, empty):
     assert [got[i][0] for i in range(1, 8)] == ["en", "de", "fr", "es", "und", "und", "und"]
     assert all(0 <= s <= 1 for _, s in got.values())
     assert language_id.train(empty) is None and language_id.predict(docs, None).count() == docs.count()
+    clashing = test.withColumns({"_known": F.lit("mine"), "__known": F.lit("too"), "score": F.lit("old")})
+    kept = language_id.predict(clashing, model, lang_pred="lp", score="sc").collect()
+    assert all((r._known, r["__known"], r.score) == ("mine", "too", "old") for r in kept) and {r.doc_id: r.lp for r in kept} == {i: v[0] for i, v in got.items()}
+    few = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20, most_languages=2)
+    assert sum(len(p.classes) for p in few.languages.values()) == 2
 
 
 def test_order_minhash(docs, rows, empty):
@@ -183,14 +305,49 @@ def test_order_minhash_sees_order(spark):
 def test_mixing(docs, rows, empty):
     plan = mixing.mix(docs).collect()
     assert len(plan) == len(rows) and all(r.taken <= 2 * r.size and r.taken == r.copies * r.size for r in plan)
-    assert sorted(map(str, plan)) == sorted(map(str, mixing.mix(docs).collect()))
+    assert sorted(map(str, plan)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
     by_target = defaultdict(list)
     for r in plan:
         by_target[(r.source_size, r.target)].append(r)
     assert sum(t for _, t in by_target) == pytest.approx(1.5 * sum(len(tokens(r[1])) for r in rows))
     for (_, target), found in by_target.items():
         assert abs(sum(r.taken for r in found) - target) <= max(r.size for r in found) / 2 + 1
-    assert mixing.apply_mix(docs).columns == docs.columns and mixing.mix(empty).count() == 0
+    assert mixing.apply_mix(docs).columns == docs.columns and mixing.mix(empty).count() == 0 and mixing.apply_mix(empty).count() == 0
+
+
+def test_applied_mix_is_the_plan(docs):
+    """Clashing columns, rows without id, repeated rows: each row as often as the plan says, with its values."""
+    clashing = docs.withColumns({c: F.lit("mine") for c in ("_words", "_copies", "_copy", "__measure", "m", "p", "size")})
+    applied = mixing.apply_mix(clashing)
+    assert applied.columns == clashing.columns and applied.filter("_words <> 'mine' or __measure <> 'mine' or size <> 'mine'").count() == 0
+    plan = Counter()
+    for r in mixing.mix(docs).collect():
+        plan[(r.doc_id, r["size"])] += r.copies
+    got = Counter((r.doc_id, len(tokens(r.text))) for r in applied.collect())
+    assert got == +plan
+
+
+def test_mixing_draws_by_inclusion(spark):
+    """Over many seeds a document is taken as often as its expected copies say; repeated rows at the end are cut apart."""
+    n = 120
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 12 * 40), "a") for i in range(n)], "doc_id long, text string, source string").cache()
+    copies, seeds = Counter(), 8
+    for seed in range(seeds):
+        for r in mixing.mix(docs, (1,), budget=0.8, cap=2.0, seed=f"s{seed}").collect():
+            copies[r["size"]] += r.copies
+    mean = {s: c / (seeds * n / 12) for s, c in copies.items()}
+    size = lambda k: 1 + k % 12 * 40
+    words = sum(size(i) for i in range(n))
+    level = 0.8 * words / sum(size(i) * len(bin(size(i))[2:]) for i in range(n))
+    for s, m in mean.items():
+        assert m == pytest.approx(min(2, level * len(bin(s)[2:])), abs=0.2)
+    assert mean[441] > mean[1] + 0.3
+    same = spark.createDataFrame([(7, "x y z", "a")] * 50, "doc_id long, text string, source string")
+    taken = mixing.mix(same, (1,), budget=0.5).agg(F.sum("taken")).first()[0]
+    assert abs(taken - 75) <= 1.5 and mixing.apply_mix(same, (1,), budget=0.5).count() == taken / 3
+    weighed = docs.withColumn("grade", F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0))
+    found = {r.doc_id: r.copies for r in mixing.mix(weighed, (1,), budget=1.0, weight="grade").collect()}
+    assert sum(v for k, v in found.items() if k % 2 == 0) > 2 * sum(v for k, v in found.items() if k % 2)
 
 
 def test_sharding(docs, rows, empty):
@@ -200,20 +357,99 @@ def test_sharding(docs, rows, empty):
     assert set(share) == set(range(7)) and max(share.values()) - min(share.values()) <= 1
     fewer = sharding.lookup_table(names[:-1], 1009)
     assert sum(a != b for a, b in zip(table, fewer, strict=True)) < 1009 * 0.35
+    prefer = [[(sharding._number(s, "offset") % 1009 + j * (sharding._number(s, "skip") % 1008 + 1)) % 1009 for j in range(1009)] for s in names]
+    plain, turn = [None] * 1009, 0
+    while None in plain:
+        plain[next(x for x in prefer[turn % 7] if plain[x] is None)] = turn % 7
+        turn += 1
+    assert table == plain
     placed = sharding.shard(docs, names, 1009).collect()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for r in placed:
+        key = str(r.doc_id) if r.doc_id is not None else f"text:{r.text}"
+        assert r.slot == signed(xxhash.xxh64_intdigest(key.encode(), 42)) % 1009
     assert len(placed) == len(rows) and all(r.shard == names[table[r.slot]] for r in placed)
     assert sharding.shard(empty).count() == 0
 
 
+def test_order_minhash_signature(spark):
+    """The signature recomputed in plain Python, for words and for text without white space."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    chain = lambda xs, h=42: h if not xs else chain(xs[1:], signed(xxhash.xxh64_intdigest(xs[0] if isinstance(xs[0], bytes) else (xs[0] & (1 << 64) - 1).to_bytes(8, "little"), h & (1 << 64) - 1)))
+    chain32 = lambda k, occurrence: signed(xxhash.xxh64_intdigest((occurrence & 0xFFFFFFFF).to_bytes(4, "little"), chain([k]) & (1 << 64) - 1))
+
+    def plain(text):
+        words = re.split(r"[\x20\x09-\x0D]+", text)
+        if len(text) > len(words) * order_minhash.LONG:
+            units = [chain([c.encode() for c in text[i : i + order_minhash.SPAN]]) for i in range(len(text))]
+        else:
+            units = [chain([w.encode()]) for w in words]
+        kmers = [chain(units[i : i + 3]) for i in range(len(units))]
+        placed = sorted((k & order_minhash._HIGH) | i for i, k in enumerate(kmers))
+        times, numbered = Counter(), []
+        for x in placed:
+            kmer = x >> 32
+            numbered.append((chain32(kmer, times[kmer]) & order_minhash._HIGH) | (x & 0xFFFFFFFF))
+            times[kmer] += 1
+        bins = defaultdict(list)
+        for x in sorted(numbered):
+            bins[x >> order_minhash._BIN_SHIFT].append(x & 0xFFFFFFFF)
+        out = []
+        for b in range(order_minhash.BINS):
+            places = sorted(bins[b][:2])
+            out.append(max(chain([kmers[i] for i in places]) & 0xFFFFFFFF, 1) if places else 0)
+        return out
+
+    texts = ["", "a b c", "x " * 300, " ".join(f"w{i % 90}" for i in range(500)), "漢字" * 40 + "かな" * 30, "q" * 200]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: list(r.s) for r in df.select("i", order_minhash.signature(F.col("t")).alias("s")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    same = "".join(chr(0x4E00 + i * 37 % 900) for i in range(400))
+    a, b = F.lit(same), F.lit(same[:390] + "xyz")
+    assert 0.6 < spark.range(1).select(order_minhash.likeness(order_minhash.signature(a), order_minhash.signature(b))).first()[0] < 1
+
+
+PAGES = "page_id long, url string, html string, record string"
+
+
 def test_warc(spark):
-    pages = spark.createDataFrame([(1, "http://h.example/a/", "<title>A &amp; B</title><script>no</script><p>Text <b>bold</b><a href='../x'>l</a>"), (2, None, None), (1, "http://h.example/a/", "")], "page_id long, url string, html string")
-    sources = warc.responses(pages)
-    found = warc.derive(sources).collect()
-    assert len(found) == 6 and {r.refers_to for r in found} == {r.record_id for r in sources.collect()}
+    page = "<title>A &amp; B</title><script>no</script><p>Text <b>bold</b><a href='../x'>l</a>"
+    rows = [(1, "http://h.example/a/", page, "x"), (2, None, None, "x"), (1, "http://h.example/a/", "", "x"), (1, "http://h.example/a/", page, "x")]
+    sources = warc.responses(spark.createDataFrame(rows, PAGES))
+    found = warc.derive(sources, keep=["page_id"]).collect()
+    ids = [warc.first(warc.parse(r.record)[0], "WARC-Record-ID") for r in sources.collect()]
+    assert len(found) == 8 and len(set(ids)) == 4 and {r.refers_to for r in found} == set(ids) and len({r.record_id for r in found}) == 8
     for r in found:
         fields, block = warc.parse(r.record)
-        assert fields["WARC-Refers-To"] == r.refers_to and fields["WARC-Block-Digest"] == warc.digest(block) and fields.get("WARC-Target-URI") == r.target
+        assert warc.first(fields, "WARC-Refers-To") == r.refers_to and warc.first(fields, "WARC-Block-Digest") == warc.digest(block) and warc.first(fields, "WARC-Target-URI") == r.target
     meta = next(r for r in found if r.type == "metadata" and b"A & B" in r.record)
     assert b'"http://h.example/x"' in meta.record
     text = next(warc.parse(r.record)[1].decode() for r in found if r.type == "conversion" and b"bold" in r.record)
     assert text == "A & B\nText boldl"
+    assert warc.derive(warc.responses(spark.createDataFrame([], PAGES))).count() == 0
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_files(spark, tmp_path, packed):
+    """Response records of a file: fields in order, repeated names, own date and digest, codings; written and read again."""
+    body = "<p>caf\xe9".encode("latin-1")
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nX-Empty:\r\nContent-Type: text/html; charset=ISO-8859-1\r\nTransfer-Encoding: chunked\r\n\r\n"
+    chunked = b"3\r\n" + body[:3] + b"\r\n%x\r\n" % len(body[3:]) + body[3:] + b"\r\n0\r\n\r\n"
+    records = [
+        warc.serialise([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:0>")], b"software: x\r\n"),
+        warc.serialise([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://x/"), ("WARC-Date", "2020-02-02T02:02:02Z"), ("WARC-Payload-Digest", "sha1:GIVEN")], http + chunked),
+        warc.serialise([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:2>")], b"HTTP/1.1 404 Not Found\r\n\r\n"),
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / ("a.warc.gz" if packed else "a.warc")).write_bytes(b"".join(gzip.compress(r) for r in records) if packed else b"".join(records))
+    found = warc.derive(warc.read_warc(spark, str(tmp_path / "in")), keep=["path"])
+    rows = {(r.refers_to, r.type): r for r in found.collect()}
+    assert sorted(rows) == [("<urn:uuid:1>", "conversion"), ("<urn:uuid:1>", "metadata"), ("<urn:uuid:2>", "conversion"), ("<urn:uuid:2>", "metadata")]
+    fields, block = warc.parse(rows[("<urn:uuid:1>", "metadata")].record)
+    assert warc.first(fields, "WARC-Date") == "2020-02-02T02:02:02Z" and warc.first(fields, "WARC-Payload-Digest") == "sha1:GIVEN"
+    about = json.loads(block)
+    assert about["http"][:3] == [["Set-Cookie", "a=1"], ["Set-Cookie", "b=2"], ["X-Empty", ""]] and about["status"] == "HTTP/1.1 200 OK"
+    assert warc.parse(rows[("<urn:uuid:1>", "conversion")].record)[1].decode() == "café"
+    warc.write_warc(found, str(tmp_path / "out"))
+    written = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "out").glob("part*")))
+    assert sorted(warc._split(iter([written[:100], written[100:]]))) == sorted(r.record[:-4] for r in rows.values())
