@@ -43,7 +43,7 @@ FOLDED_BITS = 256
 #: Buckets of up to so many classes are compared pair by pair at once, larger ones by hubs in rounds.
 SMALL_BUCKET = 24
 #: Members of a large bucket on one side of a tile in which sketches are compared.
-CHUNK = 4096
+CHUNK = 1024
 #: Bytes of blocks that one task brings together, about.
 PART_BYTES = 32 << 20
 
@@ -331,11 +331,18 @@ def similar(
     links, _ = compact(_verify(whole, near.groupBy("u").agg(F.min("v").alias("v")), n, percent))
     groups = components(links)
     links, groups = _extend(whole, _apart(near, groups), links, groups, n, percent)
-    late, _ = compact(_within_buckets(met, classes, groups, percent, chunk))
+    # In large buckets pairs that would join all that may link come first. Only where one of them is no link, all others are looked at.
+    late, _ = compact(_within_buckets(met, classes, groups, percent, chunk, spanning=True))
     if not late.isEmpty():
         whole = cut(_whole(texts, classes, late.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
-        links, groups = _extend(whole, late.groupBy("u").agg(F.min("v").alias("v")), links, groups, n, percent)
-        links, groups = _extend(whole, _apart(late, groups), links, groups, n, percent)
+        found, _ = compact(_verify(whole, late, n, percent))
+        links, _ = compact(links.unionByName(found))
+        groups = components(links)
+        if found.count() < late.count():
+            rest, _ = compact(_apart(_within_buckets(met, classes, groups, percent, chunk, spanning=False), groups))
+            whole = cut(_whole(texts, classes, rest.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
+            links, groups = _extend(whole, rest.groupBy("u").agg(F.min("v").alias("v")), links, groups, n, percent)
+            links, groups = _extend(whole, _apart(rest, groups), links, groups, n, percent)
     return members.drop("sketch"), classes.select("id", "n_shingles", "d1", "d2"), links, groups
 
 
@@ -355,8 +362,9 @@ def _extend(whole: DataFrame, pairs: DataFrame, links: DataFrame, groups: DataFr
     return links, components(links)
 
 
-def _within_buckets(met: DataFrame, classes: DataFrame, groups: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Pairs (u, v) of large buckets whose sketches allow a link and that are not in one component yet.
+def _within_buckets(met: DataFrame, classes: DataFrame, groups: DataFrame, percent: int, chunk: int, spanning: bool) -> DataFrame:
+    """Pairs (u, v) of large buckets whose sketches allow a link and that are not in one component yet;
+    spanning: of each tile only as many as join what all of them would join.
 
     Buckets are first told apart by numbers: those within one component need no look, and of those with
     the same members one is looked at. Only then the members get their sketches. A bucket is dealt to
@@ -376,14 +384,37 @@ def _within_buckets(met: DataFrame, classes: DataFrame, groups: DataFrame, perce
     described = chosen.join(classes.select("id", "n_shingles", "sketch"), "id")
     dealt = described.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiles = dealt.select("bucket", "id", "component", "n_shingles", "sketch", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    return tiles.groupBy("bucket", "low", "high").applyInArrow(_compare(percent), "u long, v long").distinct()
+    return tiles.groupBy("bucket", "low", "high").applyInArrow(_compare(percent, spanning), "u long, v long").distinct()
 
 
-def _compare(percent: int):
+def _forest(a: np.ndarray, b: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) to keep so that they join as many groups as all do; group is changed to what they join."""
+    low, high = np.minimum(group[a], group[b]), np.maximum(group[a], group[b])
+    _, first = np.unique(np.stack([low, high], axis=1), axis=0, return_index=True)
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in top:
+            x = top[x]
+        return x
+
+    kept = []
+    for i in np.sort(first).tolist():
+        x, y = root(int(low[i])), root(int(high[i]))
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            kept.append(i)
+    for old in top:
+        group[group == old] = root(old)
+    return np.array(kept, np.int64)
+
+
+def _compare(percent: int, spanning: bool):
     def run(table: pa.Table) -> pa.Table:
         m = table.num_rows
         table = table.combine_chunks()
         size, component = table.column("n_shingles").to_numpy(), table.column("component").to_numpy()
+        group = np.unique(component, return_inverse=True)[1]
         mine, high = table.column("mine").to_numpy(), table.column("high").to_numpy()[0]
         across = table.column("low").to_numpy()[0] != high
         sketch = table.column("sketch").chunk(0).flatten().to_numpy().view(np.uint64).reshape(m, -1)
@@ -394,14 +425,18 @@ def _compare(percent: int):
             for k in range(sketch.shape[1]):
                 apart += np.bitwise_count(sketch[i:j, k, None] ^ sketch[None, :, k])
             total = size[i:j, None] + size[None, :]
-            close = (apart <= total * (100 - percent) // (100 + percent)) & (component[i:j, None] != component[None, :])
+            close = (apart <= total * (100 - percent) // (100 + percent)) & (group[i:j, None] != group[None, :])
             close &= np.minimum(size[i:j, None], size[None, :]) * 100 >= np.maximum(size[i:j, None], size[None, :]) * percent
             if across:
                 close &= mine[i:j, None] != mine[None, :]
             a, b = np.nonzero(close)
-            fresh = a + i < b
-            left.append(a[fresh] + i)
-            right.append(b[fresh])
+            a, fresh = a + i, a + i < b
+            a, b = a[fresh], b[fresh]
+            if spanning and len(a):
+                kept = _forest(a, b, group)
+                a, b = a[kept], b[kept]
+            left.append(a)
+            right.append(b)
         names = table.column("id").to_numpy()
         u, v = names[np.concatenate(left)], names[np.concatenate(right)]
         return pa.table({"u": pa.array(np.maximum(u, v)), "v": pa.array(np.minimum(u, v))})
