@@ -4,17 +4,20 @@ A text is its byte bigrams and trigrams (A-Z lower-cased, other ASCII signs as s
 fixed number of features, as square roots of counts and of length 1. Both levels are one-versus-one
 linear support vector machines; a level's share of a class is the mean of its pairwise odds.
 
-Learning takes at most PER_LANGUAGE rows of each language, those least by a hash; the model's size
-doesn't depend on the data. Prediction reads whole texts, in any number.
+Learning takes at most PER_LANGUAGE rows of each of MOST_LANGUAGES languages (bounds of the sample:
+rows least by a hash; languages with the most rows among those, then by name). Each pair's machine
+is trained in a task of its own and only its weights, of fixed size, come to the driver. Prediction
+reads whole texts, in any number.
 
 Results for odd input: a text that is null or has no letter is ``und`` with score 0, and so is every
-text if there is nothing to learn from. Rows with a null language are not learnt from. Repeated rows
-are predicted each. Extra columns are kept; an empty table gives an empty result.
+text if there is nothing to learn from. Rows with a null language are not learnt from; repeated ones
+count once. Repeated rows are predicted each. Extra columns are kept, whatever they are called, but
+for those of the names that the result gets; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +26,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgeline.llm.blocks import slices
+from sedgeline.llm.common import cut, fresh
 
 UNKNOWN = "und"
 #: Rows learnt from, of each language.
 PER_LANGUAGE = 400
+#: Languages learnt, at most.
+MOST_LANGUAGES = 64
+#: Groups in which the rows of a language are ranked first.
+_GROUPS = 64
+#: The list of rows to learn from is broadcast if its bound is no more than this.
+_BROADCAST_ROWS = 100_000
 FEATURES = 1 << 13
 #: Families of closely related languages. Any other language is a family of its own.
 FAMILIES = {
@@ -101,16 +111,9 @@ def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 1
     return mean_w / (rounds - rounds // 2), mean_b / (rounds - rounds // 2)
 
 
-def _pairwise(x: np.ndarray, labels: np.ndarray) -> Pairwise:
-    classes = tuple(sorted(set(labels)))
-    weights, bias = [], []
-    for i, a in enumerate(classes):
-        for b in classes[i + 1 :]:
-            rows = (labels == a) | (labels == b)
-            w, c = _machine(x[rows], np.where(labels[rows] == a, 1.0, -1.0).astype(np.float32))
-            weights.append(w)
-            bias.append(c)
-    return Pairwise(classes, np.array(weights, np.float32).T.reshape(x.shape[1], len(weights)), np.array(bias, np.float32))
+def _pairs(classes: Sequence[str]) -> list[tuple[str, str]]:
+    """In the order in which Pairwise has its columns."""
+    return [(a, b) for i, a in enumerate(classes) for b in classes[i + 1 :]]
 
 
 @dataclass(frozen=True)
@@ -135,6 +138,46 @@ def has_letter(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
+def _sample(docs: DataFrame, per_language: int, most_languages: int, doc_id: str, text: str, lang: str) -> tuple[DataFrame, list[str]]:
+    """lang, text_hash, at and value (the features that are not zero) of the rows to learn from, cut; and the languages."""
+    labelled = docs.filter(F.col(lang).isNotNull() & has_letter(text))
+    named = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    # Ranks are found without the texts, in groups of each language first, so that no task gets more than so many rows of each group.
+    ranked = named.select("lang", "doc", "text_hash", F.xxhash64(F.lit("train"), "doc", "text_hash").alias("rank")).withColumn("group", F.pmod("rank", F.lit(_GROUPS)))
+    for part in (["lang", "group"], ["lang"]):
+        order = Window.partitionBy(*part).orderBy("rank")
+        ranked = ranked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).drop("n")
+    chosen = cut(ranked.select(F.col("doc").alias("c_doc"), F.col("text_hash").alias("c_hash"), F.col("lang").alias("c_lang")).distinct())
+    counts = chosen.groupBy("c_lang").count().orderBy(F.desc("count"), "c_lang").limit(most_languages).collect()
+    learnt = sorted(r["c_lang"] for r in counts)
+    chosen = chosen.filter(F.col("c_lang").isin(learnt))
+    if per_language * most_languages <= _BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    on = named["doc"].eqNullSafe(chosen["c_doc"]) & (named["text_hash"] == chosen["c_hash"]) & (named["lang"] == chosen["c_lang"])
+    found = named.join(chosen, on, "left_semi").dropDuplicates(["lang", "doc", "text_hash"])
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, hashes = batch.column("lang"), batch.column("text_hash")
+            for first, end, x in feature_rows(batch.column("text")):
+                at = [np.flatnonzero(row).astype(np.uint16) for row in x]
+                values = [row[i].astype(np.float16).tobytes() for row, i in zip(x, at, strict=True)]
+                blobs = [pa.array([i.tobytes() for i in at], pa.binary()), pa.array(values, pa.binary())]
+                yield pa.RecordBatch.from_arrays([langs[first:end], hashes[first:end], *blobs], ["lang", "text_hash", "at", "value"])
+
+    return cut(found.select("lang", "text_hash", "text").mapInArrow(extract, "lang string, text_hash long, at binary, value binary")), learnt
+
+
+def _train_one(table: pa.Table) -> pa.Table:
+    """The machine of one pair from its rows (side: 1 or -1)."""
+    table = table.sort_by([("side", "descending"), ("lang", "ascending"), ("text_hash", "ascending")])
+    x = np.zeros((table.num_rows, FEATURES), np.float32)
+    for i, (at, value) in enumerate(zip(table.column("at").to_pylist(), table.column("value").to_pylist(), strict=True)):
+        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float16)
+    w, b = _machine(x, table.column("side").to_numpy().astype(np.float32))
+    return pa.table({"machine": table.column("machine").slice(0, 1), "weights": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([float(b)])})
+
+
 def train(
     docs: DataFrame,
     per_language: int = PER_LANGUAGE,
@@ -142,54 +185,54 @@ def train(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
+    most_languages: int = MOST_LANGUAGES,
 ) -> Model | None:
-    """A model from at most per_language rows of each language; None if no row has one."""
-    labelled = docs.filter(F.col(lang).isNotNull() & has_letter(text))
-    order = Window.partitionBy("lang").orderBy("rank", "text_hash")
-    ranked = labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.lit("train"), F.col(doc_id)).alias("rank"), F.xxhash64(text).alias("text_hash"), F.col(doc_id).alias("id"))
-    # Ranks are found without the texts; a row_number filter is cut down before its shuffle.
-    chosen = ranked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
-    chosen = chosen.select("id", F.col("text_hash").alias("chosen_hash")).distinct()
-    keyed = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_hash"))
-    # Bounded: per_language rows for each language.
-    sample = keyed.join(F.broadcast(chosen), keyed["doc"].eqNullSafe(chosen["id"]) & (keyed["text_hash"] == chosen["chosen_hash"]), "left_semi")
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, hashes = batch.column("lang"), batch.column("text_hash")
-            for first, end, x in feature_rows(batch.column("text")):
-                blobs = pa.array([row.astype(np.float16).tobytes() for row in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([langs[first:end], hashes[first:end], blobs], ["lang", "text_hash", "x"])
-
-    found = sample.select("lang", "text_hash", "text").mapInArrow(extract, "lang string, text_hash long, x binary").toArrow()
-    if not found.num_rows:
+    """A model from at most per_language rows of each of most_languages languages; None if no row has one."""
+    sample, learnt = _sample(docs, per_language, most_languages, doc_id, text, lang)
+    if not learnt:
         return None
-    x = np.stack([np.frombuffer(v.as_buffer(), np.float16) for v in found.column("x")]).astype(np.float32)
-    order = np.lexsort((found.column("text_hash").to_numpy(), found.column("lang").to_numpy()))
-    x, labels = x[order], found.column("lang").to_numpy()[order]
-    family = np.array([families.get(label, label) for label in labels], object)
-    within = {name: _pairwise(x[family == name], labels[family == name]) for name in sorted(set(family))}
-    return Model(_pairwise(x, family), within)
-
-
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    schema = docs.drop("lang_pred", "score").schema
-    columns = [f.name for f in schema.fields]
-    known = docs.select(*columns).withColumn("_known", has_letter(text))
+    family = {name: families.get(name, name) for name in learnt}
+    names = sorted(set(family.values()))
+    within = {f: [name for name in learnt if family[name] == f] for f in names}
+    sides = []
+    for k, (a, b) in enumerate(_pairs(names)):
+        sides += [(f"family {k}", name, 1 if family[name] == a else -1) for name in learnt if family[name] in (a, b)]
+    for f, members in within.items():
+        for k, pair in enumerate(_pairs(members)):
+            sides += [(f"{f} language {k}", name, side) for name, side in zip(pair, (1, -1), strict=True)]
+    trained: dict[str, tuple[np.ndarray, float]] = {}
+    if sides:
+        machines = F.broadcast(docs.sparkSession.createDataFrame(sides, "machine string, lang string, side int"))
+        dealt = sample.join(machines, "lang").select("machine", "side", "lang", "text_hash", "at", "value")
+        rows = dealt.groupBy("machine").applyInArrow(_train_one, "machine string, weights binary, bias double").toArrow().to_pylist()
+        trained = {r["machine"]: (np.frombuffer(r["weights"], np.float32), r["bias"]) for r in rows}
+
+    def pairwise(classes: Sequence[str], stem: str) -> Pairwise:
+        found = [trained[f"{stem} {k}"] for k in range(len(_pairs(classes)))]
+        weights = np.array([w for w, _ in found], np.float32).T.reshape(FEATURES, len(found))
+        return Pairwise(tuple(classes), weights, np.array([b for _, b in found], np.float32))
+
+    return Model(pairwise(names, "family"), {f: pairwise(members, f"{f} language") for f, members in within.items()})
+
+
+def predict(docs: DataFrame, model: Model | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the language and the score, in columns of the names given; those of docs with these names are replaced."""
+    columns = [c for c in docs.columns if c.lower() not in (lang_pred.lower(), score.lower())]
+    kept = docs.select(*[docs[f"`{c}`"] for c in columns])
     if model is None:
-        return known.drop("_known").withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        return kept.withColumn(lang_pred, F.lit(UNKNOWN)).withColumn(score, F.lit(0.0))
+    (flag,) = fresh(docs, "known")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = batch.column("_known").to_numpy(zero_copy_only=False).astype(bool)
-            names, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+            known = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool)
+            names, share = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             for first, end, x in feature_rows(batch.column(text)):
-                names[first:end], score[first:end] = shared.value.predict(x)
-            names[~known], score[~known] = UNKNOWN, 0.0
-            arrays = [batch.column(c) for c in columns] + [pa.array(names, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, "lang_pred", "score"])
+                names[first:end], share[first:end] = shared.value.predict(x)
+            names[~known], share[~known] = UNKNOWN, 0.0
+            arrays = [batch.column(c) for c in columns] + [pa.array(names, pa.string()), pa.array(share, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, [*columns, lang_pred, score])
 
-    out = schema.add("lang_pred", "string").add("score", "double")
-    return known.mapInArrow(run, out)
+    out = kept.schema.add(lang_pred, "string").add(score, "double")
+    return kept.withColumn(flag, has_letter(text)).mapInArrow(run, out)
