@@ -18,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgeline.llm.common import ascii_lower, cut, row_key, text_or_empty
+from sedgeline.llm.common import ascii_lower, cut, row_key, text_or_empty, without
 
 #: What separates words: ASCII characters that are neither digits nor letters (A-Z are lower-cased first).
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Prefix tables of at most so many rows are broadcast; each row holds one window. Larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Tables of at most so many entries (words of windows and ids of items) are broadcast. Larger ones are joined by shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def words(text: str | Column) -> Column:
@@ -67,7 +67,8 @@ def occurrences(
     prefix = prefix_table(docs, benchmark, n, item_id, item_text, text)
     named = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("text_hash"), words(text).alias("words"))
     start = F.col("pos") - F.col("offset")
-    if prefix.count() <= BROADCAST_ROWS:
+    entries = prefix.agg(F.coalesce(F.sum(F.size("window") + F.size("items")), F.lit(0))).first()[0]
+    if entries <= BROADCAST_ROWS:
         places = named.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "token"))
         near = places.join(F.broadcast(prefix), "token")
         fits = (start >= 0) & (start + F.size("window") <= F.size("words"))
@@ -118,7 +119,5 @@ def contamination(
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs that hold no window of any item, with the columns of docs."""
     found = occurrences(docs, benchmark, n, doc_id, text, **options)
-    dirty = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = docs.withColumn("_key", row_key(doc_id, text))
-    rest = keyed.join(dirty, keyed[doc_id].eqNullSafe(dirty["_id"]) & (keyed["_key"] == dirty["_hash"]), "left_anti")
-    return rest.select(*[rest[c] for c in docs.columns])
+    dirty = cut(found.select("doc_id", "text_hash").distinct())
+    return without(docs, dirty, doc_id, text)
