@@ -1,13 +1,21 @@
-"""A training corpus from documents: each stage reads what its predecessor wrote."""
+"""A training corpus from documents: each stage reads what its predecessor wrote.
+
+Results for odd input: a document whose text is null, empty or without a letter goes at the first stage,
+as no language can be told. Of rows that repeat a doc_id and a text, and of all near copies, one stays.
+Null doc_ids, langs and sources are kept as they are. Extra columns go through all stages, whatever they
+are called, but for slot and shard, which the last stage gives. Empty documents give an empty corpus; an
+empty benchmark leaves all documents clean.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sedgeline.llm import decontamination, jaccard_join, language_id, mixing, sharding
-from sedgeline.llm.common import ensure_checkpoint_dir
+from sedgeline.llm.common import ensure_checkpoint_dir, fresh
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +23,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language_id.train(docs)
     if model is None:
         return docs.filter(language_id.has_letter("text"))
-    named = language_id.predict(docs, model)
-    return named.filter(named["lang_pred"] != language_id.UNKNOWN).select(*docs.columns)
+    lang, score = fresh(docs, "lang", "score")
+    named = language_id.predict(docs, model, lang_pred=lang, score=score)
+    return named.filter(F.col(lang) != language_id.UNKNOWN).drop(lang, score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    base = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}-{name}")
