@@ -54,5 +54,11 @@ def is_dose_rate(category: Column) -> Column:
     return category.isNull() | category.rlike("空間線量率|Spatial dose rate")
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded, halves to the even neighbour."""
+    return F.bround(x, digits)
+
+
 def significant(x: Column, digits: int) -> Column:
+    """Rounded to so many significant digits."""
     return F.format_string(f"%.{digits - 1}e", x).cast("double")

@@ -13,7 +13,8 @@ from sedgeline.functions import scalars
 from sedgeline.params import DEFAULT, TYPE_PRIORITY, Params
 
 MESH, DATE, VALUE, TYPE = "mesh_id_250m", "correction_date", "value", "measurement_type"
-_KEYS = [MESH, DATE, VALUE, TYPE, "source_item"]
+#: Readings that are equal in these are one.
+KEYS = [MESH, DATE, VALUE, TYPE, "source_item"]
 
 
 def clean(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -45,9 +46,13 @@ def stage_1_distance(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, order: list[str]) -> DataFrame:
-    """Of rows with equal keys the first in order; missing equals missing."""
-    first = F.row_number().over(Window.partitionBy(*_KEYS).orderBy(*order))
-    return df.withColumn("_n", first).filter("_n = 1").drop("_n")
+    """Of rows with equal keys the first in order; missing equals missing.
+
+    An aggregation, so that a key with very many rows is reduced before the shuffle.
+    """
+    rest = [*order, *[c for c in df.columns if c not in KEYS and c not in order]]
+    first = df.groupBy(*KEYS).agg(F.min(F.struct(*rest)).alias("_first"))
+    return first.select(*[c if c in KEYS else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
 def stage_2_detection(df: DataFrame) -> DataFrame:
@@ -55,18 +60,23 @@ def stage_2_detection(df: DataFrame) -> DataFrame:
     return df.filter(F.col(VALUE).isNotNull() & (limit.isNull() | (F.col(VALUE) > limit)))
 
 
+def first_means(df: DataFrame) -> DataFrame:
+    """mesh, n_dates, first_mean (mean of the values at the earliest date): from sums of each mesh and date."""
+    dated = df.groupBy(MESH, DATE).agg(F.sum(VALUE).alias("_sum"), F.count(VALUE).alias("_n"))
+    first = F.min(F.when(F.col(DATE).isNotNull(), F.struct(DATE, "_sum", "_n"))).alias("_first")
+    return dated.groupBy(MESH).agg(F.count(DATE).alias("n_dates"), first).select(
+        MESH, "n_dates", F.try_divide("_first._sum", F.col("_first._n")).alias("first_mean")
+    )
+
+
 def stage_3_dose(df: DataFrame, threshold: float) -> DataFrame:
     """Meshes whose earliest values have a mean above the threshold."""
-    mesh = Window.partitionBy(MESH)
-    dated = df.withColumn("_first", F.min(DATE).over(mesh))
-    mean = F.avg(F.when(F.col(DATE) == F.col("_first"), F.col(VALUE))).over(mesh)
-    return dated.withColumn("_mean", mean).filter(F.col("_mean") > threshold).drop("_first", "_mean")
+    return df.join(first_means(df).filter(F.col("first_mean") > threshold).select(MESH), MESH, "left_semi")
 
 
 def stage_4_temporal(df: DataFrame, least: int) -> DataFrame:
     """Meshes with enough distinct dates."""
-    enough = df.groupBy(MESH).agg(F.countDistinct(DATE).alias("n")).filter(F.col("n") >= least)
-    return df.join(enough.select(MESH), MESH, "left_semi")
+    return df.join(first_means(df).filter(F.col("n_dates") >= least).select(MESH), MESH, "left_semi")
 
 
 def type_rank(kind: Column) -> Column:
@@ -78,69 +88,194 @@ def type_rank(kind: Column) -> Column:
 
 def winning_types(df: DataFrame) -> DataFrame:
     """Each mesh's most frequent type; ties by priority, then by name."""
+    return _types(df).select(MESH, TYPE)
+
+
+def _types(df: DataFrame) -> DataFrame:
     counts = df.filter(F.col(TYPE).isNotNull()).groupBy(MESH, TYPE).count()
     best = F.min(F.struct(-F.col("count"), type_rank(F.col(TYPE)), F.col(TYPE).alias("type")))
-    return counts.groupBy(MESH).agg(best.alias("best")).select(MESH, F.col("best.type").alias(TYPE))
+    return counts.groupBy(MESH).agg(best.alias("best"), F.count(F.lit(1)).alias("n_types")).select(MESH, F.col("best.type").alias(TYPE), "n_types")
 
 
 def stage_5_type(df: DataFrame) -> DataFrame:
     return df.join(winning_types(df), [MESH, TYPE], "left_semi")
 
 
+def mesh_facts(found: DataFrame) -> DataFrame:
+    """mesh, n_dates, first_mean, winner (type), n_types of the rows after stage 2: all that stages 3 to 5 ask for."""
+    types = _types(found).withColumnRenamed(TYPE, "winner")
+    return first_means(found).join(types, MESH, "left")
+
+
 def run_stages(df: DataFrame, order: list[str], params: Params = DEFAULT) -> DataFrame:
     """Stage 1 to stage 5 over cleaned rows."""
-    near = deduplicate(stage_1_distance(df, params), order)
-    dosed = stage_3_dose(stage_2_detection(near), params.dose_threshold)
-    return stage_5_type(stage_4_temporal(dosed, params.min_dates))
+    found = stage_2_detection(deduplicate(stage_1_distance(df, params), order))
+    good = (F.col("first_mean") > params.dose_threshold) & (F.col("n_dates") >= params.min_dates)
+    winners = mesh_facts(found).filter(good).select(MESH, F.col("winner").alias(TYPE))
+    return found.join(winners, [MESH, TYPE], "left_semi")
+
+
+#: Stages in order, as they are counted; the number of a row is how many it passes.
+STAGES = ("0_loaded", "1_distance", "1b_dedup", "2_detection", "3_dose", "4_temporal", "5_type")
+
+
+def graded(df: DataFrame, order: list[str], params: Params = DEFAULT) -> DataFrame:
+    """One row for each set of repeated rows: its keys, copies, passed (how many of STAGES after the first), n_types of its mesh.
+
+    Rows are grouped once; what meshes pass comes from sums of each mesh.
+    """
+    near = F.coalesce(F.col("distance_from_fdnpp_km") <= params.distance_cutoff_km, F.lit(False))
+    rest = [*order, *[c for c in df.columns if c not in KEYS and c not in order]]
+    single = df.groupBy(*KEYS, near.alias("near")).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*rest)).alias("first"))
+    single = single.select(*KEYS, "near", "copies", F.col("first.detection_lower_limit").alias("limit"))
+    detected = F.col("near") & F.col(VALUE).isNotNull() & (F.col("limit").isNull() | F.coalesce(F.col(VALUE) > F.col("limit"), F.lit(False)))
+    single = single.withColumn("detected", detected)
+    joined = single.join(mesh_facts(single.filter("detected")), MESH, "left")
+    gates = [
+        F.col("near"),
+        F.lit(True),
+        F.col("detected"),
+        F.coalesce(F.col("first_mean") > params.dose_threshold, F.lit(False)),
+        F.coalesce(F.col("n_dates") >= params.min_dates, F.lit(False)),
+        F.coalesce(F.col(TYPE) == F.col("winner"), F.lit(False)),
+    ]
+    passed, before = F.lit(0), F.lit(True)
+    for gate in gates:
+        before = before & gate
+        passed = passed + before.cast("int")
+    return joined.select(*KEYS, "copies", "n_types", passed.alias("passed"))
 
 
 def stage_audit(df: DataFrame, order: list[str], params: Params = DEFAULT) -> DataFrame:
-    """stage, rows, meshes after each stage, from one pass of counts per stage."""
-    steps = [("0_loaded", df)]
-    for name, step in (
-        ("1_distance", lambda x: stage_1_distance(x, params)),
-        ("1b_dedup", lambda x: deduplicate(x, order)),
-        ("2_detection", stage_2_detection),
-        ("3_dose", lambda x: stage_3_dose(x, params.dose_threshold)),
-        ("4_temporal", lambda x: stage_4_temporal(x, params.min_dates)),
-        ("5_type", stage_5_type),
-    ):
-        steps.append((name, step(steps[-1][1])))
-    counted = [x.agg(F.lit(n).alias("stage"), F.count(F.lit(1)).alias("rows"), F.countDistinct(MESH).alias("meshes")) for n, x in steps]
-    out = counted[0]
-    for x in counted[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def item_breakdown(loaded: DataFrame, final: DataFrame) -> DataFrame:
-    """Rows and meshes of each source item before and after filtering."""
-    before = loaded.groupBy("source_item").agg(F.count(F.lit(1)).alias("rows_loaded"))
-    after = final.groupBy("source_item").agg(F.count(F.lit(1)).alias("rows_final"), F.countDistinct(MESH).alias("meshes_final"))
-    joined = before.join(after, "source_item", "left")
-    return joined.select("source_item", "rows_loaded", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("rows_final", "meshes_final")])
-
-
-def sensitivity(dosed: DataFrame, low: float, high: float, least: int) -> DataFrame:
-    """One row: meshes and rows under two thresholds, shared ones, and those of one only. dosed: rows after stage 2."""
-    sides = []
-    for name, threshold in (("low", low), ("high", high)):
-        final = stage_5_type(stage_4_temporal(stage_3_dose(dosed, threshold), least))
-        sides.append(final.groupBy(MESH).agg(F.count(F.lit(1)).alias(f"rows_{name}")))
-    both = sides[0].join(sides[1], MESH, "full")
-    here = [F.col(f"rows_{n}").isNotNull() for n in ("low", "high")]
-    return both.agg(
+    """stage, rows, rows_dropped, pct_dropped, meshes, meshes_dropped, mixed_meshes (with several types, at the stage that makes types one)."""
+    rows = graded(df, order, params)
+    reach = range(len(STAGES))
+    weight = [F.col("copies") if k < 2 else F.lit(1) for k in reach]
+    per_mesh = rows.groupBy(MESH).agg(
+        *[F.sum(F.when(F.col("passed") >= k, weight[k]).otherwise(0)).alias(f"r{k}") for k in reach],
+        F.max(F.when((F.col("passed") >= 5) & (F.col("n_types") > 1), 1).otherwise(0)).alias("mixed"),
+    )
+    total = per_mesh.agg(
+        *[F.coalesce(F.sum(f"r{k}"), F.lit(0)).alias(f"r{k}") for k in reach],
+        *[F.count_if((F.col(f"r{k}") > 0) & F.col(MESH).isNotNull()).alias(f"m{k}") for k in reach],
+        F.coalesce(F.sum("mixed"), F.lit(0)).alias("mixed"),
+    )
+    each = []
+    for k, name in enumerate(STAGES):
+        before, meshes_before = (F.col(f"r{k - 1}"), F.col(f"m{k - 1}")) if k else (F.col("r0"), F.col("m0"))
+        dropped = before - F.col(f"r{k}")
+        each.append(F.struct(
+            F.lit(name).alias("stage"), F.col(f"r{k}").alias("rows"), dropped.alias("rows_dropped"),
+            F.round(100.0 * dropped / F.greatest(before, F.lit(1)), 2).alias("pct_dropped"), F.col(f"m{k}").alias("meshes"),
+            (meshes_before - F.col(f"m{k}")).alias("meshes_dropped"), (F.col("mixed") if k == 6 else F.lit(0).cast("long")).alias("mixed_meshes"),
+        ))
+    return total.select(F.inline(F.array(*each)))
+
+
+def item_breakdown(df: DataFrame, order: list[str], params: Params = DEFAULT, files: DataFrame | None = None) -> DataFrame:
+    """Rows and meshes of each source item before and after filtering; with files (archives.file_audit), also its ZIP files."""
+    last = F.col("passed") == len(STAGES) - 1
+    found = graded(df, order, params).groupBy("source_item").agg(
+        F.sum("copies").alias("rows_loaded"), F.count_if(last).alias("rows_final"), F.countDistinct(F.when(last, F.col(MESH))).alias("meshes_final")
+    )
+    if files is None:
+        return found
+    zips = files.groupBy(F.element_at(F.split("path", "/"), -2).alias("source_item")).agg(F.countDistinct("path").alias("zips_processed"))
+    return zips.join(found, "source_item", "left").fillna(0, ["rows_loaded", "rows_final", "meshes_final"])
+
+
+def compared(found: DataFrame, low: float, high: float, least: int) -> DataFrame:
+    """The rows that are in the result under either threshold, with in_low and in_high. found: rows after stage 2."""
+    meshes = mesh_facts(found).filter((F.col("n_dates") >= least) & (F.col("first_mean") > min(low, high)))
+    meshes = meshes.select(MESH, F.col("winner").alias(TYPE), (F.col("first_mean") > low).alias("in_low"), (F.col("first_mean") > high).alias("in_high"))
+    return found.join(meshes, [MESH, TYPE])
+
+
+def sensitivity(found: DataFrame, low: float, high: float, least: int) -> DataFrame:
+    """One row: rows, meshes and years under two thresholds, and what they share. found: rows after stage 2.
+
+    row_overlap is the number of different (mesh, date, value) in both over the rows under low.
+    """
+    sides = (("low", F.col("in_low")), ("high", F.col("in_high")))
+    keys = compared(found, low, high, least).groupBy(MESH, DATE, VALUE).agg(
+        *[F.count_if(here).alias(f"rows_{n}") for n, here in sides],
+        *[f(F.when(here, F.year(DATE))).alias(f"{w}_year_{n}") for n, here in sides for w, f in (("min", F.min), ("max", F.max))],
+    )
+    shared = F.count_if((F.col("rows_low") > 0) & (F.col("rows_high") > 0)).alias("shared")
+    years = [f(f"{w}_year_{n}").alias(f"{w}_year_{n}") for n, _ in sides for w, f in (("min", F.min), ("max", F.max))]
+    per_mesh = keys.groupBy(MESH).agg(*[F.sum(f"rows_{n}").alias(f"rows_{n}") for n, _ in sides], shared, *years)
+    here = [F.col(f"rows_{n}") > 0 for n, _ in sides]
+    total = per_mesh.agg(
         F.count_if(here[0]).alias("meshes_low"),
         F.count_if(here[1]).alias("meshes_high"),
         F.count_if(here[0] & here[1]).alias("meshes_both"),
         F.count_if(here[0] & ~here[1]).alias("only_low"),
         F.count_if(~here[0] & here[1]).alias("only_high"),
-        F.coalesce(F.sum("rows_low"), F.lit(0)).alias("rows_low"),
-        F.coalesce(F.sum("rows_high"), F.lit(0)).alias("rows_high"),
+        *[F.coalesce(F.sum(f"rows_{n}"), F.lit(0)).alias(f"rows_{n}") for n, _ in sides],
+        F.coalesce(F.sum("shared"), F.lit(0)).alias("shared"),
+        *[f(f"{w}_year_{n}").alias(f"{w}_year_{n}") for n, _ in sides for w, f in (("min", F.min), ("max", F.max))],
     )
+    fraction = lambda a, b: F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 4)
+    return total.withColumn("row_overlap", fraction("shared", "rows_low")).withColumn("mesh_overlap", fraction("meshes_both", "meshes_low")).drop("shared")
+
+
+def sensitivity_by(found: DataFrame, low: float, high: float, least: int, by: Column) -> DataFrame:
+    """part, rows_low, rows_high for each value of by: the source class, or band()."""
+    rows = compared(found, low, high, least)
+    return rows.groupBy(by.alias("part")).agg(F.count_if("in_low").alias("rows_low"), F.count_if("in_high").alias("rows_high"))
+
+
+def band(width: float = 20.0, last: float = 80.0) -> Column:
+    """Lower bound of the distance band; the last band holds its upper bound as well."""
+    return F.least(F.floor(F.col("distance_from_fdnpp_km") / width) * width, F.lit(last - width)).cast("long")
 
 
 def distance_bands(df: DataFrame, width: float = 20.0, last: float = 80.0) -> DataFrame:
-    """band (lower bound), rows, meshes; the last band holds its upper bound as well."""
-    band = F.least(F.floor(F.col("distance_from_fdnpp_km") / width) * width, F.lit(last - width))
-    return df.withColumn("band", band.cast("long")).groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(MESH).alias("meshes"))
+    """band (lower bound), rows, meshes."""
+    return df.groupBy(band(width, last).alias("band")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(MESH).alias("meshes"))
+
+
+def cleaning_audit(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """One row: rows of raw text, those dropped by each gate of clean in its order, distances computed, rows that stay."""
+    lat, lon, far = (scalars.number(F.col(c)) for c in ("latitude", "longitude", "distance_from_fdnpp_km"))
+    unplaced = lat.isNull() | lon.isNull()
+    gates = {
+        "dropped_category": ~scalars.is_dose_rate(F.col("category")),
+        "dropped_date": scalars.timestamp(F.col(DATE)).isNull(),
+        "dropped_place": unplaced & far.isNull(),
+        "dropped_mesh": scalars.mesh_id(F.col(MESH)).isNull(),
+    }
+    first = F.coalesce(*[F.when(gate, F.lit(name)) for name, gate in gates.items()], F.lit("kept"))
+    flags = raw.select(first.alias("gate"), (~unplaced & far.isNull()).alias("computed"))
+    return flags.agg(
+        F.count(F.lit(1)).alias("rows_loaded"),
+        *[F.count_if(F.col("gate") == name).alias(name) for name in gates],
+        F.count_if(F.col("gate").isin("kept", "dropped_mesh") & F.col("computed")).alias("distances_computed"),
+        F.count_if(F.col("gate") == "kept").alias("rows_after"),
+    )
+
+
+def final_summary(final: DataFrame) -> DataFrame:
+    """One row: size and ranges of the filtered measurements."""
+    numbers = (("year", "year"), ("distance_from_fdnpp_km", "distance"), (VALUE, "value"))
+    return final.agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.countDistinct(MESH).alias("total_meshes"),
+        F.countDistinct("source_item").alias("total_items"),
+        *[f(c).alias(f"{n}_{w}") for c, n in numbers for w, f in (("min", F.min), ("max", F.max))],
+        F.count_if("is_decontaminated").alias("is_decontaminated_true"),
+        F.count_if("height_anomalous").alias("height_anomalous_true"),
+    )
+
+
+def final_counts(final: DataFrame, columns: tuple[str, ...] = (TYPE, "organization", "source_class")) -> DataFrame:
+    """part (column), name, rows: the rows of each value of each of the columns."""
+    rows = final.select(F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("name")) for c in columns if c in final.columns])).alias("x"))
+    return rows.groupBy("x.part", "x.name").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """One row: rows, columns, meshes and dates of a table of measurements, before anything is computed from it."""
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct(MESH).alias("meshes"), F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date")
+    ).withColumn("columns", F.lit(",".join(df.columns)))

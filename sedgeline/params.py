@@ -30,7 +30,8 @@ FEATURES = (
 )
 #: Measurement types in order of preference where a mesh has as many of each.
 TYPE_PRIORITY = ("Walk", "Car", "AirBorne", "定点")
+#: The columns that features are computed from.
 REQUIRED = (
-    "mesh_id_250m", "correction_date", "value", "measurement_type", "latitude", "longitude",
-    "distance_from_fdnpp_km", "is_decontaminated", "height_anomalous", "source_item", "source_class", "year",
+    "mesh_id_250m", "correction_date", "value", "distance_from_fdnpp_km", "latitude", "longitude",
+    "measurement_type", "year", "is_decontaminated", "height_anomalous", "source_item", "source_class",
 )

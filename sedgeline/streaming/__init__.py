@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgeline.operators.stages import DATE, MESH, VALUE, stage_1_distance, stage_2_detection
+from sedgeline.operators.stages import DATE, KEYS, MESH, VALUE, stage_1_distance, stage_2_detection
 from sedgeline.params import DEFAULT, Params
 
 
 def filtered(stream: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Stage 1 and stage 2; repeats of a reading within the watermark's day are dropped."""
-    near = stage_2_detection(stage_1_distance(stream, params))
-    return near.withWatermark(DATE, "1 day").dropDuplicatesWithinWatermark([MESH, DATE, VALUE])
+    """Stage 1, one of each set of repeated readings (equal in all five keys, within the watermark's day), stage 2."""
+    near = stage_1_distance(stream, params)
+    single = near.withWatermark(DATE, "1 day").dropDuplicatesWithinWatermark(list(KEYS))
+    return stage_2_detection(single)
 
 
 def daily_means(stream: DataFrame) -> DataFrame:
