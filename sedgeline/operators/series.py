@@ -1,11 +1,14 @@
 """Features of irregular series: one daily frame, one window pass, one aggregation per mesh.
 
-The rows are dealt by mesh once; the daily medians, the windows and the aggregation per mesh all use
-that distribution, so a plan has one exchange.
+Readings are first reduced to a median of each mesh and date, so that a mesh with very many readings is
+spread over its dates; the days, far fewer, are then dealt by mesh once for the windows and the
+aggregation. A plan has these two exchanges.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from sedgeline.params import DEFAULT, FEATURES, Params
 
 def daily(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """mesh, date, median_value, days_since_first, ln_value."""
-    dated = df.select(MESH, F.to_date(DATE).alias("date"), VALUE).repartition(MESH)
+    dated = df.select(MESH, F.to_date(DATE).alias("date"), VALUE)
     median = dated.groupBy(MESH, "date").agg(F.median(VALUE).alias("median_value"))
     first = F.min("date").over(Window.partitionBy(MESH))
     return median.withColumn("days_since_first", F.datediff("date", first)).withColumn("ln_value", F.log(F.greatest("median_value", F.lit(params.log_floor))))
@@ -88,33 +91,81 @@ def feature_matrix(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return derived(series_features(daily(df, params), params), params).join(metadata(df), MESH, "left")
 
 
+def exact_quantiles(df: DataFrame, columns: tuple[str, ...], shares: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 1000) -> dict[str, list[float | None]]:
+    """The quantiles of each column, interpolated as percentile() does, without all values in one task.
+
+    Approximate quantiles a little below and above each one bracket it; a second pass counts what lies
+    under the bracket and gathers the values in it, about four in accuracy of all.
+    """
+    wide = [min(max(q + d, 0.0), 1.0) for q in shares for d in (-2 / accuracy, 2 / accuracy)]
+    number = {c: F.col(c).cast("double") for c in columns}
+    near = df.agg(
+        *[F.percentile_approx(x, wide, 10 * accuracy).alias(f"q{i}") for i, x in enumerate(number.values())],
+        *[F.struct(F.count(x), F.min(x), F.max(x)).alias(f"m{i}") for i, x in enumerate(number.values())],
+    ).first()
+    wanted = []
+    for i, c in enumerate(columns):
+        n, least, most = near[f"m{i}"]
+        for k, q in enumerate(shares):
+            if n:
+                low = near[f"q{i}"][2 * k] if wide[2 * k] > 0 else least
+                high = near[f"q{i}"][2 * k + 1] if wide[2 * k + 1] < 1 else most
+                wanted.append((i, k, c, low, high, (n - 1) * q))
+    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
+    if not wanted:
+        return out
+    inside = [F.when((number[c] >= low) & (number[c] <= high), F.struct(F.lit(j).alias("j"), number[c].alias("x"))) for j, (_, _, c, low, high, _) in enumerate(wanted)]
+    under = df.agg(*[F.count_if(number[c] < low).alias(f"u{j}") for j, (_, _, c, low, _, _) in enumerate(wanted)]).first()
+    values = df.select(F.explode(F.array_compact(F.array(*inside))).alias("v")).groupBy("v.j", "v.x").agg(F.count(F.lit(1)).alias("n"))
+    ends = F.sum("n").over(Window.partitionBy("j").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    start = F.element_at(F.array(*[F.lit(under[f"u{j}"]) for j in range(len(wanted))]), F.col("j") + 1)
+    rank = F.element_at(F.array(*[F.lit(float(r)) for *_, r in wanted]), F.col("j") + 1)
+    placed = values.withColumn("end", start + ends)
+    # The values at the ranks below and above: the first whose end is beyond.
+    at = [F.min(F.when(F.col("end") > f(rank), F.col("x"))) for f in (F.floor, F.ceil)]
+    for r in placed.groupBy("j").agg(at[0].alias("low"), at[1].alias("high")).collect():
+        i, k, c, _, _, place = wanted[r["j"]]
+        out[c][k] = r["low"] + (r["high"] - r["low"]) * (place - math.floor(place))
+    return out
+
+
 def impute(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """Missing early slopes are 0 where there are no early data; all else gets its column's median."""
-    medians = features.agg(*[F.median(c).alias(c) for c in columns]).first()
+    medians = {c: q[0] for c, q in exact_quantiles(features, columns, (0.5,)).items()}
     if missing := [c for c in columns if medians[c] is None]:
         raise ValueError(f"columns without any value: {missing}")
-    fills = {c: F.coalesce(F.col(c), F.lit(float(medians[c]))) for c in columns}
+    fills = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))) for c in columns}
     if "early_slope" in columns:
         fills["early_slope"] = F.coalesce("early_slope", F.when(F.col("has_early_data"), F.lit(float(medians["early_slope"]))).otherwise(0.0))
     return features.withColumns(fills)
 
 
+def imputation_counts(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """feature, n_missing, n_zero (of early slopes, without early data), n_median: what impute will fill."""
+    zero = F.count_if(F.col("early_slope").isNull() & ~F.coalesce(F.col("has_early_data"), F.lit(False))) if "early_slope" in columns else F.lit(0).cast("long")
+    one = []
+    for c in columns:
+        missing = F.count_if(F.col(c).isNull())
+        zeros = zero if c == "early_slope" else F.lit(0).cast("long")
+        one.append(F.struct(F.lit(c).alias("feature"), missing.alias("n_missing"), zeros.alias("n_zero"), (missing - zeros).alias("n_median")))
+    return features.agg(F.array(*one).alias("all")).select(F.inline("all"))
+
+
 def scaling_params(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """feature, median, q25, q75, iqr (null if flat): exact quantiles in one aggregation."""
-    quantiles = features.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns])
-    rows = quantiles.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("q")) for c in columns])).alias("x"))
-    iqr = F.col("x.q")[2] - F.col("x.q")[0]
-    return rows.select(
-        "x.feature", F.col("x.q")[1].alias("median"), F.col("x.q")[0].alias("q25"), F.col("x.q")[2].alias("q75"), F.when(iqr >= 1e-12, iqr).alias("iqr")
-    )
+    """feature, median, q25, q75, iqr (null if flat), by exact quantiles. One row for each column."""
+    rows = []
+    for c, (q25, median, q75) in exact_quantiles(features, columns).items():
+        iqr = None if q25 is None or q75 - q25 < 1e-12 else q75 - q25
+        rows.append((c, median, q25, q75, iqr))
+    return features.sparkSession.createDataFrame(rows, "feature string, median double, q25 double, q75 double, iqr double")
 
 
-def robust_scale(features: DataFrame, columns: tuple[str, ...] = FEATURES, params: Params = DEFAULT) -> DataFrame:
-    """<column>_z = (x - median) / IQR in [-clip, clip]; 0 for a flat column."""
-    fitted = {r["feature"]: r for r in scaling_params(features, columns).collect()}
+def robust_scale(features: DataFrame, columns: tuple[str, ...] = FEATURES, params: Params = DEFAULT, fitted: DataFrame | None = None) -> DataFrame:
+    """<column>_z = (x - median) / IQR in [-clip, clip]; 0 for a flat column. fitted: scaling_params, where they are known."""
+    known = {r["feature"]: r for r in (fitted if fitted is not None else scaling_params(features, columns)).collect()}
     scaled = {}
     for c in columns:
-        z = (F.col(c) - F.lit(fitted[c]["median"])) / F.lit(fitted[c]["iqr"]) if fitted[c]["iqr"] else F.lit(0.0)
+        z = (F.col(c) - F.lit(known[c]["median"])) / F.lit(known[c]["iqr"]) if known[c]["iqr"] else F.lit(0.0)
         scaled[f"{c}_z"] = F.when(F.col(c).isNotNull(), F.greatest(F.lit(-params.clip), F.least(F.lit(params.clip), z)))
     return features.withColumns(scaled)
 
@@ -127,6 +178,29 @@ def correlations(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> Da
     return row.select(F.inline(each))
 
 
+def close_pairs(features: DataFrame, columns: tuple[str, ...] = FEATURES, limit: float = 0.95) -> DataFrame:
+    """Of the pairs of features, those whose correlation is beyond the limit."""
+    return correlations(features, columns).filter(F.abs("r") > limit)
+
+
+def sanity(features: DataFrame, expected_rows: int | None = None, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """check, value, passed (null: only reported) over a scaled feature matrix, in one aggregation."""
+    rows = F.count(F.lit(1))
+    positive = 100.0 * F.count_if(F.col("log_linear_slope") > 0) / F.greatest(rows, F.lit(1))
+    decontaminated = F.count_if("is_decontaminated")
+    as_expected = F.lit(None).cast("boolean") if expected_rows is None else rows == expected_rows
+    checks = [
+        ("row_count", rows.cast("double"), as_expected),
+        ("positive_slope_pct", F.round(positive, 2), F.lit(None).cast("boolean")),
+        ("decontaminated_cells", decontaminated.cast("double"), decontaminated > 0),
+    ]
+    for c in columns:
+        mean = F.avg(f"{c}_z")
+        checks += [(f"mean {c}_z", mean, F.abs(mean) < 0.5), (f"std {c}_z", F.stddev_samp(f"{c}_z"), F.lit(None).cast("boolean"))]
+    each = [F.struct(F.lit(n).alias("check"), v.alias("value"), ok.alias("passed")) for n, v, ok in checks]
+    return features.agg(F.array(*each).alias("all")).select(F.inline("all"))
+
+
 def feature_stats(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """feature, mean, std, low, high, nulls."""
     one = [
