@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedgeline.functions.scalars import significant
+
 
 def ward(points: np.ndarray) -> list[tuple[int, int, float]]:
     """Merges (a, b, height) of Ward's method on distances; new clusters count on from len(points)."""
@@ -35,7 +37,8 @@ def cut_tree(merges: list[tuple[int, int, float]], n: int, k: int) -> list[int]:
     return [seen.setdefault(owner[i], len(seen) + 1) for i in range(n)]
 
 
-def silhouette(points: np.ndarray, labels: list[int]) -> float:
+def silhouette_widths(points: np.ndarray, labels: list[int]) -> list[float]:
+    """The width of each point; 0 for one alone in its cluster."""
     d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
     label = np.array(labels)
     widths = []
@@ -46,8 +49,12 @@ def silhouette(points: np.ndarray, labels: list[int]) -> float:
             continue
         a = d[i, own].mean()
         b = min(d[i, label == c].mean() for c in set(labels) if c != label[i])
-        widths.append((b - a) / max(a, b) if max(a, b) else 0.0)
-    return float(np.mean(widths))
+        widths.append(float((b - a) / max(a, b)) if max(a, b) else 0.0)
+    return widths
+
+
+def silhouette(points: np.ndarray, labels: list[int]) -> float:
+    return float(np.mean(silhouette_widths(points, labels)))
 
 
 def within_ss(points: np.ndarray, labels: list[int]) -> float:
@@ -55,21 +62,50 @@ def within_ss(points: np.ndarray, labels: list[int]) -> float:
     return float(sum(((points[label == c] - points[label == c].mean(axis=0)) ** 2).sum() for c in set(labels)))
 
 
+def _spread(points: np.ndarray, labels: list[int]) -> float:
+    """Half the sum over clusters of all their distances over their sizes."""
+    label, total = np.array(labels), 0.0
+    for c in set(labels):
+        x = points[label == c]
+        total += np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)).sum() / (2 * len(x))
+    return 0.5 * total
+
+
 def gap_statistic(points: np.ndarray, most: int = 10, draws: int = 100, seed: int = 42) -> tuple[list[float], list[float], int]:
-    """Gaps, their standard errors, and the least k whose gap reaches the next one less its error."""
+    """Gaps for k = 1.., their standard errors, and the least k whose gap reaches the next one less its error.
+
+    The reference sets are uniform in the box of the principal components, as the gap statistic has it by default.
+    """
     rng = np.random.default_rng(seed)
+    most = min(most, len(points))
 
     def dispersion(x: np.ndarray) -> list[float]:
         merges = ward(x)
-        return [np.log(max(within_ss(x, cut_tree(merges, len(x), k)), 1e-300)) for k in range(1, most + 1)]
-
-    own, low, high = np.array(dispersion(points)), points.min(axis=0), points.max(axis=0)
-    drawn = np.array([dispersion(rng.uniform(low, high, points.shape)) for _ in range(draws)])
-    gaps, errors = drawn.mean(axis=0) - own, drawn.std(axis=0) * np.sqrt(1 + 1 / draws)
+        return [np.log(max(_spread(x, cut_tree(merges, len(x), k)), 1e-300)) for k in range(1, most + 1)]
+
+    middle = points.mean(axis=0)
+    axes = np.linalg.svd(points - middle, full_matrices=False)[2]
+    turned = (points - middle) @ axes.T
+    low, high = turned.min(axis=0), turned.max(axis=0)
+    own = np.array(dispersion(points))
+    drawn = np.array([dispersion(rng.uniform(low, high, turned.shape) @ axes + middle) for _ in range(draws)])
+    gaps = drawn.mean(axis=0) - own
+    errors = drawn.std(axis=0, ddof=1 if draws > 1 else 0) * np.sqrt(1 + 1 / draws)
     best = next((k + 1 for k in range(most - 1) if gaps[k] >= gaps[k + 1] - errors[k + 1]), most)
     return gaps.tolist(), errors.tolist(), best
 
 
+def k_scores(points: np.ndarray, most: int = 10, draws: int = 100) -> list[tuple[int, float, float, float, float]]:
+    """(k, silhouette, within sum of squares, gap, its error) for k = 2 to most."""
+    merges, n = ward(points), len(points)
+    gaps, errors, _ = gap_statistic(points, most, draws)
+    rows = []
+    for k in range(2, min(most, n - 1) + 1):
+        labels = cut_tree(merges, n, k)
+        rows.append((k, silhouette(points, labels), within_ss(points, labels), gaps[k - 1], errors[k - 1]))
+    return rows
+
+
 def choose_k(points: np.ndarray, sizes: dict[int, int], low: int = 3, high: int = 8, share: float = 0.01) -> int:
     """The k of the best silhouette within bounds, less while a cluster has too few rows. sizes: rows per neuron."""
     merges, n = ward(points), len(points)
@@ -120,17 +156,23 @@ def auto_labels(centroids: list[dict[str, float]], extremes: dict[str, tuple[str
     return [f"{x} {i + 1}" if labels.count(x) > 1 else x for i, x in enumerate(labels)]
 
 
-def select_model(runs: DataFrame, most_te: float = 0.10, least_ari: float = 0.80) -> DataFrame:
-    """grid, seed, reason of the run to use. runs: grid, seed, qe, te, ari (of the grid's seeds)."""
-    grids = runs.groupBy("grid").agg(F.avg("te").alias("mean_te"), F.avg("qe").alias("mean_qe"), F.avg("ari").alias("mean_ari"))
-    good = ((F.col("mean_te") < most_te) & (F.col("mean_ari") > least_ari)).cast("int")
-    key = F.struct((1 - good).alias("bad"), F.when(good == 1, F.col("mean_qe")).otherwise(F.col("mean_te")).alias("by"), F.col("grid"))
-    best = grids.agg(F.min(key).alias("k")).select(F.col("k.grid").alias("grid"), F.when(F.col("k.bad") == 0, "within limits: least mean QE").otherwise("no grid within limits: least mean TE").alias("reason"))
-    seeds = runs.join(F.broadcast(best), "grid").groupBy("grid", "reason").agg(F.min(F.struct("qe", "seed")).alias("s"))
-    return seeds.select("grid", F.col("s.seed").alias("seed"), "reason")
+def select_model(runs: DataFrame, grids: DataFrame, most_te: float = 0.10, least_ari: float = 0.80) -> DataFrame:
+    """grid, seed, qe, te, reason of the run to use. runs: som.runs_table; grids: som.grid_summary. A row for each grid is looked at."""
+    good = (F.col("mean_te") < most_te) & (F.col("mean_ari") > least_ari)
+    key = F.struct(F.when(good, 0).otherwise(1).alias("bad"), F.when(good, F.col("mean_qe")).otherwise(F.col("mean_te")).alias("by"), F.col("grid"))
+    best = grids.agg(F.min(key).alias("k"), F.count_if(good).alias("n_good"))
+    reason = (
+        F.when(F.col("n_good") == 0, "no grid within the limits: least mean TE")
+        .when(F.col("n_good") == 1, "the only grid within the limits")
+        .otherwise("within the limits: least mean QE")
+    )
+    best = best.select(F.col("k.grid").alias("grid"), reason.alias("reason"))
+    seeds = runs.join(F.broadcast(best), "grid").groupBy("grid", "reason").agg(F.min(F.struct("qe", "seed", "te")).alias("s"))
+    return seeds.select("grid", "s.seed", "s.qe", "s.te", "reason")
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """cluster, n, pct."""
     counts = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("all"))
     return counts.join(F.broadcast(total)).select(cluster, "n", (F.col("n") * 100.0 / F.col("all")).alias("pct"))
@@ -145,6 +187,39 @@ def back_transform(z: DataFrame, params: DataFrame) -> DataFrame:
     return z.join(F.broadcast(params), "feature").select("cluster", "feature", "z", (F.col("z") * F.coalesce("iqr", F.lit(0.0)) + F.col("median")).alias("value"))
 
 
+def within_squares(df: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
+    """cluster, wss: the sum of squared distances of its rows to its mean, in one aggregation."""
+    return df.groupBy(cluster).agg(sum((F.coalesce(F.var_pop(c), F.lit(0.0)) * F.count(c) for c in columns), F.lit(0.0)).alias("wss"))
+
+
+def context_means(df: DataFrame, columns: tuple[str, ...] = ("ecological_half_life_y", "distance_from_fdnpp_km", "initial_dose_rate"), cluster: str = "cluster") -> DataFrame:
+    """cluster, mean_<column>; nulls are left out."""
+    return df.groupBy(cluster).agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])
+
+
+def cluster_summary(df: DataFrame, params: DataFrame, labels: dict[int, str], features: tuple[str, ...], cluster: str = "cluster") -> DataFrame:
+    """cluster_id, cluster_label, n_observations, pct_of_total, each feature in its own unit (4 digits), context means.
+
+    df: rows with z values (<feature>_z) and the context columns; params: feature, median, iqr.
+    """
+    known = {r["feature"]: (r["median"], r["iqr"] or 0.0) for r in params.collect()}
+    means = centroids(df, [f"{c}_z" for c in features], cluster)
+    own = [significant(F.col(f"{c}_z") * F.lit(known[c][1]) + F.lit(known[c][0]), 4).alias(c) for c in features]
+    around = context_means(df, cluster=cluster)
+    label = F.element_at(F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))]), F.col(cluster))
+    joined = cluster_sizes(df, cluster).join(means, cluster).join(around, cluster)
+    return joined.select(
+        F.col(cluster).alias("cluster_id"),
+        label.alias("cluster_label"),
+        F.col("n").alias("n_observations"),
+        F.round("pct", 2).alias("pct_of_total"),
+        *own,
+        F.round("mean_ecological_half_life_y", 2).alias("mean_ecological_half_life_y"),
+        F.round("mean_distance_from_fdnpp_km", 2).alias("mean_distance_from_fdnpp_km"),
+        significant(F.col("mean_initial_dose_rate"), 4).alias("mean_initial_dose_rate"),
+    )
+
+
 def long_form(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
     return df.unpivot(ids, columns, "feature", "value")
 

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import csv
 import io
-import json
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The raw files' columns, by position; None is dropped.
@@ -24,8 +23,10 @@ RAW_COLUMNS = (
     "note", "project_id", None, "mesh_id_250m", None, None, None, "distance_from_fdnpp_km",
 )
 ENCODINGS = ("utf-8-sig", "shift_jis", "cp932")
+#: Rows of a file that are sent at a time.
+_SLICE = 20_000
 _KEPT = [(i, c) for i, c in enumerate(RAW_COLUMNS) if c]
-_SCHEMA = "path string, member string, status string, row_no long, " + ", ".join(f"{c} string" for _, c in _KEPT)
+_SCHEMA = "path string, bytes long, member string, status string, row_no long, " + ", ".join(f"{c} string" for _, c in _KEPT)
 
 
 def _decode(raw: bytes) -> str | None:
@@ -67,14 +68,18 @@ def _members(content: bytes) -> Iterator[tuple[str | None, str, list[list[str]]]
 
 
 def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["path", "member", "status", "row_no", *[c for _, c in _KEPT]]
+    names = ["path", "bytes", "member", "status", "row_no", *[c for _, c in _KEPT]]
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            for member, status, rows in _members(content.as_buffer().to_pybytes()):
-                n = max(1, len(rows))
-                cells = [[(r[i] if r[i] not in ("", " ") else None) for r in rows] or [None] for i, _ in _KEPT]
-                arrays = [pa.array([x] * n, pa.string()) for x in (path, member, status)] + [pa.array(range(n), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(c, pa.string()) for c in cells]], names)
+            archive = content.as_buffer().to_pybytes()
+            for member, status, rows in _members(archive):
+                for first in range(0, max(1, len(rows)), _SLICE):
+                    part = rows[first : first + _SLICE]
+                    n = max(1, len(part))
+                    cells = [[(r[i] if r[i] not in ("", " ") else None) for r in part] or [None] for i, _ in _KEPT]
+                    about = [pa.array([path] * n, pa.string()), pa.array([len(archive)] * n, pa.int64()), *[pa.array([x] * n, pa.string()) for x in (member, status)]]
+                    place = pa.array(range(first, first + n), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*about, place, *[pa.array(c, pa.string()) for c in cells]], names)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -86,18 +91,44 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def measurements(found: DataFrame) -> DataFrame:
-    return found.filter("status = 'ok'").drop("status")
+    return found.filter("status = 'ok'").drop("status", "bytes")
 
 
 def file_audit(found: DataFrame) -> DataFrame:
-    """path, member, status, rows: each file or member once."""
+    """path, member, status, rows: each file or member once, in order."""
     rows = F.count_if(F.col("status") == "ok").alias("rows")
-    return found.groupBy("path", "member", "status").agg(rows)
+    return found.groupBy("path", "member", "status").agg(rows).orderBy("path", F.col("member").asc_nulls_first())
 
 
-def inventory(found: DataFrame) -> DataFrame:
-    """Files and members per class and item, with totals (nulls)."""
-    return found.rollup("source_class", "source_item").agg(F.countDistinct("path").alias("zips"), F.countDistinct("path", "member").alias("csvs"))
+def status_counts(audit: DataFrame) -> DataFrame:
+    """status, files (or members): of file_audit or of a state of downloads."""
+    return audit.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """source_class, source_item, zips, csvs, bytes of the archives under path, with totals (nulls). Members are counted, not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            csvs = []
+            for content in batch.column("content"):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_buffer().to_pybytes())) as archive:
+                        csvs.append(sum(n.lower().endswith(".csv") for n in archive.namelist()))
+                except zipfile.BadZipFile:
+                    csvs.append(0)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(csvs, pa.int64())], ["path", "length", "csvs"])
+
+    counted = files.select("path", "length", "content").mapInArrow(count, "path string, length long, csvs long")
+    parts = F.split("path", "/")
+    named = counted.select(F.element_at(parts, -3).alias("source_class"), F.element_at(parts, -2).alias("source_item"), "length", "csvs")
+    return rolled_up(named, F.sum("csvs").alias("csvs"), F.sum("length").alias("bytes"))
+
+
+def rolled_up(files: DataFrame, *sums: Column) -> DataFrame:
+    """zips and sums of each class and item, of each class, and of all (nulls)."""
+    return files.rollup("source_class", "source_item").agg(F.count(F.lit(1)).alias("zips"), *sums)
 
 
 def catalog(spark: SparkSession, path: str, content_code: int = 1) -> DataFrame:
@@ -135,13 +166,19 @@ def open_tasks(tasks: DataFrame, state: DataFrame) -> DataFrame:
     return tasks.join(done, "output_path", "left_anti")
 
 
-def write_measurements(df: DataFrame, path: str) -> None:
-    """Parquet (snappy) with floats and dates as stored."""
-    floats = {f.name: F.col(f.name).cast("float") for f in df.schema if f.dataType.typeName() == "double"}
-    df.withColumns({**floats, "correction_date": F.to_date("correction_date")}).write.option("compression", "snappy").parquet(path)
+def record_state(updates: DataFrame, path: str) -> None:
+    """Adds what became of tasks (output_path, status, error) to the state under path; a write is all or nothing."""
+    updates.select("output_path", "status", "error", F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
+def current_state(spark: SparkSession, path: str) -> DataFrame:
+    """output_path, status, error: the last entry of each task."""
+    last = spark.read.parquet(path).groupBy("output_path").agg(F.max(F.struct("at", "status", "error")).alias("last"))
+    return last.select("output_path", "last.status", "last.error")
 
 
-def write_summary(summary: DataFrame, path: str) -> None:
-    """A one-row summary as a JSON file of the driver's."""
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(json.loads(summary.toJSON().first()), out, ensure_ascii=False, indent=2)
+def manifest(items: DataFrame, state: DataFrame) -> dict:
+    """Counts of a download: items, and files by status."""
+    files = {r["status"]: r["files"] for r in status_counts(state).collect()}
+    names = ("completed", "skipped_empty", "failed")
+    return {"encoding": "UTF-8", "content_code": 1, "items_downloaded": items.count()} | {f"files_{n}": files.get(n, 0) for n in names}
