@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgeline.functions import scalars
-from sedgeline.operators import cluster, series, som, stages
+from sedgeline.operators import cluster, figures, series, som, stages
 from sedgeline.params import FEATURES, Params
 from sedgeline.sources import archives
 
@@ -176,17 +176,25 @@ def metadata_features(spark, sf_dir):
     return rounded(series.metadata(measurements(spark, sf_dir)))
 
 
-IMPUTED = SERIES + """, medians as (select median(slope_ratio) as r, median(log_linear_slope) as s, median(residual_cv) as c, median(late_slope) as l from derived),
+IMPUTED = SERIES + """, medians as (select median(slope_ratio) as r, median(log_linear_slope) as s, median(residual_cv) as c, median(late_slope) as l, median(log_linear_r2) as q from derived),
 imputed as (select mesh_id_250m, coalesce(early_slope, 0.0) as early_slope, coalesce(late_slope, l) as late_slope, coalesce(log_linear_slope, s) as log_linear_slope,
-  coalesce(residual_cv, c) as residual_cv, total_decay_ratio, n_increases::double as n_increases, temporal_span_years from derived, medians)"""
-_SCALED = ("total_decay_ratio", "log_linear_slope", "early_slope", "late_slope", "residual_cv", "n_increases", "temporal_span_years")
+  coalesce(residual_cv, c) as residual_cv, total_decay_ratio, n_increases::double as n_increases, temporal_span_years, coalesce(log_linear_r2, q) as log_linear_r2, coalesce(slope_ratio, r) as slope_ratio from derived, medians)"""
+_SCALED = FEATURES
 _Q = IMPUTED + ", long as (" + " union all ".join(f"select mesh_id_250m, '{c}' as feature, {c} as x from imputed" for c in _SCALED) + """),
 fitted as (select feature, quantile_cont(x, 0.5) as median, quantile_cont(x, 0.25) as q25, quantile_cont(x, 0.75) as q75 from long group by feature)"""
 
 
-@query(IMPUTED + f" select mesh_id_250m, {_numbers('early_slope late_slope log_linear_slope residual_cv')} from imputed")
+_EACH = " ".join(c for c in FEATURES if c != "slope_ratio")
+
+
+@query(IMPUTED + f" select mesh_id_250m, {_numbers(_EACH)}, round(slope_ratio, 3) + 0.0 as slope_ratio from imputed")
 def impute(spark, sf_dir):
-    return rounded(series.impute(_derived(spark, sf_dir)).select("mesh_id_250m", "early_slope", "late_slope", "log_linear_slope", "residual_cv"))
+    return rounded(series.impute(_derived(spark, sf_dir)).select("mesh_id_250m", *FEATURES).withColumn("slope_ratio", F.round("slope_ratio", 3)))
+
+
+@query(SERIES + " select 'early_slope' as feature, count(*) filter (where early_slope is null) as n_missing, count(*) filter (where early_slope is null) as n_zero, 0::bigint as n_median from derived" + "".join(f" union all select '{c}', count(*) filter (where {c} is null), 0, count(*) filter (where {c} is null) from derived" for c in FEATURES if c != "early_slope"))
+def imputation_counts(spark, sf_dir):
+    return series.imputation_counts(_derived(spark, sf_dir))
 
 
 @query(_Q + f" select feature, {_numbers('median q25 q75')}, round(case when q75 - q25 >= 1e-12 then q75 - q25 end, 6) + 0.0 as iqr from fitted")
@@ -201,9 +209,40 @@ def robust_scale(spark, sf_dir):
     return rounded(cluster.long_form(named, ["mesh_id_250m"], list(_SCALED)).withColumnRenamed("value", "z"), 4)
 
 
-@query(IMPUTED + " select 'early_slope' as feature_a, 'residual_cv' as feature_b, round(corr(early_slope, residual_cv), 6) + 0.0 as r from imputed union all select 'early_slope', 'n_increases', round(corr(early_slope, n_increases), 6) + 0.0 from imputed union all select 'residual_cv', 'n_increases', round(corr(residual_cv, n_increases), 6) + 0.0 from imputed")
+_PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
+_CORRELATED = IMPUTED + ", pairs as (" + " union all ".join(f"select '{a}' as feature_a, '{b}' as feature_b, corr({a}, {b}) as r from imputed" for a, b in _PAIRS) + ")"
+
+
+@query(_CORRELATED + " select feature_a, feature_b, round(r, 4) + 0.0 as r from pairs")
 def correlation_pairs(spark, sf_dir):
-    return rounded(series.correlations(series.impute(_derived(spark, sf_dir)), ("early_slope", "residual_cv", "n_increases")))
+    return rounded(series.correlations(series.impute(_derived(spark, sf_dir))), 4)
+
+
+@query(_CORRELATED + " select feature_a, feature_b, round(r, 4) + 0.0 as r from pairs where abs(r) > 0.5")
+def close_pairs(spark, sf_dir):
+    return rounded(series.close_pairs(series.impute(_derived(spark, sf_dir)), limit=0.5), 4)
+
+
+@query(_Q + """, z as (select mesh_id_250m, feature, greatest(-3, least(3, case when q75 - q25 >= 1e-12 then (x - median) / (q75 - q25) else 0 end)) as z from long join fitted using (feature)),
+decontaminated as (select count(distinct mesh_id_250m) as n from m where sampling_point_state is not null)
+select 'row_count' as "check", count(*)::double as value, null::boolean as passed from imputed union all
+select 'positive_slope_pct', round(100.0::double * count(*) filter (where log_linear_slope > 0) / count(*), 2), null from imputed union all
+select 'decontaminated_cells', n::double, n > 0 from decontaminated union all
+select 'mean ' || feature || '_z', round(avg(z), 3) + 0.0, abs(avg(z)) < 0.5 from z group by feature union all
+select 'std ' || feature || '_z', round(stddev_samp(z), 3) + 0.0, null from z group by feature""")
+def sanity_checks(spark, sf_dir):
+    matrix = series.feature_matrix(measurements(spark, sf_dir), PARAMS)
+    found = series.sanity(series.robust_scale(series.impute(matrix)))
+    return found.withColumn("value", F.round("value", 3) + 0.0)
+
+
+@query(SERIES + f""", counted as (select mesh_id_250m, measurement_type, count(*) as n from m group by all),
+best as (select mesh_id_250m, measurement_type from counted qualify row_number() over (partition by mesh_id_250m order by n desc, measurement_type) = 1),
+about as (select mesh_id_250m, b.measurement_type, bool_or(sampling_point_state is not null) as is_decontaminated, median(distance_from_fdnpp_km) as distance_from_fdnpp_km from m join best b using (mesh_id_250m) group by all)
+select mesh_id_250m, {_numbers('log_linear_slope residual_cv total_decay_ratio distance_from_fdnpp_km')}, n_increases, n_measurement_dates, has_early_data, measurement_type, is_decontaminated from derived left join about using (mesh_id_250m)""")
+def feature_matrix(spark, sf_dir):
+    names = ["log_linear_slope", "residual_cv", "total_decay_ratio", "distance_from_fdnpp_km", "n_increases", "n_measurement_dates", "has_early_data", "measurement_type", "is_decontaminated"]
+    return rounded(series.feature_matrix(measurements(spark, sf_dir), PARAMS).select("mesh_id_250m", *names))
 
 
 @query(_Q + " select feature, round(avg(x), 6) + 0.0 as mean, round(stddev_samp(x), 6) + 0.0 as std, round(min(x), 6) + 0.0 as low, round(max(x), 6) + 0.0 as high, count(*) filter (where x is null) as nulls from long group by feature")
@@ -273,25 +312,89 @@ def stage6_flags(spark, sf_dir):
     return measurements(spark, sf_dir).groupBy("height_anomalous", "is_decontaminated", "year").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(ALL + "".join(f" {'union all ' if i else ''}select '{n}' as stage, count(*) as rows, count(distinct mesh_id_250m) as meshes from {t}" for i, (n, t) in enumerate((("0_loaded", "placed"), ("1_distance", "near"), ("1b_dedup", "single"), ("2_detection", "found"), ("3_dose", "all_dosed"), ("4_temporal", "all_dated"), ("5_type", "all_final")))))
+_COUNTED = ALL + ", counted as (" + " union all ".join(f"select '{n}' as stage, count(*) as rows, count(distinct mesh_id_250m) as meshes from {t}" for n, t in (("0_loaded", "placed"), ("1_distance", "near"), ("1b_dedup", "single"), ("2_detection", "found"), ("3_dose", "all_dosed"), ("4_temporal", "all_dated"), ("5_type", "all_final"))) + """),
+mixed as (select count(*) as n from (select mesh_id_250m from all_dated group by 1 having count(distinct measurement_type) > 1)),
+before as (select *, coalesce(lag(rows) over (order by stage), rows) as rows_in, coalesce(lag(meshes) over (order by stage), meshes) as meshes_in from counted)"""
+
+
+@query(_COUNTED + " select stage, rows, rows_in - rows as rows_dropped, round(100.0::double * (rows_in - rows) / greatest(rows_in, 1), 2) as pct_dropped, meshes, meshes_in - meshes as meshes_dropped, case when stage = '5_type' then n else 0 end as mixed_meshes from before, mixed")
 def filter_audit(spark, sf_dir):
     return stages.stage_audit(_placed(spark, sf_dir), ORDER, PARAMS)
 
 
 @query(ALL + " select source_item, rows_loaded, coalesce(rows_final, 0)::bigint as rows_final, coalesce(meshes_final, 0)::bigint as meshes_final from (select source_item, count(*) as rows_loaded from placed group by 1) left join (select source_item, count(*) as rows_final, count(distinct mesh_id_250m) as meshes_final from all_final group by 1) using (source_item)")
 def per_item_breakdown(spark, sf_dir):
-    placed = _placed(spark, sf_dir)
-    return stages.item_breakdown(placed, stages.run_stages(placed, ORDER, PARAMS))
+    return stages.item_breakdown(_placed(spark, sf_dir), ORDER, PARAMS)
+
 
+_BOTH = DETECT + _dosed("low", "found", 0.3) + _dosed("high", "found", 0.4)
 
-@query(DETECT + _dosed("low", "found", 0.3) + _dosed("high", "found", 0.4) + """, sides as (select coalesce(l.mesh_id_250m, h.mesh_id_250m) as mesh, l.n as low, h.n as high
-  from (select mesh_id_250m, count(*) as n from low_final group by 1) l full join (select mesh_id_250m, count(*) as n from high_final group by 1) h using (mesh_id_250m))
-select count(low) as meshes_low, count(high) as meshes_high, count(*) filter (where low is not null and high is not null) as meshes_both, count(*) filter (where high is null) as only_low,
-  count(*) filter (where low is null) as only_high, coalesce(sum(low), 0)::bigint as rows_low, coalesce(sum(high), 0)::bigint as rows_high from sides""")
+
+@query(_BOTH + """, sides as (select coalesce(l.mesh_id_250m, h.mesh_id_250m) as mesh, l.n as low, h.n as high
+  from (select mesh_id_250m, count(*) as n from low_final group by 1) l full join (select mesh_id_250m, count(*) as n from high_final group by 1) h using (mesh_id_250m)),
+shared as (select count(*) as n from (select distinct mesh_id_250m, correction_date, value from low_final intersect select distinct mesh_id_250m, correction_date, value from high_final)),
+years as (select (select min(year(correction_date)) from low_final) as a, (select max(year(correction_date)) from low_final) as b, (select min(year(correction_date)) from high_final) as c, (select max(year(correction_date)) from high_final) as d),
+counts as (select count(low) as meshes_low, count(high) as meshes_high, count(*) filter (where low is not null and high is not null) as meshes_both, count(*) filter (where high is null) as only_low,
+  count(*) filter (where low is null) as only_high, coalesce(sum(low), 0)::bigint as rows_low, coalesce(sum(high), 0)::bigint as rows_high from sides)
+select counts.*, a::int as min_year_low, b::int as max_year_low, c::int as min_year_high, d::int as max_year_high, round(n::double / greatest(rows_low, 1), 4) as row_overlap, round(meshes_both::double / greatest(meshes_low, 1), 4) as mesh_overlap from counts, shared, years""")
 def sensitivity(spark, sf_dir):
     return stages.sensitivity(_found(spark, sf_dir), 0.3, 0.4, 12)
 
 
+def _by(part: str) -> str:
+    return _BOTH + f""" select coalesce(l.part, h.part) as part, coalesce(l.n, 0)::bigint as rows_low, coalesce(h.n, 0)::bigint as rows_high
+  from (select {part} as part, count(*) as n from low_final group by 1) l full join (select {part} as part, count(*) as n from high_final group by 1) h using (part)"""
+
+
+@query(_by("source_item"))
+def sensitivity_classes(spark, sf_dir):
+    return stages.sensitivity_by(_found(spark, sf_dir), 0.3, 0.4, 12, F.col("source_item"))
+
+
+@query(_by("least(floor(distance_from_fdnpp_km / 20) * 20, 60)::bigint"))
+def sensitivity_bands(spark, sf_dir):
+    return stages.sensitivity_by(_found(spark, sf_dir), 0.3, 0.4, 12, stages.band())
+
+
+@query(ALL + """ select count(*) as total_rows, count(distinct mesh_id_250m) as total_meshes, count(distinct source_item) as total_items, min(year(correction_date))::smallint as year_min,
+  max(year(correction_date))::smallint as year_max, round(min(distance_from_fdnpp_km), 6) as distance_min, round(max(distance_from_fdnpp_km), 6) as distance_max, round(min(value), 6) as value_min,
+  round(max(value), 6) as value_max, count(*) filter (where sampling_point_state is not null) as is_decontaminated_true, count(*) filter (where measurement_height_cm <> 100) as height_anomalous_true from all_final""")
+def final_summary(spark, sf_dir):
+    return rounded(stages.final_summary(stages.run_stages(_placed(spark, sf_dir), ORDER, PARAMS)))
+
+
+@query(ALL + " select 'measurement_type' as part, measurement_type as name, count(*) as rows from all_final group by 2 union all select 'source_item', source_item, count(*) from all_final group by 2")
+def final_counts(spark, sf_dir):
+    return stages.final_counts(stages.run_stages(_placed(spark, sf_dir), ORDER, PARAMS), ("measurement_type", "source_item"))
+
+
+@query(M + " select count(*) as rows, count(distinct mesh_id_250m) as meshes, min(correction_date)::date::varchar as first_date, max(correction_date)::date::varchar as last_date from m")
+def input_profile(spark, sf_dir):
+    found = stages.profile(measurements(spark, sf_dir)).drop("columns")
+    return found.withColumns({c: F.to_date(c).cast("string") for c in ("first_date", "last_date")})
+
+
+_GATES = """with raw as (select event_id, case when event_id % 7 = 0 then null when event_id % 7 = 1 then 'soil' else 'Spatial dose rate' end as category,
+  case when event_id % 11 = 0 then 'bad' else ts::date::varchar end as correction_date, case when event_id % 5 = 0 then null else '37.5' end as latitude,
+  case when event_id % 3 = 0 then null else '10' end as distance, case when event_id % 13 = 0 then '　' else user_id::varchar end as mesh from events),
+gated as (select *, case when category = 'soil' then 'category' when correction_date = 'bad' then 'date' when latitude is null and distance is null then 'place' when mesh = '　' then 'mesh' else 'kept' end as gate from raw)"""
+
+
+@query(_GATES + """ select count(*) as rows_loaded, count(*) filter (where gate = 'category') as dropped_category, count(*) filter (where gate = 'date') as dropped_date, count(*) filter (where gate = 'place') as dropped_place,
+  count(*) filter (where gate = 'mesh') as dropped_mesh, count(*) filter (where gate in ('kept', 'mesh') and latitude is not null and distance is null) as distances_computed, count(*) filter (where gate = 'kept') as rows_after from gated""")
+def cleaning_audit(spark, sf_dir):
+    n = F.col("event_id")
+    raw = table(spark, sf_dir, "events").select(
+        F.when(n % 7 == 0, None).when(n % 7 == 1, "soil").otherwise("Spatial dose rate").alias("category"),
+        F.when(n % 11 == 0, "bad").otherwise(F.to_date("ts").cast("string")).alias("correction_date"),
+        F.when(n % 5 != 0, "37.5").alias("latitude"),
+        F.lit("140.5").alias("longitude"),
+        F.when(n % 3 != 0, "10").alias("distance_from_fdnpp_km"),
+        F.when(n % 13 == 0, "　").otherwise(F.col("user_id").cast("string")).alias("mesh_id_250m"),
+    )
+    return stages.cleaning_audit(raw, PARAMS)
+
+
 @query(NEAR + " select least(floor(distance_from_fdnpp_km / 20) * 20, 60)::bigint as band, count(*) as rows, count(distinct mesh_id_250m) as meshes from near group by 1")
 def distance_bands(spark, sf_dir):
     return stages.distance_bands(stages.stage_1_distance(_placed(spark, sf_dir), PARAMS))
@@ -334,14 +437,14 @@ def text_flags(spark, sf_dir):
     return d.select("doc_id", flagged.alias("flagged"), scalars.mesh_id(F.concat("source", F.lit("　"))).alias("source"))
 
 
-_ITEMS = "select p_partkey as item_code, (p_partkey % 5)::bigint as class_code from part where p_partkey % 50 = 0"
+_ITEMS = "select p_partkey as item_code, (p_partkey % 5)::bigint as class_code from part"
 _TASKS = f"""with tasks as (select item_code, class_code, fiscal_year::int as fiscal_year, printf('dataset/%s/item_%03d/%d.zip',
   case class_code when 2 then '02_drive_survey' when 3 then '03_walk_survey' when 4 then '04_survey_meter' else printf('%02d_unknown', class_code) end, item_code, fiscal_year) as output_path
   from ({_ITEMS}), (select unnest(range(2011, 2025)) as fiscal_year))"""
 
 
 def _tasks(spark, sf_dir):
-    items = table(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("item_code"), (F.col("p_partkey") % 5).alias("class_code"))
+    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_code"), (F.col("p_partkey") % 5).alias("class_code"))
     return archives.task_list(items)
 
 
@@ -357,9 +460,16 @@ def task_anti_join(spark, sf_dir):
     return archives.open_tasks(tasks, state)
 
 
-@query("select source, lang, count(*) as n from documents group by rollup (source, lang)")
+@query("select source as source_class, lang as source_item, count(*) as zips, sum(n_chars)::bigint as bytes from documents group by rollup (source, lang)")
 def inventory_rollup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").rollup("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    files = table(spark, sf_dir, "documents").select(F.col("source").alias("source_class"), F.col("lang").alias("source_item"), "n_chars")
+    return archives.rolled_up(files, F.sum("n_chars").alias("bytes"))
+
+
+@query(_TASKS + " select case when fiscal_year % 3 = 0 then 'completed' else 'failed' end as status, count(*) as files from tasks group by 1")
+def status_counts(spark, sf_dir):
+    state = _tasks(spark, sf_dir).select("output_path", F.when(F.col("fiscal_year") % 3 == 0, "completed").otherwise("failed").alias("status"))
+    return archives.status_counts(state)
 
 
 BMU = """with book as (select row_number() over (order by vec_id) as neuron, embedding::double[] as w from embeddings order by vec_id limit 25),
@@ -420,22 +530,93 @@ def cluster_sizes(spark, sf_dir):
     return rounded(cluster.cluster_sizes(_vectors(spark, sf_dir).withColumnRenamed("label", "cluster")))
 
 
-@query("select label as cluster, round(avg(embedding[1]::double), 6) + 0.0 as v0, round(avg(embedding[2]::double), 6) + 0.0 as v1 from embeddings group by 1")
+_WIDTH = 64
+_LONG = "with long as (select vec_id, label as cluster, 'v' || i::varchar as feature, embedding[i + 1]::double as value from (select *, unnest(range(64)) as i from embeddings))"
+
+
+def _wide(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return v.select("vec_id", F.col("label").alias("cluster"), *[F.col("vector")[i].alias(f"v{i}") for i in range(_WIDTH)])
+
+
+@query(_LONG + " select cluster, feature, round(avg(value), 6) + 0.0 as value from long group by all")
 def cluster_centroids(spark, sf_dir):
-    v = _vectors(spark, sf_dir).select(F.col("label").alias("cluster"), F.col("vector")[0].alias("v0"), F.col("vector")[1].alias("v1"))
-    return rounded(cluster.centroids(v, ["v0", "v1"]))
+    names = [f"v{i}" for i in range(_WIDTH)]
+    return rounded(cluster.long_form(cluster.centroids(_wide(spark, sf_dir), names), ["cluster"], names))
 
 
-@query("with v as (select label as cluster, embedding[1]::double as v0, embedding[2]::double as v1 from embeddings), long as (select cluster, 'v0' as feature, v0 as value from v union all select cluster, 'v1', v1 from v) select cluster, feature, round(min(value), 6) + 0.0 as low, round(quantile_cont(value, 0.25), 6) + 0.0 as q25, round(quantile_cont(value, 0.5), 6) + 0.0 as median, round(quantile_cont(value, 0.75), 6) + 0.0 as q75, round(max(value), 6) + 0.0 as high from long group by all")
+@query(_LONG + " select cluster, feature, round(min(value), 6) + 0.0 as low, round(quantile_cont(value, 0.25), 6) + 0.0 as q25, round(quantile_cont(value, 0.5), 6) + 0.0 as median, round(quantile_cont(value, 0.75), 6) + 0.0 as q75, round(max(value), 6) + 0.0 as high from long group by all")
 def boxplot_quartiles(spark, sf_dir):
-    v = _vectors(spark, sf_dir).select(F.col("label").alias("cluster"), F.col("vector")[0].alias("v0"), F.col("vector")[1].alias("v1"))
-    return rounded(cluster.box_quartiles(cluster.long_form(v, ["cluster"], ["v0", "v1"]), ["cluster", "feature"]))
+    names = [f"v{i}" for i in range(_WIDTH)]
+    return rounded(cluster.box_quartiles(cluster.long_form(_wide(spark, sf_dir).drop("vec_id"), ["cluster"], names), ["cluster", "feature"]))
+
+
+@query("select label as cluster, round(avg(embedding[1]::double), 6) + 0.0 as mean_first, round(avg(case when vec_id % 3 <> 0 then embedding[2]::double end), 6) + 0.0 as mean_second from embeddings group by 1")
+def context_means(spark, sf_dir):
+    v = _wide(spark, sf_dir).select("cluster", F.col("v0").alias("first"), F.when(F.col("vec_id") % 3 != 0, F.col("v1")).alias("second"))
+    return rounded(cluster.context_means(v, ("first", "second")))
+
+
+@query(BMU + ", cells as (select label, bmu, count(*) as n from bmus group by all) select bmu::int as cluster, count(*) as n, round(count(*) * 100.0 / sum(count(*)) over (), 6) as pct, ceil(sum(count(*)) over () * 0.01)::bigint as least from bmus group by 1")
+def size_bars(spark, sf_dir):
+    found = figures.size_bars(_assigned(spark, sf_dir).withColumnRenamed("bmu", "som_cluster"), 0.01)
+    return rounded(found.withColumnRenamed("som_cluster", "cluster"))
+
+
+def _ari_sql(a: str, b: str) -> str:
+    n, two = "sum(n * (n - 1) / 2)", "(t * (t - 1) / 2)"
+    cells = f"(select {a} as a, {b} as b, count(*) as n from labelled group by all)"
+    one = f"(select (select {n} from {cells}) as c, (select {n} from (select sum(n) as n from {cells} group by a)) as r, (select {n} from (select sum(n) as n from {cells} group by b)) as k, (select sum(n) from {cells}) as t)"
+    return f"select '{a}' as a, '{b}' as b, round((c - r * k / {two}) / ((r + k) / 2 - r * k / {two}), 6) + 0.0 as ari from {one}"
+
+
+@query(BMU + ", labelled as (select label, bmu, second from bmus) " + " union all ".join(_ari_sql(a, b) for a, b in (("label", "bmu"), ("label", "second"), ("bmu", "second"))))
+def ari_matrix(spark, sf_dir):
+    return rounded(som.ari_matrix(_assigned(spark, sf_dir), ["label", "bmu", "second"]))
+
+
+@query(BMU + """, labelled as (select b.label as c, e.embedding::double[] as v from bmus b join embeddings e using (vec_id)),
+means as (select label as c, i, avg(embedding[i + 1]::double) as mean from (select *, unnest(range(64)) as i from embeddings) group by all)
+select c as cluster, round(sum((v[i + 1] - mean) ** 2), 4) as wss from labelled join means using (c) group by 1""")
+def within_squares(spark, sf_dir):
+    return rounded(cluster.within_squares(_wide(spark, sf_dir), [f"v{i}" for i in range(_WIDTH)]), 4)
+
+
+_RUNS = """with runs as (select '5x5' as grid, vec_id::int as seed, embedding[1]::double as qe, abs(embedding[2]::double) as te from embeddings where vec_id < 5
+  union all select '6x6', vec_id::int - 5, embedding[1]::double, abs(embedding[2]::double) from embeddings where vec_id between 5 and 9),
+grids as (select grid, avg(qe) as mean_qe, avg(te) as mean_te from runs group by 1)"""
+
+
+def _runs(spark, sf_dir):
+    n = F.col("vec_id")
+    v = table(spark, sf_dir, "embeddings").filter(n < 10).select(
+        F.when(n < 5, "5x5").otherwise("6x6").alias("grid"), F.when(n < 5, n).otherwise(n - 5).cast("int").alias("seed"),
+        F.col("embedding")[0].cast("double").alias("qe"), F.abs(F.col("embedding")[1].cast("double")).alias("te"),
+    )
+    return v.withColumn("run_id", F.concat_ws("_seed", "grid", "seed"))
+
+
+@query(_RUNS + " select grid, round(mean_qe, 6) + 0.0 as mean_qe, round(mean_te, 6) + 0.0 as mean_te, 0.9::double as mean_ari, 0.9::double as min_ari, true as stable from grids")
+def grid_summary(spark, sf_dir):
+    """Measures of ten runs (numbers of the first vectors stand in), with pairs that agree to 0.9."""
+    runs = _runs(spark, sf_dir)
+    a, b = runs.select("grid", F.col("run_id").alias("a")), runs.select("grid", F.col("run_id").alias("b"))
+    pairs = a.join(b, "grid").filter("a < b").select("a", "b", F.lit(0.9).alias("ari"))
+    return rounded(som.grid_summary(runs, pairs))
+
+
+@query(_RUNS + " select grid, arg_min(seed, qe) as seed, round(min(qe), 6) + 0.0 as qe, round(arg_min(te, qe), 6) + 0.0 as te, 'no grid within the limits: least mean TE' as reason from runs where grid = (select arg_min(grid, mean_te) from grids) group by 1")
+def model_selection(spark, sf_dir):
+    """The run of least QE in the grid of least mean TE, where no grid is stable."""
+    runs = _runs(spark, sf_dir)
+    grids = som.grid_summary(runs, spark.createDataFrame([("5x5_seed0", "5x5_seed1", 0.5), ("6x6_seed0", "6x6_seed1", 0.5)], "a string, b string, ari double"))
+    return rounded(cluster.select_model(runs, grids))
 
 
 @query()
 def som_train(spark, sf_dir):
-    """neuron and weights of a map trained on the embeddings' first nine numbers."""
-    v = _vectors(spark, sf_dir).select(F.slice("vector", 1, 9).alias("vector"))
+    """neuron and weights of a map trained on the embeddings."""
+    v = _vectors(spark, sf_dir).select("vector").persist()
     book, _ = som.train(v, GRID, passes=5)
     return spark.createDataFrame([(i + 1, [float(x) for x in w]) for i, w in enumerate(book)], "neuron int, w array<double>")
 
@@ -452,7 +633,7 @@ def ward_clusters(spark, sf_dir):
 @query()
 def regimes(spark, sf_dir):
     """mesh, neuron and regime: features scaled, mapped, cut into clusters and labelled."""
-    scaled = series.robust_scale(series.impute(_derived(spark, sf_dir)))
+    scaled = series.robust_scale(series.impute(_derived(spark, sf_dir).persist())).persist()  # read once a fit and once a pass
     vectors = scaled.select("mesh_id_250m", F.array(*[F.col(f"{c}_z") for c in FEATURES]).alias("vector"))
     book, _ = som.train(vectors, GRID, passes=5)
     assigned = som.assign(vectors, book)

@@ -85,10 +85,12 @@ def test_scaling(spark):
         series.check_matrix(df, ["flat"])
 
 
-def test_one_exchange_per_series(spark):
+def test_exchanges_of_series(spark):
+    """Readings are reduced to medians of each mesh and date before the days are dealt by mesh, once."""
     df = readings(spark, [("A", "2012-01-01", 1.0, "Walk")])
     plan = series.series_features(series.daily(df))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Exchange hashpartitioning(mesh_id_250m#") == 2
+    assert "partial_percentile" in plan
 
 
 def test_grid_and_ties(spark):
