@@ -184,20 +184,21 @@ def close_pairs(features: DataFrame, columns: tuple[str, ...] = FEATURES, limit:
 
 
 def sanity(features: DataFrame, expected_rows: int | None = None, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """check, value, passed (null: only reported) over a scaled feature matrix, in one aggregation."""
+    """check, value, outcome (passed, failed, or reported only) over a scaled feature matrix, in one aggregation."""
     rows = F.count(F.lit(1))
     positive = 100.0 * F.count_if(F.col("log_linear_slope") > 0) / F.greatest(rows, F.lit(1))
     decontaminated = F.count_if("is_decontaminated")
-    as_expected = F.lit(None).cast("boolean") if expected_rows is None else rows == expected_rows
+    reported = F.lit(None).cast("boolean")
+    as_expected = reported if expected_rows is None else rows == expected_rows
     checks = [
         ("row_count", rows.cast("double"), as_expected),
-        ("positive_slope_pct", F.round(positive, 2), F.lit(None).cast("boolean")),
+        ("positive_slope_pct", F.round(positive, 2), reported),
         ("decontaminated_cells", decontaminated.cast("double"), decontaminated > 0),
     ]
     for c in columns:
         mean = F.avg(f"{c}_z")
-        checks += [(f"mean {c}_z", mean, F.abs(mean) < 0.5), (f"std {c}_z", F.stddev_samp(f"{c}_z"), F.lit(None).cast("boolean"))]
-    each = [F.struct(F.lit(n).alias("check"), v.alias("value"), ok.alias("passed")) for n, v, ok in checks]
+        checks += [(f"mean {c}_z", mean, F.abs(mean) < 0.5), (f"std {c}_z", F.stddev_samp(f"{c}_z"), reported)]
+    each = [F.struct(F.lit(n).alias("check"), v.alias("value"), F.when(ok.isNull(), "reported").when(ok, "passed").otherwise("failed").alias("outcome")) for n, v, ok in checks]
     return features.agg(F.array(*each).alias("all")).select(F.inline("all"))
 
 

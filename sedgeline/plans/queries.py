@@ -225,11 +225,11 @@ def close_pairs(spark, sf_dir):
 
 @query(_Q + """, z as (select mesh_id_250m, feature, greatest(-3, least(3, case when q75 - q25 >= 1e-12 then (x - median) / (q75 - q25) else 0 end)) as z from long join fitted using (feature)),
 decontaminated as (select count(distinct mesh_id_250m) as n from m where sampling_point_state is not null)
-select 'row_count' as "check", count(*)::double as value, null::boolean as passed from imputed union all
-select 'positive_slope_pct', round(100.0::double * count(*) filter (where log_linear_slope > 0) / count(*), 2), null from imputed union all
-select 'decontaminated_cells', n::double, n > 0 from decontaminated union all
-select 'mean ' || feature || '_z', round(avg(z), 3) + 0.0, abs(avg(z)) < 0.5 from z group by feature union all
-select 'std ' || feature || '_z', round(stddev_samp(z), 3) + 0.0, null from z group by feature""")
+select 'row_count' as "check", count(*)::double as value, 'reported' as outcome from imputed union all
+select 'positive_slope_pct', round(100.0::double * count(*) filter (where log_linear_slope > 0) / count(*), 2), 'reported' from imputed union all
+select 'decontaminated_cells', n::double, case when n > 0 then 'passed' else 'failed' end from decontaminated union all
+select 'mean ' || feature || '_z', round(avg(z), 3) + 0.0, case when abs(avg(z)) < 0.5 then 'passed' else 'failed' end from z group by feature union all
+select 'std ' || feature || '_z', round(stddev_samp(z), 3) + 0.0, 'reported' from z group by feature""")
 def sanity_checks(spark, sf_dir):
     matrix = series.feature_matrix(measurements(spark, sf_dir), PARAMS)
     found = series.sanity(series.robust_scale(series.impute(matrix)))

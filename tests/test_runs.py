@@ -78,7 +78,7 @@ def test_features(spark, output):
     assert summary["output_rows"] == 60 and matrix.columns == list(tables.FEATURE_COLUMNS)
     series.check_matrix(matrix, [f"{c}_z" for c in FEATURES])
     checks = {r["check"]: r for r in summary["sanity_checks"]}
-    assert checks["row_count"]["passed"] and checks["decontaminated_cells"]["value"] == 9 and checks["positive_slope_pct"]["value"] < 20
+    assert checks["row_count"]["outcome"] == "passed" and checks["decontaminated_cells"]["value"] == 9 and checks["positive_slope_pct"]["value"] < 20
     fitted = {r.feature: r for r in tables.read_scaling(spark, f"{out}/feature_summary").collect()}
     assert set(fitted) == set(FEATURES) and len(summary["correlations"]) == 36
     q = matrix.agg(F.percentile("residual_cv", [0.25, 0.5, 0.75])).first()[0]
