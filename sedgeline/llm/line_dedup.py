@@ -82,7 +82,8 @@ def _stream(policy: str, min_docs: int, totals: dict, before: dict):
     """The rows that go. Of an undecided run at a batch's end only rows of fewer than min_docs documents are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
+        held: list[tuple[np.ndarray, ...]] = []
+        held_docs = 0
         seen = False  # the run that is open has had a row (or, where many documents are asked for, is sure to go)
 
         def out(rows: tuple[np.ndarray, ...], keep: np.ndarray) -> pa.RecordBatch:
@@ -106,8 +107,16 @@ def _stream(policy: str, min_docs: int, totals: dict, before: dict):
                 last_row, last_new = tuple(int(x[-1]) for x in rows[:5]), bool(new[-1])
                 yield out(rows, ~new)
                 continue
-            if held is not None:
-                rows = tuple(np.concatenate(pair) for pair in zip(held, rows, strict=True))
+            if held and open_key == (int(rows[0][0]), int(rows[1][0])) == (int(rows[0][-1]), int(rows[1][-1])):
+                # All of the batch goes on with a run that isn't decided: it is only put by, however long the run gets.
+                docs = np.stack([np.append(held[-1][k][-1], rows[k]) for k in (2, 3)])
+                held_docs += int(np.count_nonzero(np.any(docs[:, 1:] != docs[:, :-1], axis=0)))
+                held.append(rows)
+                if held_docs < min_docs:
+                    continue
+                rows, held = held[-1], held[:-1]
+            if held:
+                rows = tuple(np.concatenate(parts) for parts in zip(*held, rows, strict=True))
             h1, h2, doc, text = rows[:4]
             new = np.ones(len(h1), bool)
             new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
@@ -122,7 +131,8 @@ def _stream(policy: str, min_docs: int, totals: dict, before: dict):
             sure = bool(docs[-1] >= min_docs)
             length = np.diff(np.append(starts, len(h1)))
             drop = np.repeat(docs >= min_docs, length)
-            held = None if sure else tuple(x[starts[-1] :].copy() for x in rows)
+            held = [] if sure else [tuple(x[starts[-1] :].copy() for x in rows)]
+            held_docs = int(docs[-1])
             open_key, seen = (int(h1[-1]), int(h2[-1])), sure
             yield out(rows, drop)
 
