@@ -122,7 +122,7 @@ def test_jaccard_join(docs, rows, empty, small, n, percent):
     kept = jaccard_join.one_of_each(docs, n, percent).collect()
     assert len(kept) == len({top(i) for i, s in enumerate(sets) if s}) + sum(not s for s in sets)
     assert {r._key for r in kept} <= {r[4] for r in rows} and jaccard_join.one_of_each(docs, n, percent).columns == docs.columns
-    assert jaccard_join.link_components(empty).count() == 0
+    assert jaccard_join.link_components(empty).count() == 0 and jaccard_join.one_of_each(empty).count() == 0
 
 
 def found_in_order(docs, bench):
