@@ -39,6 +39,8 @@ WIDTH = CLASSES + ENDINGS
 #: A token is frequent if more than one in so many tokens is it.
 FREQUENT = 1 << 20
 ROUNDS = 2
+#: Tokens that a training task takes at least: what a task returns doesn't depend on how many it takes.
+TASK_TOKENS = 1_000_000
 BATCH = 16384
 #: Runs of one row in a batch are short up to so many tokens.
 SHORT = 6
@@ -239,7 +241,7 @@ def fit(train: DataFrame, vocab: DataFrame, total: int) -> Model:
     columns = [f"d{k}" for k in range(WIDTH)]
     schema = "row int, used float, " + ", ".join(f"{c} float" for c in columns)
     for number in range(ROUNDS):
-        share = train.filter(F.pmod(F.col("key"), F.lit(ROUNDS)) == number).select("text")
+        share = train.filter(F.pmod(F.col("key"), F.lit(ROUNDS)) == number).select("text").coalesce(max(1, total // TASK_TOKENS))
         shared = spark.sparkContext.broadcast(model)
         sums = share.mapInArrow(_learn(shared), schema).groupBy("row").agg(F.sum("used").alias("used"), *[F.sum(c).alias(c) for c in columns])
         changes = sums.toArrow()
