@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 HASH_BYTES = 1 << 20
@@ -59,6 +60,17 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         first = end
 
 
+def row_ranges(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """First and end row of runs of rows whose texts take about so many bytes together; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        before = int(ends[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield first, end
+        first = end
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte range; ranges are ascending and do not overlap."""
     out = np.empty(len(starts), dtype=np.uint64)

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgeline.llm import decontamination, jaccard_join, language_id, line_dedup, maxent_lm, mixing, order_minhash, sharding, suffix_dedup, warc
+from sedgeline.llm import (
+    decontamination,
+    fill_in_middle,
+    hard_negatives,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    maxent_lm,
+    mixing,
+    order_minhash,
+    sentencepiece_bpe,
+    sharding,
+    suffix_dedup,
+    warc,
+)
 from sedgeline.llm.common import documents
 
 
@@ -73,6 +87,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = fill_in_middle.fill_in_middle(docs, texts=False)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = sentencepiece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded")
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_maxent_lm": op1_maxent_lm,
     "op2_sharding": op2_sharding,
@@ -84,6 +119,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 SQL = {
@@ -177,5 +215,49 @@ with sizes as (
   from ranked
 )
 select doc_id, size, source_size, target, whole + extra::bigint as copies, (whole + extra::bigint) * size as taken from placed
+""",
+    "op11_hard_negatives": r"""
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256.0::double * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as own, list_inner_product(a.v, b.v)::bigint as score
+  from usable a join usable b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+), positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where own
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+)
+select p.anchor_id, p.positive_id, (row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id))::int as rank,
+       s.other_id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scored s on p.anchor_id = s.anchor_id and not s.own
+  and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+qualify rank <= 3
+""",
+    "op12_fill_in_middle": r"""
+with lines as (
+  select doc_id, coalesce(text, '') as body, sha256('7:' || coalesce(doc_id::varchar, '')) as draw, string_split(coalesce(text, ''), chr(10)) as parts from documents
+), counted as (
+  select *, len(parts) - (parts[-1] = '')::int as n,
+         ('0x' || draw[1:8])::bigint as h1, ('0x' || draw[9:16])::bigint as h2, ('0x' || draw[25:32])::bigint as h4
+  from lines
+), planned as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as low, greatest(h1 % (n + 1), h2 % (n + 1)) as high,
+         case when body = '' or regexp_matches(body, '<[PSM]>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form
+  from counted
+), ends as (
+  select *, case when low = 0 then 0 else length(array_to_string(parts[1:low], chr(10))) + (low < len(parts))::int end as first,
+         case when high = 0 then 0 else length(array_to_string(parts[1:high], chr(10))) + (high < len(parts))::int end as last
+  from planned
+), made as (
+  select *, body[1:first] as prefix, body[first + 1:last] as middle, body[last + 1:] as suffix from ends
+)
+select doc_id, n, form, case when form <> 'plain' then first end as prefix_chars, case when form <> 'plain' then last - first end as middle_chars,
+       sha256(case form when 'plain' then body when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(body) as restored_sha256
+from made
 """,
 }
