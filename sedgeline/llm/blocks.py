@@ -43,21 +43,18 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, start of each row in them and the end); a null text is empty."""
+    """(first row, end row, bytes, start of each row in them and the end); a null text is empty.
+
+    The column is cut before its slices are cast: a whole batch of long texts is never copied.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
-    n = len(column)
-    if not n:
-        return
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1]
-    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
-    first = 0
-    while first < n:
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1)
-        yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
-        first = end
+    for first, end in row_ranges(column):
+        part = column.slice(first, end - first).fill_null("").cast(pa.large_string())
+        _, offsets, data = part.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
+        yield first, end, data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def row_ranges(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -226,13 +226,14 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", lang_pred:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool)
-            names, share = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+            # A slice at a time, so that what comes back is as small: whole batches of long texts take 64 MB in both processes.
             for first, end, x in feature_rows(batch.column(text)):
-                names[first:end], share[first:end] = shared.value.predict(x)
-            names[~known], share[~known] = UNKNOWN, 0.0
-            arrays = [batch.column(c) for c in columns] + [pa.array(names, pa.string()), pa.array(share, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, lang_pred, score])
+                part = batch.slice(first, end - first)
+                known = part.column(flag).to_numpy(zero_copy_only=False).astype(bool)
+                names, share = shared.value.predict(x)
+                names[~known], share[~known] = UNKNOWN, 0.0
+                arrays = [part.column(c) for c in columns] + [pa.array(names, pa.string()), pa.array(share, pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, [*columns, lang_pred, score])
 
     out = kept.schema.add(lang_pred, "string").add(score, "double")
     return kept.withColumn(flag, has_letter(text)).mapInArrow(run, out)
