@@ -1,20 +1,22 @@
-"""python -m sedgeline tasks | filter | features | som ...: the phases from the command line."""
+"""python -m sedgeline tasks | download | filter | features | som ...: the phases from the command line."""
 
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from sedgeline import runs
 from sedgeline.operators import stages
 from sedgeline.params import DEFAULT, Params
-from sedgeline.sources import archives, tables
+from sedgeline.sources import archives, download, tables
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="sedgeline")
+    top.add_argument("--verbose", action="store_true", help="say more of what is done")
     phases = top.add_subparsers(dest="phase", required=True)
     tasks = phases.add_parser("tasks", help="files of a saved catalog that are still to be fetched")
     tasks.add_argument("--catalog", required=True)
@@ -22,6 +24,19 @@ def parser() -> argparse.ArgumentParser:
     tasks.add_argument("--year-start", type=int, default=2011)
     tasks.add_argument("--year-end", type=int, default=2024)
     tasks.add_argument("--output", help="folder for the list; without it the list is printed")
+    fetched = phases.add_parser("download", help="archives of a catalog that are still to be fetched")
+    fetched.add_argument("--catalog", required=True, help="a saved catalog, or its address")
+    fetched.add_argument("--url", required=True, help="address of an archive, with {item_code} and {fiscal_year}")
+    fetched.add_argument("--root", default=".", help="folder in which dataset/ is")
+    fetched.add_argument("--state", default="download_state")
+    fetched.add_argument("--year-start", type=int, default=2011)
+    fetched.add_argument("--year-end", type=int, default=2024)
+    fetched.add_argument("--delay", type=float, default=2.0, help="seconds to wait after an archive")
+    fetched.add_argument("--attempts", type=int, default=3)
+    fetched.add_argument("--backoff", type=float, default=5.0, help="seconds before the second attempt; they double")
+    fetched.add_argument("--timeout", type=float, default=60.0)
+    fetched.add_argument("--connections", type=int, default=1, help="archives that are fetched at once")
+    fetched.add_argument("--dry-run", action="store_true", help="print the tasks only")
     found = phases.add_parser("filter", help="archives to filtered measurements")
     found.add_argument("--dataset-dir", default="dataset")
     found.add_argument("--output-dir", default="output")
@@ -45,23 +60,43 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def show(df: DataFrame) -> None:
+    """Every row, a line each; rows come from Spark in parts."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if x is None else str(x) for x in row))
+
+
 def main(arguments: list[str] | None = None) -> int:
     args = parser().parse_args(arguments)
     if args.phase == "filter" and args.sensitivity and args.dose_threshold is not None:
         print("--sensitivity compares fixed thresholds: leave --dose-threshold out", file=sys.stderr)
         return 1
-    if args.phase == "tasks" and args.year_start > args.year_end:
+    logging.basicConfig(format="%(asctime)s %(levelname)-8s %(message)s", level=logging.WARNING)
+    logging.getLogger("sedgeline").setLevel(logging.DEBUG if args.verbose else logging.INFO)
+    if args.phase in ("tasks", "download") and args.year_start > args.year_end:
         print("--year-start is after --year-end", file=sys.stderr)
         return 1
     spark = SparkSession.builder.appName("sedgeline").getOrCreate()
     if args.phase == "tasks":
         tasks = runs.plan_downloads(spark, args.catalog, args.state, args.year_start, args.year_end)
-        tables.write_csv(tasks, args.output, mark=False) if args.output else tasks.show(1000, truncate=False)
+        tables.write_csv(tasks, args.output, mark=False) if args.output else show(tasks)
+    elif args.phase == "download":
+        catalog = args.catalog
+        if catalog.startswith(("http://", "https://")):
+            runs.fetch_catalog(spark, catalog, f"{args.root}/_catalog", args.timeout)
+            catalog = f"{args.root}/_catalog"
+        if args.dry_run:
+            show(runs.plan_downloads(spark, catalog, args.state, args.year_start, args.year_end))
+        else:
+            settings = download.Settings(args.url, args.attempts, args.backoff, timeout=args.timeout, delay=args.delay)
+            made = runs.download_archives(spark, catalog, settings, args.root, args.state, args.year_start, args.year_end, args.connections)
+            print("\n".join(f"{k}: {v}" for k, v in made.items()))
     elif args.phase == "filter":
         threshold = DEFAULT.dose_threshold if args.dose_threshold is None else args.dose_threshold
         params = Params(distance_cutoff_km=args.distance_cutoff, dose_threshold=threshold, min_dates=args.min_temporal_points)
         if args.dry_run:
-            archives.inventory(spark, args.dataset_dir).orderBy("source_class", "source_item").show(1000, truncate=False)
+            show(archives.inventory(spark, args.dataset_dir).orderBy("source_class", "source_item"))
         elif args.sensitivity:
             runs.compare_thresholds(spark, args.dataset_dir, args.output_dir, params)
         else:

@@ -6,7 +6,10 @@ several times (cleaned rows, the feature matrix) is written once and read again.
 
 from __future__ import annotations
 
+import json
+import logging
 import time
+import urllib.request
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +17,9 @@ from pyspark.sql import functions as F
 
 from sedgeline.operators import cluster, figures, series, som, stages
 from sedgeline.params import DEFAULT, FEATURES, Params
-from sedgeline.sources import archives, tables
+from sedgeline.sources import archives, download, stores, tables
 
+log = logging.getLogger("sedgeline")
 #: Load order of readings: of repeated ones the first stays.
 ORDER = ["path", "member", "row_no"]
 
@@ -25,6 +29,16 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def fetch_catalog(spark: SparkSession, url: str, path: str, timeout: float = 60.0, agent: str = "sedgeline") -> None:
+    """The catalog of items (JSON with a data list) to the folder path. An answer without data is an error."""
+    request = urllib.request.Request(url, headers={"User-Agent": agent})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        found = json.loads(answer.read().decode("utf-8"))
+    if "data" not in found:
+        raise ValueError(f"the catalog has no data key, but {sorted(found)}")
+    tables.write_json(spark, found, path)
+
+
 def plan_downloads(spark: SparkSession, catalog: str, state: str | None = None, first_year: int = 2011, last_year: int = 2024) -> DataFrame:
     """The tasks of a saved catalog that are still to be done, in order of their paths."""
     if first_year > last_year:
@@ -35,6 +49,43 @@ def plan_downloads(spark: SparkSession, catalog: str, state: str | None = None,
     return tasks.orderBy("output_path")
 
 
+def download_archives(
+    spark: SparkSession,
+    catalog: str,
+    settings: download.Settings,
+    root: str,
+    state: str,
+    first_year: int = 2011,
+    last_year: int = 2024,
+    connections: int = 1,
+) -> dict:
+    """Every open task of the catalog: archives under root/dataset, what became of them to state, a manifest beside them.
+
+    As many archives as connections are fetched at once, as one job with one commit: a run that is stopped
+    loses these entries at most, and no archive that was stored. Failed tasks are tried again by the next run.
+    """
+    tasks = plan_downloads(spark, catalog, state, first_year, last_year)
+    waiting: list[dict] = []
+    done = 0
+
+    def go() -> None:
+        nonlocal done, waiting
+        if waiting:
+            download.store(download.downloads(spark, waiting, settings, root), state, root)
+            done += len(waiting)
+            log.info("%d tasks are done", done)
+            waiting = []
+
+    for task in tasks.toLocalIterator():
+        waiting.append(task.asDict())
+        if len(waiting) == max(1, connections):
+            go()
+    go()
+    made = archives.manifest(archives.catalog(spark, catalog), archives.current_state(spark, state))
+    tables.write_json(spark, made, f"{root}/dataset/_manifest")
+    return made
+
+
 def _cleaned(spark: SparkSession, dataset: str, output: str, params: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Raw rows and files, and cleaned rows; the archives are unpacked once."""
     archives.read_archives(spark, dataset).write.mode("overwrite").parquet(f"{output}/_raw")

@@ -1,20 +1,30 @@
-"""Archived CSV files as DataFrames, with an account of every file, and the sinks.
+"""Archived CSV files as DataFrames, with an account of every file, and the acquisition's tasks and state.
 
-ZIP files are read by Spark's binaryFile source, so that any store works; a task unzips, decodes and
-parses one file at a time. Every member gives either rows or one status.
+No archive is read whole. Spark lists the files; tasks read the directories at their ends by ranges, which
+gives a table of members; these are dealt out by size, so that one archive's members are in several tasks,
+and each task decompresses and parses its members as streams. Every member gives either rows or one status,
+and a damaged one doesn't touch the others.
 """
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
+import math
+import struct
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator, Sequence
+from datetime import UTC, datetime
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedgeline.sources import download, stores
+
 #: The raw files' columns, by position; None is dropped.
 RAW_COLUMNS = (
     "category", "measurement_type", "organization", "mesh_code", "latitude", "longitude", "prefecture", "city",
@@ -25,67 +35,158 @@ RAW_COLUMNS = (
 ENCODINGS = ("utf-8-sig", "shift_jis", "cp932")
 #: Rows of a file that are sent at a time.
 _SLICE = 20_000
+#: Members up to this size are decompressed once and held, larger ones are read as streams, once for each question.
+HELD_BYTES = 8 << 20
+#: Bytes of members, decompressed, for a task.
+PART_BYTES = 64 << 20
 _KEPT = [(i, c) for i, c in enumerate(RAW_COLUMNS) if c]
+_DATE = RAW_COLUMNS.index("correction_date")
+_MEMBERS = "path string, bytes long, member string, size long, status string"
 _SCHEMA = "path string, bytes long, member string, status string, row_no long, " + ", ".join(f"{c} string" for _, c in _KEPT)
+_DAMAGED = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, struct.error, ValueError)
+
 
+def archive_files(spark: SparkSession, path: str, classes: Sequence[str] | None = None, items: Sequence[str] | None = None, years: Sequence[int] | None = None) -> DataFrame:
+    """path, bytes, source_class, source_item of the ZIP files under path (<class>/<item>/<year>.zip); nothing of them is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
+    parts = F.split("path", "/")
+    named = files.select("path", F.col("length").alias("bytes"), F.element_at(parts, -3).alias("source_class"), F.element_at(parts, -2).alias("source_item"))
+    year = F.regexp_extract("path", r"([^/]*)\.zip$", 1)
+    for column, wanted in ((F.col("source_class"), classes), (F.col("source_item"), items), (year, years)):
+        if wanted is not None:
+            named = named.filter(column.isin([str(x) for x in wanted]))
+    return named
 
-def _decode(raw: bytes) -> str | None:
+
+def _directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The CSV members of each archive, by the directory at its end; or one row with a status."""
+    for batch in batches:
+        rows = []
+        for path, size in zip(batch.column("path").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            try:
+                with stores.opened(path) as file, zipfile.ZipFile(file) as archive:
+                    found = [(i.filename, i.file_size) for i in archive.infolist() if i.filename.lower().endswith(".csv")]
+                rows += [(path, size, name, length, None) for name, length in sorted(found)] or [(path, size, None, 0, "no_csv")]
+            except _DAMAGED:
+                rows.append((path, size, None, 0, "corrupt"))
+            except OSError:
+                rows.append((path, size, None, 0, "unreadable"))
+        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+        yield pa.RecordBatch.from_arrays(columns, ["path", "bytes", "member", "size", "status"])
+
+
+def members(files: DataFrame) -> DataFrame:
+    """path, bytes, member, size (decompressed), status: the CSV members of archive_files; a status where there are none."""
+    return files.select("path", "bytes").mapInArrow(_directories, _MEMBERS)
+
+
+def _encoding(open_member: Callable[[], BinaryIO]) -> str | None:
+    """The first encoding in which the whole member can be read."""
     for encoding in ENCODINGS:
+        decoder = codecs.getincrementaldecoder(encoding)()
         try:
-            return raw.decode(encoding)
+            with open_member() as raw:
+                while chunk := raw.read(1 << 20):
+                    decoder.decode(chunk)
+            decoder.decode(b"", final=True)
         except UnicodeDecodeError:
             continue
+        return encoding
     return None
 
 
-def _parse(raw: bytes) -> tuple[str, list[list[str]]]:
-    text = _decode(raw)
-    if text is None:
-        return "undecodable", []
-    try:
-        rows = list(csv.reader(io.StringIO(text), strict=True))
-    except csv.Error:
-        return "malformed", []
-    if not rows or len(rows[0]) != len(RAW_COLUMNS) or any(len(r) != len(RAW_COLUMNS) for r in rows[1:] if r):
-        return "wrong_columns", []
-    rows = [r for r in rows[1:] if r]
-    if not rows:
-        return "empty", []
-    date = RAW_COLUMNS.index("correction_date")
-    return ("ok", rows) if any(r[date] not in ("", " ") for r in rows) else ("undated", [])
+def _lines(open_member: Callable[[], BinaryIO], encoding: str) -> Iterator[list[str]]:
+    """The header, and every line that isn't blank."""
+    with io.TextIOWrapper(open_member(), encoding=encoding, newline="") as text:
+        for k, row in enumerate(csv.reader(text, strict=True)):
+            if row or not k:
+                yield row
 
 
-def _members(content: bytes) -> Iterator[tuple[str | None, str, list[list[str]]]]:
+def _examined(open_member: Callable[[], BinaryIO]) -> tuple[str, str | None]:
+    """What the member is (ok, or why it is rejected) and its encoding."""
+    encoding = _encoding(open_member)
+    if encoding is None:
+        return "undecodable", None
+    n, dated = 0, False
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            names = sorted(n for n in archive.namelist() if n.lower().endswith(".csv"))
-            if not names:
-                yield None, "no_csv", []
-            for name in names:
-                yield name, *_parse(archive.read(name))
-    except (zipfile.BadZipFile, zipfile.LargeZipFile, NotImplementedError, RuntimeError, EOFError):
-        yield None, "corrupt", []
+        for row in _lines(open_member, encoding):
+            if len(row) != len(RAW_COLUMNS):
+                return "wrong_columns", encoding
+            dated |= n > 0 and row[_DATE] not in ("", " ")
+            n += 1
+    except csv.Error:
+        return "malformed", encoding
+    return "wrong_columns" if not n else "empty" if n == 1 else "ok" if dated else "undated", encoding
+
+
+def _rows(open_member: Callable[[], BinaryIO]) -> Iterator[tuple[str, list[list[str]]]]:
+    """(status, rows) in slices; a rejected member gives one status without rows."""
+    status, encoding = _examined(open_member)
+    if status != "ok":
+        yield status, []
+        return
+    part: list[list[str]] = []
+    lines = _lines(open_member, encoding or "")
+    next(lines)
+    for row in lines:
+        part.append(row)
+        if len(part) == _SLICE:
+            yield "ok", part
+            part = []
+    if part:
+        yield "ok", part
+
+
+def _batch(path: str, size: int, member: str | None, status: str, first: int, rows: list[list[str]]) -> pa.RecordBatch:
+    n = max(1, len(rows))
+    cells = [[(r[i] if r[i] not in ("", " ") else None) for r in rows] or [None] for i, _ in _KEPT]
+    about = [pa.array([path] * n, pa.string()), pa.array([size] * n, pa.int64()), *[pa.array([x] * n, pa.string()) for x in (member, status)]]
+    names = ["path", "bytes", "member", "status", "row_no", *[c for _, c in _KEPT]]
+    return pa.RecordBatch.from_arrays([*about, pa.array(range(first, first + n), pa.int64()), *[pa.array(c, pa.string()) for c in cells]], names)
 
 
-def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["path", "bytes", "member", "status", "row_no", *[c for _, c in _KEPT]]
+def _read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of members; members of one archive that follow each other share its directory."""
+    held: tuple[str, zipfile.ZipFile] | None = None
     for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            archive = content.as_buffer().to_pybytes()
-            for member, status, rows in _members(archive):
-                for first in range(0, max(1, len(rows)), _SLICE):
-                    part = rows[first : first + _SLICE]
-                    n = max(1, len(part))
-                    cells = [[(r[i] if r[i] not in ("", " ") else None) for r in part] or [None] for i, _ in _KEPT]
-                    about = [pa.array([path] * n, pa.string()), pa.array([len(archive)] * n, pa.int64()), *[pa.array([x] * n, pa.string()) for x in (member, status)]]
-                    place = pa.array(range(first, first + n), pa.int64())
-                    yield pa.RecordBatch.from_arrays([*about, place, *[pa.array(c, pa.string()) for c in cells]], names)
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all ZIP files under path (status ok) and one row for each file or member that is rejected."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
-    found = files.select("path", "content").mapInArrow(_unzip, _SCHEMA)
+        for listed in batch.to_pylist():
+            path, size, member = listed["path"], listed["bytes"], listed["member"]
+            if listed["status"]:
+                yield _batch(path, size, None, listed["status"], 0, [])
+                continue
+            first = 0
+            try:
+                if held is None or held[0] != path:
+                    held = (path, zipfile.ZipFile(stores.opened(path)))
+                archive = held[1]
+                if listed["size"] <= HELD_BYTES:
+                    raw = archive.read(member)
+                    open_member = lambda raw=raw: io.BytesIO(raw)
+                else:
+                    open_member = lambda archive=archive, member=member: archive.open(member)
+                for status, rows in _rows(open_member):
+                    yield _batch(path, size, member, status, first, rows)
+                    first += len(rows)
+            except _DAMAGED:
+                yield _batch(path, size, member, "corrupt", first, [])
+            except OSError:
+                yield _batch(path, size, member, "unreadable", first, [])
+
+
+def read_archives(
+    spark: SparkSession, path: str, classes: Sequence[str] | None = None, items: Sequence[str] | None = None, years: Sequence[int] | None = None,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """Rows of all ZIP files under path (status ok) and one row for each file or member that is rejected.
+
+    classes, items, years: only these archives are opened at all. part_bytes: decompressed bytes for a task.
+    """
+    listed = members(archive_files(spark, path, classes, items, years))
+    size = listed.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    n = max(1, min(math.ceil((size["bytes"] or 0) / part_bytes), size["rows"]))
+    found = listed.repartition(n, "path", "member").sortWithinPartitions("path", "member").mapInArrow(_read_members, _SCHEMA)
     parts = F.split("path", "/")
     return found.withColumns({"source_item": F.element_at(parts, -2), "source_class": F.element_at(parts, -3)})
 
@@ -105,24 +206,14 @@ def status_counts(audit: DataFrame) -> DataFrame:
     return audit.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """source_class, source_item, zips, csvs, bytes of the archives under path, with totals (nulls). Members are counted, not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
+def inventory(spark: SparkSession, path: str, **only: Sequence) -> DataFrame:
+    """source_class, source_item, zips, csvs, bytes of the archives under path, with totals (nulls). Only directories are read.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            csvs = []
-            for content in batch.column("content"):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_buffer().to_pybytes())) as archive:
-                        csvs.append(sum(n.lower().endswith(".csv") for n in archive.namelist()))
-                except zipfile.BadZipFile:
-                    csvs.append(0)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(csvs, pa.int64())], ["path", "length", "csvs"])
-
-    counted = files.select("path", "length", "content").mapInArrow(count, "path string, length long, csvs long")
+    only: classes, items, years, as for read_archives.
+    """
+    files = members(archive_files(spark, path, **only)).groupBy("path", F.col("bytes").alias("length")).agg(F.count("member").alias("csvs"))
     parts = F.split("path", "/")
-    named = counted.select(F.element_at(parts, -3).alias("source_class"), F.element_at(parts, -2).alias("source_item"), "length", "csvs")
+    named = files.select(F.element_at(parts, -3).alias("source_class"), F.element_at(parts, -2).alias("source_item"), "length", "csvs")
     return rolled_up(named, F.sum("csvs").alias("csvs"), F.sum("length").alias("bytes"))
 
 
@@ -167,18 +258,19 @@ def open_tasks(tasks: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def record_state(updates: DataFrame, path: str) -> None:
-    """Adds what became of tasks (output_path, status, error) to the state under path; a write is all or nothing."""
-    updates.select("output_path", "status", "error", F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+    """Adds what became of tasks (output_path, status, error) to the state under path, by a commit: all of it or nothing."""
+    download.store(updates, path)
 
 
 def current_state(spark: SparkSession, path: str) -> DataFrame:
-    """output_path, status, error: the last entry of each task."""
-    last = spark.read.parquet(path).groupBy("output_path").agg(F.max(F.struct("at", "status", "error")).alias("last"))
-    return last.select("output_path", "last.status", "last.error")
+    """output_path, status, reason, error: the last entry of each task in the commits under path; none if there is no state yet."""
+    last = download.recorded(spark, path).groupBy("output_path").agg(F.max(F.struct("at", "status", "reason", "error")).alias("last"))
+    return last.select("output_path", "last.status", "last.reason", "last.error")
 
 
 def manifest(items: DataFrame, state: DataFrame) -> dict:
-    """Counts of a download: items, and files by status."""
+    """Counts of a download: items, files by status, and those that failed."""
     files = {r["status"]: r["files"] for r in status_counts(state).collect()}
-    names = ("completed", "skipped_empty", "failed")
-    return {"encoding": "UTF-8", "content_code": 1, "items_downloaded": items.count()} | {f"files_{n}": files.get(n, 0) for n in names}
+    counts = {f"files_{n}": files.get(n, 0) for n in ("completed", "skipped_empty", "failed")}
+    at = datetime.now(UTC).isoformat(timespec="seconds")
+    return {"downloaded_at": at, "encoding": "UTF-8", "content_code": 1, "items_downloaded": items.count()} | counts
