@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from sedgeline import runs
-from sedgeline.operators import stages
+from sedgeline.operators import som, stages
 from sedgeline.params import DEFAULT, Params
 from sedgeline.sources import archives, download, tables
 
@@ -56,7 +56,11 @@ def parser() -> argparse.ArgumentParser:
     maps.add_argument("--input", default="output/feature_matrix")
     maps.add_argument("--scaling", default="output/feature_summary")
     maps.add_argument("--output-dir", default="output")
-    maps.add_argument("--passes", type=int, default=20)
+    maps.add_argument("--rlen", type=int, default=20, help="passes over the rows")
+    maps.add_argument("--alpha", type=float, nargs=2, default=(0.05, 0.01), metavar=("FIRST", "LAST"), help="rate of a presentation, falling over the passes")
+    maps.add_argument("--shares", type=int, default=1, help="a pass shows one of so many shares of the rows")
+    maps.add_argument("--bubble", action="store_true", help="all neurons within the radius learn alike")
+    maps.add_argument("--batch", action="store_true", help="train by means of whole passes, without rates")
     return top
 
 
@@ -107,7 +111,8 @@ def main(arguments: list[str] | None = None) -> int:
         else:
             runs.build_features(spark, args.input, args.output_dir, Params(early_late_cutoff=args.early_late_cutoff), args.csv)
     else:
-        runs.cluster_features(spark, args.input, args.scaling, args.output_dir, passes=args.passes)
+        how = som.Training(args.rlen, None if args.batch else tuple(args.alpha), args.shares, args.bubble)
+        runs.cluster_features(spark, args.input, args.scaling, args.output_dir, how=how)
     return 0
 
 

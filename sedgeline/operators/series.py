@@ -12,14 +12,29 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedgeline.operators.storage import cut
 from sedgeline.operators.stages import DATE, MESH, TYPE, VALUE
 from sedgeline.params import DEFAULT, FEATURES, Params
 
 
+def daily_medians(df: DataFrame) -> DataFrame:
+    """mesh, date, median_value.
+
+    One or two readings of a date have their median from count, least and greatest, which aggregate in
+    fixed memory; only dates of three and more readings gather values.
+    """
+    dated = df.select(MESH, F.to_date(DATE).alias("date"), VALUE)
+    ends = dated.groupBy(MESH, "date").agg(F.count(VALUE).alias("n"), F.min(VALUE).alias("low"), F.max(VALUE).alias("high"))
+    # Two readings apart by more than a double can hold don't occur; halves keep the sum in range all the same.
+    few = ends.filter("n < 3").select(MESH, "date", (F.col("low") / 2 + F.col("high") / 2).alias("median_value"))
+    many = ends.filter("n >= 3").select(F.col(MESH).alias("_mesh"), F.col("date").alias("_date"))
+    rest = dated.join(many, dated[MESH].eqNullSafe(many["_mesh"]) & dated["date"].eqNullSafe(many["_date"]), "left_semi")
+    return few.unionByName(rest.groupBy(MESH, "date").agg(F.median(VALUE).alias("median_value")))
+
+
 def daily(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """mesh, date, median_value, days_since_first, ln_value."""
-    dated = df.select(MESH, F.to_date(DATE).alias("date"), VALUE)
-    median = dated.groupBy(MESH, "date").agg(F.median(VALUE).alias("median_value"))
+    median = daily_medians(df)
     first = F.min("date").over(Window.partitionBy(MESH))
     return median.withColumn("days_since_first", F.datediff("date", first)).withColumn("ln_value", F.log(F.greatest("median_value", F.lit(params.log_floor))))
 
@@ -95,8 +110,10 @@ def exact_quantiles(df: DataFrame, columns: tuple[str, ...], shares: tuple[float
     """The quantiles of each column, interpolated as percentile() does, without all values in one task.
 
     Approximate quantiles a little below and above each one bracket it; a second pass counts what lies
-    under the bracket and gathers the values in it, about four in accuracy of all.
+    under the bracket and gathers the values in it, about four in accuracy of all. The columns are written
+    first, so that df is computed once, however often they are read.
     """
+    df = cut(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
     wide = [min(max(q + d, 0.0), 1.0) for q in shares for d in (-2 / accuracy, 2 / accuracy)]
     number = {c: F.col(c).cast("double") for c in columns}
     near = df.agg(
@@ -131,13 +148,10 @@ def exact_quantiles(df: DataFrame, columns: tuple[str, ...], shares: tuple[float
 
 def impute(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """Missing early slopes are 0 where there are no early data; all else gets its column's median."""
-    medians = {c: q[0] for c, q in exact_quantiles(features, columns, (0.5,)).items()}
-    if missing := [c for c in columns if medians[c] is None]:
-        raise ValueError(f"columns without any value: {missing}")
-    fills = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))) for c in columns}
-    if "early_slope" in columns:
-        fills["early_slope"] = F.coalesce("early_slope", F.when(F.col("has_early_data"), F.lit(float(medians["early_slope"]))).otherwise(0.0))
-    return features.withColumns(fills)
+    from sedgeline.operators.preparation import ZEROS, MedianImputer
+
+    zeros = {c: f for c, f in ZEROS.items() if c in columns}
+    return MedianImputer(inputCols=list(columns), zeroCols=list(zeros), flagCols=list(zeros.values())).fit(features).transform(features)
 
 
 def imputation_counts(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:

@@ -1,16 +1,19 @@
-"""Self-organizing maps: the grid, batch training with one aggregation per pass, and the measures of a map.
+"""Self-organizing maps: the grid, training of many maps with one aggregation a pass, and the measures of a map.
 
-A codebook is a list of (neuron, x, y, weights), bounded by the grid; it enters plans as literals, so
-that assignment needs no join.
+Codebooks are bounded by their grids and go to the tasks with the code, so that nothing needs a join. Tasks
+work on Arrow batches: one matrix product gives the distances of a batch to the neurons of all maps. A
+task returns sums for each neuron, never rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,50 +39,165 @@ class Grid:
         return spark.createDataFrame([(a, b) for a, near in self.neighbours().items() for b in near], "src int, dst int")
 
 
-def _near(vector: Column, codebook: np.ndarray) -> Column:
-    """An array of (distance, neuron)."""
-    each = []
-    for k, weights in enumerate(codebook):
-        w = F.array(*[F.lit(float(x)) for x in weights])
-        total = F.aggregate(F.zip_with(vector, w, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-        each.append(F.struct(F.sqrt(total).alias("distance"), F.lit(k + 1).alias("neuron")))
-    return F.array(*each)
+#: Numbers in a block of differences between vectors and neurons.
+_BLOCK = 1 << 20
+
+
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors that aren't null as rows, and which rows these are."""
+    there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    kept = column.drop_null()
+    return kept.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(kept), -1 if len(kept) else 0), there
 
 
-def distances(vector: Column, codebook: np.ndarray) -> Column:
-    """An array of (distance, neuron), nearest first; of equally near ones the lower number."""
-    return F.array_sort(_near(vector, codebook))
+def _distances(x: np.ndarray, codebook: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances to each neuron) in blocks; sums of squared differences, so that equal neurons are equally near."""
+    step = max(1, _BLOCK // max(1, codebook.size))
+    for i in range(0, len(x), step):
+        yield i, np.sqrt(((x[i : i + step, None, :] - codebook[None]) ** 2).sum(axis=2))
 
 
 def assign(df: DataFrame, codebook: np.ndarray, vector: str = "vector") -> DataFrame:
-    """df with bmu, bmu_distance and second (the two best neurons)."""
-    near = df.withColumn("_near", distances(F.col(vector), codebook))
-    return near.select(*df.columns, F.col("_near")[0]["neuron"].alias("bmu"), F.col("_near")[0]["distance"].alias("bmu_distance"), F.col("_near")[1]["neuron"].alias("second"))
+    """df with bmu, bmu_distance and second (the two best neurons); of equally near ones the lower number. Null for a null vector."""
+    book = np.asarray(codebook, dtype=np.float64)
+
+    @F.arrow_udf("bmu int, bmu_distance double, second int")
+    def nearest(column: pa.Array) -> pa.Array:
+        x, there = _matrix(column)
+        best, second, near = np.zeros(len(column), np.int32), np.zeros(len(column), np.int32), np.zeros(len(column))
+        for i, d in _distances(x, book):
+            rows, line = there[i : i + len(d)], np.arange(len(d))
+            first = d.argmin(axis=1)
+            best[rows], near[rows] = first + 1, d[line, first]
+            d[line, first] = np.inf
+            second[rows] = d.argmin(axis=1) + 1
+        missing = np.ones(len(column), bool)
+        missing[there] = False
+        alone = missing | (len(book) < 2)
+        fields = [pa.array(best, mask=missing), pa.array(near, mask=missing), pa.array(second, mask=alone)]
+        return pa.StructArray.from_arrays(fields, ["bmu", "bmu_distance", "second"])
+
+    found = df.withColumn("_near", nearest(F.col(vector)))
+    return found.select(*df.columns, "_near.bmu", "_near.bmu_distance", "_near.second")
 
 
-def train(df: DataFrame, grid: Grid, passes: int = 20, seed: int = 42, vector: str = "vector") -> tuple[np.ndarray, list[float]]:
-    """Codebook and mean distance of each pass. A pass sums vectors per best neuron: one row per neuron comes back.
+@dataclass(frozen=True)
+class Training:
+    """How maps are trained.
+
+    rlen: passes. alpha: the rate of a presentation, falling from the first to the second over the passes;
+    None: batches, in which a neuron becomes the weighted mean of what it is shown. shares: a pass shows one
+    of so many shares of the rows, chosen by a hash (small batches). bubble: all neurons within the radius
+    learn alike; otherwise by a Gaussian of their distance.
 
-    It starts from the vectors least by a hash of the seed. Neurons without any weight keep theirs.
+    At a rate a, the n presentations of a pass bring a neuron 1 - (1 - a)^n of the way to their mean. That
+    is used as it stands, so that a map doesn't depend on how rows are partitioned, or on their order.
     """
-    n = grid.columns * grid.rows
-    start = df.select(vector, F.xxhash64(F.lit(seed), vector).alias("h")).orderBy("h").limit(n).collect()
-    codebook = np.array([start[i % len(start)][0] for i in range(n)], dtype=float)
-    apart, changes = grid.distances(), []
-    width = len(codebook[0])
-    for k in range(passes):
-        radius = max(0.5, (apart.max() / 2) * (1 - k / max(1, passes - 1)))
-        found = assign(df, codebook, vector)
-        sums = found.groupBy("bmu").agg(F.count(F.lit(1)).alias("n"), F.sum("bmu_distance").alias("d"), *[F.sum(F.col(vector)[i]).alias(f"s{i}") for i in range(width)]).collect()
-        count, total = np.zeros(n), np.zeros((n, width))
-        for r in sums:
-            count[r["bmu"] - 1] = r["n"]
-            total[r["bmu"] - 1] = [r[f"s{i}"] for i in range(width)]
-        near = np.exp(-(apart**2) / (2 * radius**2))
+
+    rlen: int = 20
+    alpha: tuple[float, float] | None = None
+    shares: int = 1
+    bubble: bool = False
+
+    def radius(self, k: int, apart: np.ndarray) -> float:
+        return max(0.5, (apart.max() / 2) * (1 - k / max(1, self.rlen - 1)))
+
+    def step(self, k: int, book: np.ndarray, apart: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """The codebook after pass k. count, total: vectors of each best neuron, and their sum."""
+        radius = self.radius(k, apart)
+        near = (apart <= radius).astype(float) if self.bubble else np.exp(-(apart**2) / (2 * radius**2))
         weight = near @ count
-        codebook = np.where(weight[:, None] > 1e-12, (near @ total) / np.maximum(weight, 1e-12)[:, None], codebook)
-        changes.append(sum(r["d"] for r in sums) / max(1, count.sum()))
-    return codebook, changes
+        mean = (near @ total) / np.maximum(weight, 1e-12)[:, None]
+        rate = np.ones(len(book))
+        if self.alpha:
+            a = self.alpha[0] + (self.alpha[1] - self.alpha[0]) * k / max(1, self.rlen - 1)
+            rate = -np.expm1(weight * math.log1p(-min(a, 1 - 1e-9)))
+        return np.where(weight[:, None] > 1e-12, book + rate[:, None] * (mean - book), book)
+
+
+def _first_vectors(df: DataFrame, seeds: Sequence[int], n: int, vector: str) -> dict[int, list]:
+    """For each seed the n vectors least by a hash of it: each task keeps as many, and these are ranked."""
+    hashed = df.select(F.col(vector).alias("vector"), *[F.xxhash64(F.lit(s), F.col(vector)).alias(f"h{i}") for i, s in enumerate(seeds)])
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = [pa.table({"seed": pa.array([], pa.int32()), "h": pa.array([], pa.int64()), "vector": pa.array([], pa.list_(pa.float64()))})] * len(seeds)
+        for batch in batches:
+            vectors = batch.column("vector").cast(pa.list_(pa.float64()))
+            for i in range(len(seeds)):
+                own = pa.table({"seed": pa.array([i] * len(batch), pa.int32()), "h": batch.column(f"h{i}"), "vector": vectors})
+                own = pa.concat_tables([held[i], own])
+                order = np.argsort(own.column("h").to_numpy(), kind="stable")[:n]
+                held[i] = own.take(pa.array(order))
+        for own in held:
+            yield from own.combine_chunks().to_batches()
+
+    found = hashed.mapInArrow(least, "seed int, h long, vector array<double>")
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("h", "vector"))
+    rows = found.withColumn("place", place).filter(F.col("place") <= n).orderBy("seed", "place").collect()
+    return {s: [r["vector"] for r in rows if r["seed"] == i] for i, s in enumerate(seeds)}
+
+
+def _sums(df: DataFrame, books: Sequence[np.ndarray], vector: str) -> tuple[list[np.ndarray], list[np.ndarray], list[float]]:
+    """For each map: vectors of each best neuron, their sum, and the sum of all distances; in one job."""
+    stacked = np.concatenate(books)
+    square, ends = (stacked**2).sum(axis=1), np.cumsum([0, *[len(b) for b in books]])
+    width = stacked.shape[1]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, near, total = np.zeros(len(stacked)), np.zeros(len(stacked)), np.zeros((len(stacked), width))
+        for batch in batches:
+            vectors, _ = _matrix(batch.column(0))
+            step = max(1, _BLOCK // len(stacked))
+            for i in range(0, len(vectors), step):
+                x = vectors[i : i + step]
+                d = square[None] - 2 * (x @ stacked.T)
+                own = (x**2).sum(axis=1)
+                for first, end in zip(ends, ends[1:], strict=False):
+                    best = d[:, first:end].argmin(axis=1)
+                    # The distance itself from differences: a product loses digits where rows are near.
+                    apart = np.sqrt(((x - stacked[first + best]) ** 2).sum(axis=1)) if width else np.sqrt(own)
+                    count[first:end] += np.bincount(best, minlength=end - first)
+                    near[first:end] += np.bincount(best, apart, minlength=end - first)
+                    cell = (best[:, None] * width + np.arange(width)).ravel()
+                    total[first:end] += np.bincount(cell, x.ravel(), minlength=(end - first) * width).reshape(-1, width)
+        some = np.flatnonzero(count)
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * width), pa.array(total[some].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some]), pa.array(near[some]), sums], ["neuron", "n", "d", "s"])
+
+    parts = df.select(F.col(vector).cast("array<double>")).mapInArrow(add, "neuron long, n double, d double, s array<double>")
+    rows = parts.groupBy("neuron").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)]).collect()
+    count, near, total = np.zeros(len(stacked)), np.zeros(len(stacked)), np.zeros((len(stacked), width))
+    for r in rows:
+        count[r["neuron"]], near[r["neuron"]], total[r["neuron"]] = r["n"], r["d"], [r[f"s{i}"] for i in range(width)]
+    parts_of = list(zip(ends, ends[1:], strict=False))
+    return [count[a:b] for a, b in parts_of], [total[a:b] for a, b in parts_of], [float(near[a:b].sum()) for a, b in parts_of]
+
+
+def train_all(df: DataFrame, maps: Sequence[tuple[Grid, int]], how: Training = Training(), vector: str = "vector") -> list[tuple[np.ndarray, list[float]]]:
+    """Codebook, and mean distance of each pass, of each map (grid and seed). A pass is one job for all maps.
+
+    A map starts from the vectors least by a hash of its seed. Neurons that nothing is near keep their weights.
+    """
+    most = max(g.columns * g.rows for g, _ in maps)
+    start = _first_vectors(df, list(dict.fromkeys(s for _, s in maps)), most, vector)
+    if not all(start.values()):
+        raise ValueError("a map needs at least one vector")
+    books = [np.array([start[s][i % len(start[s])] for i in range(g.columns * g.rows)], dtype=float) for g, s in maps]
+    apart = [g.distances() for g, _ in maps]
+    changes: list[list[float]] = [[] for _ in maps]
+    share = F.pmod(F.xxhash64(F.lit("share"), F.col(vector)), F.lit(how.shares))
+    for k in range(how.rlen):
+        shown = df.select(vector) if how.shares == 1 else df.select(vector).filter(share == k % how.shares)
+        count, total, near = _sums(shown, books, vector)
+        for i in range(len(maps)):
+            books[i] = how.step(k, books[i], apart[i], count[i], total[i])
+            changes[i].append(near[i] / max(1.0, count[i].sum()))
+    return list(zip(books, changes, strict=True))
+
+
+def train(df: DataFrame, grid: Grid, passes: int = 20, seed: int = 42, vector: str = "vector", how: Training | None = None) -> tuple[np.ndarray, list[float]]:
+    """Codebook and mean distance of each pass of one map; how: instead of so many batch passes."""
+    return train_all(df, [(grid, seed)], how or Training(passes), vector)[0]
 
 
 def quality(assigned: DataFrame, grid: Grid) -> DataFrame:
@@ -137,20 +255,55 @@ GRIDS = (Grid(5, 5), Grid(6, 6))
 SEEDS = (42, 123, 456, 789, 2024)
 
 
-def train_runs(df: DataFrame, grids: tuple[Grid, ...] = GRIDS, seeds: tuple[int, ...] = SEEDS, passes: int = 20, vector: str = "vector") -> list[Run]:
-    """A run for each grid and seed. df is read once a pass of each run: write it before."""
-    runs = []
-    for grid in grids:
-        for seed in seeds:
-            book, changes = train(df, grid, passes, seed, vector)
-            measured = quality(assign(df.select(vector), book, vector), grid).first()
-            runs.append(Run(grid, seed, book, changes, measured["qe"], measured["te"]))
-    return runs
+def train_runs(
+    df: DataFrame, grids: tuple[Grid, ...] = GRIDS, seeds: tuple[int, ...] = SEEDS, passes: int = 20, vector: str = "vector", how: Training | None = None
+) -> list[Run]:
+    """A run for each grid and seed. df is read once a pass for all of them: write it before."""
+    maps = [(g, s) for g in grids for s in seeds]
+    trained = train_all(df, maps, how or Training(passes), vector)
+    measured = qualities(df, [book for book, _ in trained], [g for g, _ in maps], vector)
+    return [Run(g, s, book, changes, *m) for (g, s), (book, changes), m in zip(maps, trained, measured, strict=True)]
+
+
+def _best_neurons(vector: Column, books: Sequence[np.ndarray]) -> Column:
+    """An array of the two best neurons and the distance of each map in turn, as (bmu, second, distance)."""
+
+    @F.arrow_udf("array<struct<bmu int, second int, distance double>>")
+    def nearest(column: pa.Array) -> pa.Array:
+        x, there = _matrix(column)
+        n = len(books)
+        first, second, near = np.zeros((len(x), n), np.int32), np.zeros((len(x), n), np.int32), np.zeros((len(x), n))
+        for k, book in enumerate(books):
+            for i, d in _distances(x, np.asarray(book, dtype=np.float64)):
+                line = np.arange(len(d))
+                best = d.argmin(axis=1)
+                first[i : i + len(d), k], near[i : i + len(d), k] = best + 1, d[line, best]
+                d[line, best] = np.inf
+                second[i : i + len(d), k] = d.argmin(axis=1) + 1
+        ends = np.zeros(len(column) + 1, np.int32)
+        ends[there + 1] = n
+        fields = pa.StructArray.from_arrays([pa.array(a.ravel()) for a in (first, second, near)], ["bmu", "second", "distance"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), fields)
+
+    return nearest(vector)
+
+
+def qualities(df: DataFrame, books: Sequence[np.ndarray], grids: Sequence[Grid], vector: str = "vector") -> list[tuple[float, float]]:
+    """(qe, te) of each map, in one job."""
+    found = df.select(_best_neurons(F.col(vector), books).alias("near"))
+    each = []
+    for k, grid in enumerate(grids):
+        near = F.create_map(*[x for a, b in grid.neighbours().items() for x in (F.lit(a), F.array(*[F.lit(i) for i in b]))])
+        apart = ~F.array_contains(F.element_at(near, F.get("near", F.lit(k))["bmu"]), F.get("near", F.lit(k))["second"])
+        each += [F.avg(F.get("near", F.lit(k))["distance"]).alias(f"qe{k}"), F.avg(apart.cast("double")).alias(f"te{k}")]
+    row = found.agg(*each).first()
+    return [(row[f"qe{k}"], row[f"te{k}"]) for k in range(len(books))]
 
 
 def assign_runs(df: DataFrame, runs: list[Run], vector: str = "vector") -> DataFrame:
     """df with a column of best neurons for each run, of its name."""
-    return df.withColumns({r.name: F.array_min(_near(F.col(vector), r.codebook))["neuron"] for r in runs})
+    found = df.withColumn("_near", _best_neurons(F.col(vector), [r.codebook for r in runs]))
+    return found.select(*df.columns, *[F.get("_near", F.lit(k))["bmu"].alias(r.name) for k, r in enumerate(runs)])
 
 
 def runs_table(spark: SparkSession, runs: list[Run]) -> DataFrame:

@@ -6,7 +6,9 @@ are counted before types are made consistent.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sedgeline.functions import scalars
@@ -172,6 +174,82 @@ def stage_audit(df: DataFrame, order: list[str], params: Params = DEFAULT) -> Da
     return total.select(F.inline(F.array(*each)))
 
 
+@dataclass
+class Audit:
+    """What the stages kept, counted while their result is written; to be read after that."""
+
+    rows_seen: Observation
+    meshes_seen: Observation
+
+    def rows(self) -> list[dict]:
+        """stage, rows, rows_dropped, pct_dropped, meshes, meshes_dropped, mixed_meshes: as stage_audit gives them."""
+        seen, meshes = self.rows_seen.get, self.meshes_seen.get
+        out = []
+        for k, name in enumerate(STAGES):
+            rows, before = seen[f"r{k}"], seen[f"r{max(k - 1, 0)}"]
+            out.append({
+                "stage": name, "rows": rows, "rows_dropped": before - rows, "pct_dropped": round(100.0 * (before - rows) / max(before, 1), 2),
+                "meshes": meshes[f"m{k}"], "meshes_dropped": meshes[f"m{max(k - 1, 0)}"] - meshes[f"m{k}"], "mixed_meshes": meshes["mixed"] if k == 6 else 0,
+            })
+        return out
+
+
+def audited(df: DataFrame, order: list[str], params: Params = DEFAULT) -> tuple[DataFrame, Audit]:
+    """run_stages over cleaned rows, and its audit, which is counted by the job that uses the result (once: write it).
+
+    The rows are read and grouped by their keys once; sums of each mesh come from the same exchange. Rows
+    without a mesh are left out (clean leaves none). The counts of rows are taken where each is exact; those
+    of meshes may count a mesh again if a lost executor's part is computed again, so compare them with
+    what was written.
+    """
+    near = F.coalesce(F.col("distance_from_fdnpp_km") <= params.distance_cutoff_km, F.lit(False))
+    rest = [*order, *[c for c in df.columns if c not in KEYS and c not in order]]
+    grouped = df.filter(F.col(MESH).isNotNull()).groupBy(*KEYS, near.alias("_near")).agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(*rest)).alias("_first"))
+    limit = F.col("_first.detection_lower_limit")
+    detected = F.col("_near") & F.col(VALUE).isNotNull() & (limit.isNull() | F.coalesce(F.col(VALUE) > limit, F.lit(False)))
+    single = grouped.withColumn("_detected", detected)
+
+    # Of each mesh: from sums by date and type, of which there are few.
+    here = lambda x: F.when(F.col("_detected"), x)
+    parts = single.groupBy(MESH, DATE, TYPE).agg(
+        F.sum("_copies").alias("_copies"), F.bool_or("_near").alias("_near"), F.count_if("_detected").alias("_n"), F.sum(here(F.col(VALUE))).alias("_sum")
+    )
+    dated = parts.groupBy(MESH, DATE).agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"), F.bool_or("_near").alias("_near"), F.sum("_copies").alias("_copies"))
+    dates = F.col(DATE).isNotNull() & (F.col("_n") > 0)
+    meshes = dated.groupBy(MESH).agg(
+        F.count_if(dates).alias("n_dates"), F.min(F.when(dates, F.struct(DATE, "_sum", "_n"))).alias("_f"), F.bool_or("_near").alias("_any_near"),
+        (F.sum("_n") > 0).alias("_any_detected"), F.sum("_copies").alias("_loaded"),
+    )
+    # Conditions instead of filters, and copies in both: else the branches differ below their exchange, and it isn't shared.
+    of_types = parts.groupBy(MESH, TYPE).agg(F.sum("_n").alias("count"), F.sum("_copies").alias("_copies"))
+    there = F.col(TYPE).isNotNull() & (F.col("count") > 0)
+    best = F.min(F.when(there, F.struct(-F.col("count"), type_rank(F.col(TYPE)), F.col(TYPE).alias("type")))).alias("best")
+    typed = F.sum(F.when(F.col(TYPE).isNotNull(), F.col("_copies"))).alias("_typed")
+    winners = of_types.groupBy(MESH).agg(best, F.count_if(there).alias("_n_types"), typed)
+    winners = winners.select(F.col(MESH).alias("_of"), F.col("best.type").alias("_winner"), "_n_types", "_typed")
+    facts = meshes.join(winners, F.col(MESH) == F.col("_of"), "left").withColumn("_first_mean", F.try_divide("_f._sum", F.col("_f._n")))
+    dose = F.coalesce(F.col("_first_mean") > params.dose_threshold, F.lit(False))
+    long_enough = F.coalesce(F.col("n_dates") >= params.min_dates, F.lit(False))
+    passing = [F.lit(True), F.col("_any_near"), F.col("_any_near"), F.col("_any_detected")]
+    passing += [passing[3] & dose, passing[3] & dose & long_enough, passing[3] & dose & long_enough & F.col("_winner").isNotNull()]
+    mixed = F.count_if(passing[5] & (F.col("_n_types") > 1)).alias("mixed")
+    of_meshes, of_rows = Observation(), Observation()
+    loaded = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("loaded", "_loaded"), ("typed", "_typed"))]
+    facts = facts.observe(of_meshes, *[F.count_if(x).alias(f"m{k}") for k, x in enumerate(passing)], mixed, *loaded)
+    facts = facts.select(F.col(MESH).alias("_mesh"), dose.alias("_dose"), long_enough.alias("_long"), "_winner")
+
+    joined = single.join(facts, F.col(MESH) == F.col("_mesh"), "left")
+    gates = [F.col("_near"), F.lit(True), F.col("_detected"), F.col("_dose"), F.col("_long"), F.coalesce(F.col(TYPE) == F.col("_winner"), F.lit(False))]
+    passed, before = F.lit(0), F.lit(True)
+    for gate in gates:
+        before = before & gate
+        passed = passed + before.cast("int")
+    graded_rows = joined.withColumn("_passed", passed)
+    counts = [F.coalesce(F.sum(F.when(F.col("_passed") >= k, F.col("_copies") if k < 2 else F.lit(1))), F.lit(0)).alias(f"r{k}") for k in range(len(STAGES))]
+    kept = graded_rows.observe(of_rows, *counts).filter(F.col("_passed") == len(STAGES) - 1)
+    return kept.select(*[F.col(c) if c in KEYS else F.col(f"_first.{c}").alias(c) for c in df.columns]), Audit(of_rows, of_meshes)
+
+
 def item_breakdown(df: DataFrame, order: list[str], params: Params = DEFAULT, files: DataFrame | None = None) -> DataFrame:
     """Rows and meshes of each source item before and after filtering; with files (archives.file_audit), also its ZIP files."""
     last = F.col("passed") == len(STAGES) - 1
@@ -180,10 +258,21 @@ def item_breakdown(df: DataFrame, order: list[str], params: Params = DEFAULT, fi
     )
     if files is None:
         return found
+    return _with_zips(found, files)
+
+
+def _with_zips(found: DataFrame, files: DataFrame) -> DataFrame:
     zips = files.groupBy(F.element_at(F.split("path", "/"), -2).alias("source_item")).agg(F.countDistinct("path").alias("zips_processed"))
     return zips.join(found, "source_item", "left").fillna(0, ["rows_loaded", "rows_final", "meshes_final"])
 
 
+def written_breakdown(clean_rows: DataFrame, final: DataFrame, files: DataFrame) -> DataFrame:
+    """item_breakdown from cleaned rows (one column of them) and the result as it was written: no stage runs again."""
+    loaded = clean_rows.groupBy("source_item").agg(F.count(F.lit(1)).alias("rows_loaded"))
+    kept = final.groupBy("source_item").agg(F.count(F.lit(1)).alias("rows_final"), F.countDistinct(MESH).alias("meshes_final"))
+    return _with_zips(loaded.join(kept, "source_item", "left"), files)
+
+
 def compared(found: DataFrame, low: float, high: float, least: int) -> DataFrame:
     """The rows that are in the result under either threshold, with in_low and in_high. found: rows after stage 2."""
     meshes = mesh_facts(found).filter((F.col("n_dates") >= least) & (F.col("first_mean") > min(low, high)))
@@ -235,8 +324,8 @@ def distance_bands(df: DataFrame, width: float = 20.0, last: float = 80.0) -> Da
     return df.groupBy(band(width, last).alias("band")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(MESH).alias("meshes"))
 
 
-def cleaning_audit(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """One row: rows of raw text, those dropped by each gate of clean in its order, distances computed, rows that stay."""
+def cleaning_counts() -> list[Column]:
+    """Aggregates over raw text: rows, those dropped by each gate of clean in its order, distances computed, rows that stay."""
     lat, lon, far = (scalars.number(F.col(c)) for c in ("latitude", "longitude", "distance_from_fdnpp_km"))
     unplaced = lat.isNull() | lon.isNull()
     gates = {
@@ -246,13 +335,23 @@ def cleaning_audit(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
         "dropped_mesh": scalars.mesh_id(F.col(MESH)).isNull(),
     }
     first = F.coalesce(*[F.when(gate, F.lit(name)) for name, gate in gates.items()], F.lit("kept"))
-    flags = raw.select(first.alias("gate"), (~unplaced & far.isNull()).alias("computed"))
-    return flags.agg(
+    return [
         F.count(F.lit(1)).alias("rows_loaded"),
-        *[F.count_if(F.col("gate") == name).alias(name) for name in gates],
-        F.count_if(F.col("gate").isin("kept", "dropped_mesh") & F.col("computed")).alias("distances_computed"),
-        F.count_if(F.col("gate") == "kept").alias("rows_after"),
-    )
+        *[F.count_if(first == name).alias(name) for name in gates],
+        F.count_if(first.isin("kept", "dropped_mesh") & ~unplaced & far.isNull()).alias("distances_computed"),
+        F.count_if(first == "kept").alias("rows_after"),
+    ]
+
+
+def cleaning_audit(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """cleaning_counts of raw rows, as one row."""
+    return raw.agg(*cleaning_counts())
+
+
+def cleaned_and_counted(raw: DataFrame, params: Params = DEFAULT) -> tuple[DataFrame, Observation]:
+    """clean, and cleaning_counts of what it reads, taken by the job that writes its result."""
+    seen = Observation()
+    return clean(raw.observe(seen, *cleaning_counts()), params), seen
 
 
 def final_summary(final: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgeline.functions import scalars
-from sedgeline.operators import cluster, figures, series, som, stages
+from sedgeline.operators import cluster, figures, preparation, series, som, stages
+from sedgeline.operators.storage import cut
 from sedgeline.params import FEATURES, Params
 from sedgeline.sources import archives
 
@@ -166,6 +167,11 @@ def _derived(spark, sf_dir):
     return series.derived(_features(spark, sf_dir), PARAMS)
 
 
+def _written(spark, sf_dir):
+    """The features, one row for each mesh, computed once for all that reads them."""
+    return cut(_derived(spark, sf_dir))
+
+
 @query(M + """, counted as (select mesh_id_250m, measurement_type, count(*) as n from m group by all),
 best as (select mesh_id_250m, measurement_type from counted qualify row_number() over (partition by mesh_id_250m order by n desc, measurement_type) = 1)
 select mesh_id_250m, b.measurement_type, bool_or(sampling_point_state is not null) as is_decontaminated,
@@ -189,7 +195,7 @@ _EACH = " ".join(c for c in FEATURES if c != "slope_ratio")
 
 @query(IMPUTED + f" select mesh_id_250m, {_numbers(_EACH)}, round(slope_ratio, 3) + 0.0 as slope_ratio from imputed")
 def impute(spark, sf_dir):
-    return rounded(series.impute(_derived(spark, sf_dir)).select("mesh_id_250m", *FEATURES).withColumn("slope_ratio", F.round("slope_ratio", 3)))
+    return rounded(series.impute(_written(spark, sf_dir)).select("mesh_id_250m", *FEATURES).withColumn("slope_ratio", F.round("slope_ratio", 3)))
 
 
 @query(SERIES + " select 'early_slope' as feature, count(*) filter (where early_slope is null) as n_missing, count(*) filter (where early_slope is null) as n_zero, 0::bigint as n_median from derived" + "".join(f" union all select '{c}', count(*) filter (where {c} is null), 0, count(*) filter (where {c} is null) from derived" for c in FEATURES if c != "early_slope"))
@@ -199,12 +205,13 @@ def imputation_counts(spark, sf_dir):
 
 @query(_Q + f" select feature, {_numbers('median q25 q75')}, round(case when q75 - q25 >= 1e-12 then q75 - q25 end, 6) + 0.0 as iqr from fitted")
 def scaling_params(spark, sf_dir):
-    return rounded(series.scaling_params(series.impute(_derived(spark, sf_dir)), _SCALED))
+    return rounded(series.scaling_params(series.impute(_written(spark, sf_dir)), _SCALED))
 
 
 @query(_Q + " select mesh_id_250m, feature, round(greatest(-3, least(3, case when q75 - q25 >= 1e-12 then (x - median) / (q75 - q25) else 0 end)), 4) + 0.0 as z from long join fitted using (feature)")
 def robust_scale(spark, sf_dir):
-    scaled = series.robust_scale(series.impute(_derived(spark, sf_dir)), _SCALED)
+    features = _written(spark, sf_dir)
+    scaled = preparation.fit_preparation(features).transform(features)
     named = scaled.select("mesh_id_250m", *[F.col(f"{c}_z").alias(c) for c in _SCALED])
     return rounded(cluster.long_form(named, ["mesh_id_250m"], list(_SCALED)).withColumnRenamed("value", "z"), 4)
 
@@ -215,12 +222,12 @@ _CORRELATED = IMPUTED + ", pairs as (" + " union all ".join(f"select '{a}' as fe
 
 @query(_CORRELATED + " select feature_a, feature_b, round(r, 4) + 0.0 as r from pairs")
 def correlation_pairs(spark, sf_dir):
-    return rounded(series.correlations(series.impute(_derived(spark, sf_dir))), 4)
+    return rounded(series.correlations(series.impute(_written(spark, sf_dir))), 4)
 
 
 @query(_CORRELATED + " select feature_a, feature_b, round(r, 4) + 0.0 as r from pairs where abs(r) > 0.5")
 def close_pairs(spark, sf_dir):
-    return rounded(series.close_pairs(series.impute(_derived(spark, sf_dir)), limit=0.5), 4)
+    return rounded(series.close_pairs(series.impute(_written(spark, sf_dir)), limit=0.5), 4)
 
 
 @query(_Q + """, z as (select mesh_id_250m, feature, greatest(-3, least(3, case when q75 - q25 >= 1e-12 then (x - median) / (q75 - q25) else 0 end)) as z from long join fitted using (feature)),
@@ -231,8 +238,8 @@ select 'decontaminated_cells', n::double, case when n > 0 then 'passed' else 'fa
 select 'mean ' || feature || '_z', round(avg(z), 3) + 0.0, case when abs(avg(z)) < 0.5 then 'passed' else 'failed' end from z group by feature union all
 select 'std ' || feature || '_z', round(stddev_samp(z), 3) + 0.0, 'reported' from z group by feature""")
 def sanity_checks(spark, sf_dir):
-    matrix = series.feature_matrix(measurements(spark, sf_dir), PARAMS)
-    found = series.sanity(series.robust_scale(series.impute(matrix)))
+    matrix = cut(series.feature_matrix(measurements(spark, sf_dir), PARAMS))
+    found = series.sanity(preparation.fit_preparation(matrix).transform(matrix))
     return found.withColumn("value", F.round("value", 3) + 0.0)
 
 
@@ -247,7 +254,7 @@ def feature_matrix(spark, sf_dir):
 
 @query(_Q + " select feature, round(avg(x), 6) + 0.0 as mean, round(stddev_samp(x), 6) + 0.0 as std, round(min(x), 6) + 0.0 as low, round(max(x), 6) + 0.0 as high, count(*) filter (where x is null) as nulls from long group by feature")
 def feature_stats(spark, sf_dir):
-    return rounded(series.feature_stats(series.impute(_derived(spark, sf_dir)), _SCALED))
+    return rounded(series.feature_stats(series.impute(_written(spark, sf_dir)), _SCALED))
 
 
 HAVERSINE = """2 * 6371.0::double * asin(least(1, sqrt(pow(sin((radians(latitude) - radians(37.421389)) / 2), 2)
@@ -616,7 +623,7 @@ def model_selection(spark, sf_dir):
 @query()
 def som_train(spark, sf_dir):
     """neuron and weights of a map trained on the embeddings."""
-    v = _vectors(spark, sf_dir).select("vector").persist()
+    v = cut(_vectors(spark, sf_dir).select("vector"))  # read once a pass
     book, _ = som.train(v, GRID, passes=5)
     return spark.createDataFrame([(i + 1, [float(x) for x in w]) for i, w in enumerate(book)], "neuron int, w array<double>")
 
@@ -633,7 +640,8 @@ def ward_clusters(spark, sf_dir):
 @query()
 def regimes(spark, sf_dir):
     """mesh, neuron and regime: features scaled, mapped, cut into clusters and labelled."""
-    scaled = series.robust_scale(series.impute(_derived(spark, sf_dir).persist())).persist()  # read once a fit and once a pass
+    features = _written(spark, sf_dir)
+    scaled = cut(preparation.fit_preparation(features).transform(features))  # read once a pass
     vectors = scaled.select("mesh_id_250m", F.array(*[F.col(f"{c}_z") for c in FEATURES]).alias("vector"))
     book, _ = som.train(vectors, GRID, passes=5)
     assigned = som.assign(vectors, book)

@@ -15,7 +15,8 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgeline.operators import cluster, figures, series, som, stages
+from sedgeline.operators import cluster, figures, preparation, series, som, stages
+from sedgeline.operators.storage import cut
 from sedgeline.params import DEFAULT, FEATURES, Params
 from sedgeline.sources import archives, download, stores, tables
 
@@ -86,38 +87,48 @@ def download_archives(
     return made
 
 
-def _cleaned(spark: SparkSession, dataset: str, output: str, params: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Raw rows and files, and cleaned rows; the archives are unpacked once."""
+def _cleaned(spark: SparkSession, dataset: str, output: str, params: Params) -> tuple[dict, DataFrame, DataFrame]:
+    """Counts of the cleaning, files, and cleaned rows; the archives are unpacked once, and raw rows read once."""
     archives.read_archives(spark, dataset).write.mode("overwrite").parquet(f"{output}/_raw")
     found = spark.read.parquet(f"{output}/_raw")
-    raw = archives.measurements(found)
-    stages.clean(raw, params).write.mode("overwrite").parquet(f"{output}/_clean")
-    return raw, archives.file_audit(found), spark.read.parquet(f"{output}/_clean")
+    log.info("archives are read")
+    rows, seen = stages.cleaned_and_counted(archives.measurements(found), params)
+    rows.write.mode("overwrite").parquet(f"{output}/_clean")
+    log.info("rows are cleaned: %s", seen.get)
+    return dict(seen.get), archives.file_audit(found), spark.read.parquet(f"{output}/_clean")
 
 
 def filter_measurements(spark: SparkSession, dataset: str, output: str, params: Params = DEFAULT, csv: bool = False) -> dict:
     """Archives under dataset to output/filtered (Parquet) and output/filter_summary (JSON).
 
-    Rows with nulls in columns that may have none are left out at the end and counted.
+    One job over the cleaned rows runs all stages, writes what they keep and counts for the audit. Rows with
+    nulls in columns that may have none are left out at the end and counted.
     """
-    raw, files, clean = _cleaned(spark, dataset, output, params)
-    final = stages.run_stages(clean, ORDER, params)
+    cleaning, files, clean = _cleaned(spark, dataset, output, params)
+    final, audit = stages.audited(clean, ORDER, params)
     tables.write_measurements(tables.complete_rows(final), f"{output}/filtered")
     written = spark.read.parquet(f"{output}/filtered")
+    log.info("stages are written")
     if csv:
         tables.write_csv(written, f"{output}/filtered_csv")
-    audit = _rows(stages.stage_audit(clean, ORDER, params))
     counts: dict[str, dict] = {}
     for r in _rows(stages.final_counts(written)):
         counts.setdefault(f"{r['part']}_counts", {})[str(r["name"])] = r["rows"]
     size = _rows(stages.final_summary(written))[0]
+    by_stage = audit.rows()
+    incomplete = by_stage[-1]["rows"] - size["total_rows"]
+    if incomplete < 0 or (incomplete == 0 and by_stage[-1]["meshes"] != size["total_meshes"]):
+        # An executor was lost and a part counted twice: count anew.
+        log.warning("the counts of the stages don't agree with what was written; they are counted again")
+        by_stage = _rows(stages.stage_audit(clean, ORDER, params))
+        incomplete = by_stage[-1]["rows"] - size["total_rows"]
     summary = {
         "parameters": asdict(params),
         "file_discovery": {r["status"]: r["files"] for r in archives.status_counts(files).collect()},
-        "cleaning": _rows(stages.cleaning_audit(raw, params))[0],
-        "stages": audit,
-        "final_output": size | counts | {"rows_incomplete": audit[-1]["rows"] - size["total_rows"]},
-        "per_item_breakdown": _rows(stages.item_breakdown(clean, ORDER, params, files)),
+        "cleaning": cleaning,
+        "stages": by_stage,
+        "final_output": size | counts | {"rows_incomplete": incomplete},
+        "per_item_breakdown": _rows(stages.written_breakdown(clean, written, files)),
     }
     tables.write_json(spark, summary, f"{output}/filter_summary")
     return summary
@@ -136,7 +147,7 @@ def compare_thresholds(spark: SparkSession, dataset: str, output: str, params: P
 
 
 def build_features(spark: SparkSession, measurements: str, output: str, params: Params = DEFAULT, csv: bool = False, expected_rows: int | None = None) -> dict:
-    """Filtered measurements to output/feature_matrix (Parquet) and output/feature_summary (JSON)."""
+    """Filtered measurements to output/feature_matrix (Parquet), output/feature_summary (JSON) and output/preparation (the fitted model)."""
     began, steps = time.perf_counter(), {}
 
     def done(name: str) -> None:
@@ -149,10 +160,11 @@ def build_features(spark: SparkSession, measurements: str, output: str, params:
     raw = spark.read.parquet(f"{output}/_features")
     done("features")
     counts = _rows(series.imputation_counts(raw))
-    full = series.impute(raw)
-    fitted = series.scaling_params(full)
+    model = preparation.fit_preparation(raw)
+    model.write().overwrite().save(f"{output}/preparation")
+    fitted = model.stages[1].fitted()
     done("fit")
-    tables.write_features(series.robust_scale(full, params=params, fitted=fitted), f"{output}/feature_matrix")
+    tables.write_features(model.transform(raw), f"{output}/feature_matrix")
     matrix = spark.read.parquet(f"{output}/feature_matrix")
     done("write")
     if csv:
@@ -164,7 +176,7 @@ def build_features(spark: SparkSession, measurements: str, output: str, params:
         "output_columns": len(matrix.columns),
         "per_feature_statistics": _rows(series.feature_stats(matrix)),
         "imputation_counts": counts,
-        "normalization_params": {r["feature"]: r for r in _rows(fitted)},
+        "normalization_params": {c: {"feature": c, "median": m, "q25": a, "q75": b, "iqr": iqr} for c, (m, a, b, iqr) in fitted.items()},
         "sanity_checks": _rows(series.sanity(matrix, expected_rows)),
         "correlations": _rows(series.correlations(matrix, z)),
         "high_correlation_pairs": _rows(series.close_pairs(matrix, z)),
@@ -181,13 +193,14 @@ def cluster_features(
     output: str,
     grids: tuple[som.Grid, ...] = som.GRIDS,
     seeds: tuple[int, ...] = som.SEEDS,
-    passes: int = 20,
+    how: som.Training = som.Training(20, (0.05, 0.01)),
     draws: int = 100,
     expected_rows: int | None = None,
 ) -> dict:
     """A scaled feature matrix to clusters, their tables and measures under output.
 
-    Models are kept under output/models by their configuration, and found again by it.
+    Models are kept under output/models by their configuration, and found again by it. how: passes, rates and
+    radius of their training, all of them in one job a pass.
     """
     matrix = spark.read.parquet(features)
     z = [f"{c}_z" for c in FEATURES]
@@ -196,10 +209,10 @@ def cluster_features(
     if expected_rows is not None and n != expected_rows:
         raise ValueError(f"{n} rows, not {expected_rows}")
     vectors = matrix.withColumn("vector", F.array(*[F.col(c).cast("double") for c in z]))
-    config = {"features": features, "rows": n, "grids": [asdict(g) for g in grids], "seeds": seeds, "passes": passes}
+    config = {"features": features, "rows": n, "grids": [asdict(g) for g in grids], "seeds": seeds, "training": asdict(how)}
     runs = tables.read_runs(spark, f"{output}/models", config)
     if runs is None:
-        runs = som.train_runs(vectors, grids, seeds, passes)
+        runs = som.train_runs(cut(vectors.select("vector")), grids, seeds, how=how)
         tables.write_runs(spark, runs, f"{output}/models", config)
     table = som.runs_table(spark, runs)
     assigned = som.assign_runs(vectors.select("vector"), runs)
@@ -238,7 +251,7 @@ def cluster_features(
         "input_file": features,
         "n_observations": n,
         "n_features": len(z),
-        "training_config": {"passes": passes, "mode": "batch", "distance": "euclidean", "seeds": list(seeds), "grids": [f"{g.columns}x{g.rows}" for g in grids]},
+        "training_config": {"rlen": how.rlen, "alpha": how.alpha, "mode": "sequential" if how.alpha else "batch", "shares": how.shares, "neighbourhood": "bubble" if how.bubble else "gaussian", "distance": "euclidean", "seeds": list(seeds), "grids": [f"{g.columns}x{g.rows}" for g in grids]},
         "all_runs": _rows(table.orderBy("run_id")),
         "grid_comparison": _rows(summary_of_grids.orderBy("grid")),
         "ari": _rows(pairs.orderBy("a", "b")),

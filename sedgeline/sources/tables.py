@@ -10,6 +10,7 @@ import json
 from collections.abc import Mapping
 
 import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +73,16 @@ def _parquet(df: DataFrame, path: str) -> None:
 
 
 def write_measurements(df: DataFrame, path: str) -> None:
-    """The filtered measurements as Parquet. Nulls where there may be none are an error; complete_rows drops them before."""
-    if nulls := incomplete(df):
-        raise ValueError(f"nulls in columns that may have none: {nulls}")
-    _parquet(_shaped(df, MEASUREMENTS, keep_rest=False), path)
+    """The filtered measurements as Parquet, in one job. Nulls where there may be none are an error; complete_rows drops them before."""
+    shaped = _shaped(df, MEASUREMENTS, keep_rest=False)
+    message = "nulls in columns that may have none: "
+    gate = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit(f"{message}{c}")).cast(MEASUREMENTS[c])).alias(c)
+    try:
+        _parquet(shaped.select(*[gate(c) if c in COMPLETE else F.col(c) for c in shaped.columns]), path)
+    except PySparkException as failed:
+        if message in str(failed):
+            raise ValueError(f"{message}{', '.join(c for c in COMPLETE if f'{message}{c}' in str(failed))}") from failed
+        raise
 
 
 def write_features(df: DataFrame, path: str) -> None:

@@ -53,7 +53,7 @@ def output(spark, dataset, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("output"))
     filtered = runs.filter_measurements(spark, dataset, out, csv=True)
     features = runs.build_features(spark, f"{out}/filtered", out, csv=True, expected_rows=60)
-    clustered = runs.cluster_features(spark, f"{out}/feature_matrix", f"{out}/feature_summary", out, (som.Grid(3, 3), som.Grid(4, 3)), (1, 2), passes=20, draws=5, expected_rows=60)
+    clustered = runs.cluster_features(spark, f"{out}/feature_matrix", f"{out}/feature_summary", out, (som.Grid(3, 3), som.Grid(4, 3)), (1, 2), som.Training(20, (0.05, 0.01)), draws=5, expected_rows=60)
     return out, filtered, features, clustered
 
 
@@ -98,9 +98,9 @@ def test_clusters(spark, output):
     assert chosen["seed"] == best["seed"] and all(0 <= r["te"] <= 1 for r in metrics["all_runs"])
     table = spark.read.option("header", True).csv(f"{out}/som_cluster_summary")
     assert len(table.columns) == 4 + len(FEATURES) + 3 and table.count() == k
-    config = {"features": f"{out}/feature_matrix", "rows": 60, "grids": [{"columns": 3, "rows": 3}, {"columns": 4, "rows": 3}], "seeds": (1, 2), "passes": 20}
+    config = {"features": f"{out}/feature_matrix", "rows": 60, "grids": [{"columns": 3, "rows": 3}, {"columns": 4, "rows": 3}], "seeds": (1, 2), "training": {"rlen": 20, "alpha": (0.05, 0.01), "shares": 1, "bubble": False}}
     kept = tables.read_runs(spark, f"{out}/models", config)
-    assert len(kept) == 4 and tables.read_runs(spark, f"{out}/models", config | {"passes": 21}) is None
+    assert len(kept) == 4 and tables.read_runs(spark, f"{out}/models", config | {"training": {"rlen": 21}}) is None
     neurons = kept[0].grid.columns * kept[0].grid.rows
     labels = cluster.cut_tree(cluster.ward(kept[0].codebook), neurons, 3)
     assert figures.component_planes(spark, kept[0]).count() == neurons * 9 and figures.convergence(spark, kept).count() == 80
