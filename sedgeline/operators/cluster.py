@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgeline.functions.scalars import significant
@@ -234,3 +238,31 @@ def box_quartiles(long: DataFrame, by: list[str]) -> DataFrame:
 def subsample(df: DataFrame, key: str, most: int = 50_000, seed: int = 42) -> DataFrame:
     """At most so many rows, those least by a hash of the key: the same for each run."""
     return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(most)
+
+
+def sample_by_cluster(df: DataFrame, k: int, cluster: str = "cluster", by: Column | None = None, key: str = "mesh_id_250m", seed: int = 42) -> DataFrame:
+    """At most k rows of each cluster: those least by a hash (by), then by key.
+
+    Bottom-k sketches merge: every task keeps k candidates of each cluster and drops the rest, so that no
+    more than k rows of a cluster leave a task, however large it is, and nothing is put into a global order.
+    """
+    draw = F.xxhash64(F.lit(seed), key) if by is None else by
+    drawn = df.select(F.col(cluster).alias("_cluster"), draw.alias("_draw"), F.col(key).alias("_key"), F.struct(*df.columns).alias("_row"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            own = pa.Table.from_batches([batch])
+            own = own if held is None else pa.concat_tables([held, own])
+            order = pc.sort_indices(own.select(["_cluster", "_draw", "_key"]), sort_keys=[(c, "ascending") for c in ("_cluster", "_draw", "_key")])
+            own = own.take(order)
+            groups = own.column("_cluster").combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.zeros(0, np.int64)
+            place = np.arange(len(groups)) - np.repeat(first, np.diff(np.append(first, len(groups))))
+            held = own.filter(pa.array(place < k)).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
+    kept = drawn.mapInArrow(least, drawn.schema)
+    order = Window.partitionBy("_cluster").orderBy("_draw", "_key")
+    return kept.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k).select("_row.*")

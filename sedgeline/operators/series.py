@@ -23,18 +23,22 @@ def daily_medians(df: DataFrame) -> DataFrame:
     One or two readings of a date have their median from count, least and greatest, which aggregate in
     fixed memory; only dates of three and more readings gather values.
     """
-    dated = df.select(MESH, F.to_date(DATE).alias("date"), VALUE)
-    ends = dated.groupBy(MESH, "date").agg(F.count(VALUE).alias("n"), F.min(VALUE).alias("low"), F.max(VALUE).alias("high"))
+    rows = df.select(MESH, F.to_date(DATE).alias("date"), VALUE)
+    ends = rows.groupBy(MESH, "date").agg(F.count(VALUE).alias("n"), F.min(VALUE).alias("low"), F.max(VALUE).alias("high"))
     # Two readings apart by more than a double can hold don't occur; halves keep the sum in range all the same.
     few = ends.filter("n < 3").select(MESH, "date", (F.col("low") / 2 + F.col("high") / 2).alias("median_value"))
     many = ends.filter("n >= 3").select(F.col(MESH).alias("_mesh"), F.col("date").alias("_date"))
-    rest = dated.join(many, dated[MESH].eqNullSafe(many["_mesh"]) & dated["date"].eqNullSafe(many["_date"]), "left_semi")
+    rest = rows.join(many, rows[MESH].eqNullSafe(many["_mesh"]) & rows["date"].eqNullSafe(many["_date"]), "left_semi")
     return few.unionByName(rest.groupBy(MESH, "date").agg(F.median(VALUE).alias("median_value")))
 
 
 def daily(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """mesh, date, median_value, days_since_first, ln_value."""
-    median = daily_medians(df)
+    return dated(daily_medians(df), params)
+
+
+def dated(median: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """daily from mesh, date, median_value."""
     first = F.min("date").over(Window.partitionBy(MESH))
     return median.withColumn("days_since_first", F.datediff("date", first)).withColumn("ln_value", F.log(F.greatest("median_value", F.lit(params.log_floor))))
 
@@ -106,6 +110,11 @@ def feature_matrix(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return derived(series_features(daily(df, params), params), params).join(metadata(df), MESH, "left")
 
 
+def matrix_of_series(medians: DataFrame, about: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """feature_matrix from daily_medians and metadata; where both are bucketed by mesh (tables.write_series), nothing is shuffled."""
+    return derived(series_features(dated(medians, params), params), params).join(about, MESH, "left")
+
+
 def exact_quantiles(df: DataFrame, columns: tuple[str, ...], shares: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 1000) -> dict[str, list[float | None]]:
     """The quantiles of each column, interpolated as percentile() does, without all values in one task.
 

@@ -157,9 +157,15 @@ def stage_audit(df: DataFrame, order: list[str], params: Params = DEFAULT) -> Da
         *[F.sum(F.when(F.col("passed") >= k, weight[k]).otherwise(0)).alias(f"r{k}") for k in reach],
         F.max(F.when((F.col("passed") >= 5) & (F.col("n_types") > 1), 1).otherwise(0)).alias("mixed"),
     )
+    return audit_of_counts(per_mesh)
+
+
+def audit_of_counts(per_mesh: DataFrame) -> DataFrame:
+    """The audit from r0 to r6 (rows that pass so many stages) and mixed (0 or 1) of each mesh."""
+    named = F.col(MESH).isNotNull() if MESH in per_mesh.columns else F.lit(True)
     total = per_mesh.agg(
-        *[F.coalesce(F.sum(f"r{k}"), F.lit(0)).alias(f"r{k}") for k in reach],
-        *[F.count_if((F.col(f"r{k}") > 0) & F.col(MESH).isNotNull()).alias(f"m{k}") for k in reach],
+        *[F.coalesce(F.sum(f"r{k}"), F.lit(0)).alias(f"r{k}") for k in range(len(STAGES))],
+        *[F.count_if((F.col(f"r{k}") > 0) & named).alias(f"m{k}") for k in range(len(STAGES))],
         F.coalesce(F.sum("mixed"), F.lit(0)).alias("mixed"),
     )
     each = []

@@ -6,6 +6,7 @@ value. Doubles are rounded on both sides where the order of sums may differ.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgeline.functions import scalars
-from sedgeline.operators import cluster, figures, preparation, series, som, stages
-from sedgeline.operators.storage import cut
+from sedgeline.operators import cluster, figures, increments, keys, preparation, series, som, stages
+from sedgeline.operators.storage import checkpoint_dir, cut
 from sedgeline.params import FEATURES, Params
-from sedgeline.sources import archives
+from sedgeline.sources import archives, tables
 
 PARAMS = Params(early_late_cutoff="1997-03-11", dose_threshold=0.3, min_dates=12)
 ORDER = ["l_orderkey", "l_linenumber"]
@@ -155,8 +156,12 @@ def derived_features(spark, sf_dir):
 
 @query(SERIES + f" select mesh_id_250m, {_numbers('log_linear_slope log_linear_r2 early_slope late_slope residual_cv total_decay_ratio temporal_span_years')}, n_increases, recontamination_flag, n_measurement_dates from derived")
 def decay_features(spark, sf_dir):
+    return _decay_of(_features(spark, sf_dir))
+
+
+def _decay_of(features: DataFrame) -> DataFrame:
     names = ["log_linear_slope", "log_linear_r2", "early_slope", "late_slope", "residual_cv", "total_decay_ratio", "temporal_span_years"]
-    return rounded(series.derived(_features(spark, sf_dir), PARAMS).select("mesh_id_250m", *names, "n_increases", "recontamination_flag", "n_measurement_dates"))
+    return rounded(series.derived(features, PARAMS).select("mesh_id_250m", *names, "n_increases", "recontamination_flag", "n_measurement_dates"))
 
 
 def _features(spark, sf_dir):
@@ -314,6 +319,36 @@ def stage5_type(spark, sf_dir):
     return stages.run_stages(_placed(spark, sf_dir), ORDER, PARAMS).select(*ORDER, "measurement_type")
 
 
+@query(M + " select mesh_id_250m, row_number() over (order by mesh_id_250m) - 1 as number from (select distinct mesh_id_250m from m)")
+def mesh_numbers(spark, sf_dir):
+    """Every mesh's dense number, in the order of the meshes."""
+    return keys.dictionary(measurements(spark, sf_dir), "mesh_id_250m")
+
+
+@query(SQL["decay_features"])
+def decay_features_by_number(spark, sf_dir):
+    """decay_features, computed over numbers in place of the meshes' names."""
+    known = mesh_numbers(spark, sf_dir)
+    rows = keys.encode(measurements(spark, sf_dir), known, "mesh_id_250m")
+    return keys.decode(_decay_of(series.series_features(series.daily(rows, PARAMS), PARAMS)), known, "mesh_id_250m")
+
+
+@query(SQL["decay_features"])
+def decay_features_of_layout(spark, sf_dir):
+    """decay_features from daily medians that are kept bucketed by mesh: the features themselves need no shuffle."""
+    rows = measurements(spark, sf_dir)
+    name = f"series_{uuid.uuid4().hex}"
+    tables.write_series(series.daily_medians(rows), series.metadata(rows), name, f"{checkpoint_dir(spark)}/{name}", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _decay_of(series.series_features(series.dated(spark.table(f"{name}_days"), PARAMS), PARAMS))
+
+
+@query("with drawn as (select vec_id, label, md5('sample:' || vec_id) as draw from embeddings) select vec_id, label from drawn qualify row_number() over (partition by label order by draw, vec_id) <= 7")
+def cluster_sample(spark, sf_dir):
+    """Seven vectors of each label, the same in every run."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return cluster.sample_by_cluster(v, 7, "label", F.md5(F.concat(F.lit("sample:"), F.col("vec_id").cast("string"))), "vec_id")
+
+
 @query(M + " select coalesce(measurement_height_cm <> 100, false) as height_anomalous, sampling_point_state is not null as is_decontaminated, year(correction_date)::smallint as year, count(*) as n from m group by all")
 def stage6_flags(spark, sf_dir):
     return measurements(spark, sf_dir).groupBy("height_anomalous", "is_decontaminated", "year").agg(F.count(F.lit(1)).alias("n"))
@@ -329,6 +364,33 @@ def filter_audit(spark, sf_dir):
     return stages.stage_audit(_placed(spark, sf_dir), ORDER, PARAMS)
 
 
+@query(SQL["filter_audit"])
+def audit_while_writing(spark, sf_dir):
+    """The audit as it is counted by the job that writes what the stages keep."""
+    final, audit = stages.audited(_placed(spark, sf_dir), ORDER, PARAMS)
+    final.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(audit.rows(), "stage string, rows long, rows_dropped long, pct_dropped double, meshes long, meshes_dropped long, mixed_meshes long")
+
+
+def _grown(spark, sf_dir) -> increments.Increments:
+    """The readings in two batches: those of even orders, then the others."""
+    state = increments.Increments(spark, f"{checkpoint_dir(spark)}/increments-{uuid.uuid4().hex}", ORDER, PARAMS)
+    placed = _placed(spark, sf_dir)
+    for rest in (0, 1):
+        state.add(placed.filter(F.col("l_orderkey") % 2 == rest))
+    return state
+
+
+@query(SQL["filter_audit"])
+def incremental_audit(spark, sf_dir):
+    return _grown(spark, sf_dir).audit()
+
+
+@query(ALL + " select l_orderkey, l_linenumber, mesh_id_250m, measurement_type from all_final")
+def incremental_result(spark, sf_dir):
+    return _grown(spark, sf_dir).result().select("l_orderkey", "l_linenumber", "mesh_id_250m", "measurement_type")
+
+
 @query(ALL + " select source_item, rows_loaded, coalesce(rows_final, 0)::bigint as rows_final, coalesce(meshes_final, 0)::bigint as meshes_final from (select source_item, count(*) as rows_loaded from placed group by 1) left join (select source_item, count(*) as rows_final, count(distinct mesh_id_250m) as meshes_final from all_final group by 1) using (source_item)")
 def per_item_breakdown(spark, sf_dir):
     return stages.item_breakdown(_placed(spark, sf_dir), ORDER, PARAMS)
@@ -515,14 +577,29 @@ def node_counts(spark, sf_dir):
     return som.node_counts(_assigned(spark, sf_dir), GRID)
 
 
-@query(BMU + " select src::int as src, dst::int as dst from edges")
+@query(BMU + ", counts as (select bmu, count(*) as n from bmus group by 1) select src::int as src, dst::int as dst, coalesce(a.n, 0)::bigint as n_src, coalesce(b.n, 0)::bigint as n_dst from edges left join counts a on src = a.bmu left join counts b on dst = b.bmu")
 def hex_adjacency(spark, sf_dir):
-    return GRID.edges(spark)
+    """Neighbours on the grid, with the vectors that are mapped to either."""
+    counts = som.node_counts(_assigned(spark, sf_dir), GRID)
+    a, b = counts.select(F.col("neuron").alias("src"), F.col("n").alias("n_src")), counts.select(F.col("neuron").alias("dst"), F.col("n").alias("n_dst"))
+    return GRID.edges(spark).join(a, "src").join(b, "dst").select("src", "dst", "n_src", "n_dst")
 
 
-@query(BMU + " select src::int as neuron, round(avg(sqrt(list_sum(list_transform(list_zip(a.w, b.w), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))), 6) as distance from edges join book a on src = a.neuron join book b on dst = b.neuron group by 1")
+def _means_of_neurons(spark, sf_dir) -> np.ndarray:
+    """The codebook after each neuron became the mean of its vectors; a row for each neuron comes back."""
+    book, width = _book(spark, sf_dir).copy(), len(_book(spark, sf_dir)[0])
+    means = _assigned(spark, sf_dir).groupBy("bmu").agg(*[F.avg(F.col("vector")[i]).alias(f"s{i}") for i in range(width)]).collect()
+    for r in means:
+        book[r["bmu"] - 1] = [r[f"s{i}"] for i in range(width)]
+    return book
+
+
+@query(BMU + """, dims as (select unnest(range(1, 65)) as i),
+means as (select b.neuron, i, coalesce(avg(e.embedding[i]::double), any_value(b.w[i])) as v from book b join dims on true left join bmus m on m.bmu = b.neuron left join embeddings e on e.vec_id = m.vec_id group by b.neuron, i),
+pairs as (select src, dst, sqrt(sum((a.v - c.v) ** 2)) as d from edges join means a on a.neuron = src join means c on c.neuron = dst and c.i = a.i group by src, dst)
+select src::int as neuron, round(avg(d), 6) as distance from pairs group by 1""")
 def umatrix(spark, sf_dir):
-    return rounded(som.umatrix(spark, _book(spark, sf_dir), GRID))
+    return rounded(som.umatrix(spark, _means_of_neurons(spark, sf_dir), GRID))
 
 
 @query(BMU + """, cells as (select label, bmu, count(*) as n from bmus group by all), s as (select (select sum(n * (n - 1) / 2) from cells) as c,
@@ -558,10 +635,12 @@ def boxplot_quartiles(spark, sf_dir):
     return rounded(cluster.box_quartiles(cluster.long_form(_wide(spark, sf_dir).drop("vec_id"), ["cluster"], names), ["cluster", "feature"]))
 
 
-@query("select label as cluster, round(avg(embedding[1]::double), 6) + 0.0 as mean_first, round(avg(case when vec_id % 3 <> 0 then embedding[2]::double end), 6) + 0.0 as mean_second from embeddings group by 1")
+@query("select label as cluster, " + ", ".join(f"round(avg(case when vec_id % {k % 3 + 2} <> 0 then embedding[{k + 1}]::double end), 6) + 0.0 as mean_v{k}" for k in range(64)) + " from embeddings group by 1")
 def context_means(spark, sf_dir):
-    v = _wide(spark, sf_dir).select("cluster", F.col("v0").alias("first"), F.when(F.col("vec_id") % 3 != 0, F.col("v1")).alias("second"))
-    return rounded(cluster.context_means(v, ("first", "second")))
+    """Means of all numbers by label; some are missing."""
+    names = [f"v{k}" for k in range(_WIDTH)]
+    v = _wide(spark, sf_dir).select("cluster", *[F.when(F.col("vec_id") % (k % 3 + 2) != 0, F.col(n)).alias(n) for k, n in enumerate(names)])
+    return rounded(cluster.context_means(v, tuple(names)))
 
 
 @query(BMU + ", cells as (select label, bmu, count(*) as n from bmus group by all) select bmu::int as cluster, count(*) as n, round(count(*) * 100.0 / sum(count(*)) over (), 6) as pct, ceil(sum(count(*)) over () * 0.01)::bigint as least from bmus group by 1")
@@ -589,35 +668,59 @@ def within_squares(spark, sf_dir):
     return rounded(cluster.within_squares(_wide(spark, sf_dir), [f"v{i}" for i in range(_WIDTH)]), 4)
 
 
-_RUNS = """with runs as (select '5x5' as grid, vec_id::int as seed, embedding[1]::double as qe, abs(embedding[2]::double) as te from embeddings where vec_id < 5
-  union all select '6x6', vec_id::int - 5, embedding[1]::double, abs(embedding[2]::double) from embeddings where vec_id between 5 and 9),
-grids as (select grid, avg(qe) as mean_qe, avg(te) as mean_te from runs group by 1)"""
-
-
-def _runs(spark, sf_dir):
-    n = F.col("vec_id")
-    v = table(spark, sf_dir, "embeddings").filter(n < 10).select(
-        F.when(n < 5, "5x5").otherwise("6x6").alias("grid"), F.when(n < 5, n).otherwise(n - 5).cast("int").alias("seed"),
-        F.col("embedding")[0].cast("double").alias("qe"), F.abs(F.col("embedding")[1].cast("double")).alias("te"),
-    )
-    return v.withColumn("run_id", F.concat_ws("_seed", "grid", "seed"))
-
-
-@query(_RUNS + " select grid, round(mean_qe, 6) + 0.0 as mean_qe, round(mean_te, 6) + 0.0 as mean_te, 0.9::double as mean_ari, 0.9::double as min_ari, true as stable from grids")
+#: Maps to compare: grid, seed, columns, neurons, and the vector that their codebook begins with.
+_MAPS = (("5x5", 1, 5, 25, 0), ("5x5", 2, 5, 25, 25), ("4x4", 1, 4, 16, 50), ("4x4", 2, 4, 16, 66))
+_RUNS = f"""with maps(grid, seed, columns, size, first) as (values {", ".join(map(str, _MAPS))}),
+places as (select distinct grid, columns, size from maps),
+points as (select grid, i + 1 as neuron, i % columns + 1 + 0.5 * ((i // columns + 1) % 2) as x, (i // columns + 1) * sqrt(3) / 2 as y from (select grid, columns, unnest(range(size)) as i from places)),
+edges as (select a.grid, a.neuron as src, b.neuron as dst from points a join points b using (grid) where a.neuron <> b.neuron and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 1.1),
+books as (select grid, seed, vec_id - first + 1 as neuron, embedding::double[] as w from embeddings join maps on vec_id between first and first + size - 1),
+near as (select vec_id, grid, seed, neuron, list_sum(list_transform(list_zip(embedding::double[], w), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as d from embeddings, books),
+ranked as (select *, row_number() over (partition by grid, seed, vec_id order by d, neuron) as place from near),
+best as (select a.vec_id, a.grid, a.seed, a.neuron as bmu, sqrt(a.d) as distance, b.neuron as second from ranked a join ranked b using (vec_id, grid, seed) where a.place = 1 and b.place = 2),
+runs as (select grid, seed, avg(distance) as qe, avg((not exists (select 1 from edges e where e.grid = best.grid and e.src = bmu and e.dst = second))::int) as te from best group by all),
+cells as (select a.grid, a.bmu as x, b.bmu as y, count(*) as n from best a join best b using (vec_id, grid) where a.seed = 1 and b.seed = 2 group by all),
+two as (select grid, sum(n * (n - 1) / 2) as c, sum(n) as t, (select sum(m * (m - 1) / 2) from (select sum(n) as m from cells i where i.grid = cells.grid group by x)) as r, (select sum(m * (m - 1) / 2) from (select sum(n) as m from cells i where i.grid = cells.grid group by y)) as k from cells group by grid),
+alike as (select grid, (c - r * k / (t * (t - 1) / 2)) / ((r + k) / 2 - r * k / (t * (t - 1) / 2)) as ari from two),
+grids as (select grid, avg(qe) as mean_qe, avg(te) as mean_te, any_value(ari) as mean_ari, any_value(ari) as min_ari, any_value(ari) > 0.8 as stable from runs join alike using (grid) group by grid)"""
+
+
+def _compared_maps(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """som.runs_table of the maps, and how alike those of one grid are."""
+    vectors = _vectors(spark, sf_dir).select("vec_id", "vector")
+    last = max(first + size for *_, size, first in _MAPS)
+    found = {r["vec_id"]: r["vector"] for r in vectors.filter(F.col("vec_id") < last).collect()}  # the codebooks
+    grids = [som.Grid(columns, size // columns) for _, _, columns, size, _ in _MAPS]
+    books = [np.array([found[i] for i in range(first, first + size)]) for *_, size, first in _MAPS]
+    measured = som.qualities(vectors, books, grids)
+    runs = [som.Run(g, seed, book, [qe], qe, te) for g, (_, seed, *_), book, (qe, te) in zip(grids, _MAPS, books, measured, strict=True)]
+    assigned = som.assign_runs(vectors, runs)
+    names = [[r.name for r in runs if r.grid == g] for g in dict.fromkeys(grids)]
+    pairs = som.ari_matrix(assigned, names[0]).unionByName(som.ari_matrix(assigned, names[1]))
+    return som.runs_table(spark, runs), pairs
+
+
+@query(_RUNS + " select grid || '_seed' || seed as run_id, round(qe, 6) + 0.0 as qe, round(te, 6) + 0.0 as te from runs")
+def run_measures(spark, sf_dir):
+    """Quantization and topographic errors of several maps in one job."""
+    return rounded(_compared_maps(spark, sf_dir)[0].select("run_id", "qe", "te"))
+
+
+@query(_RUNS + " select grid, round(mean_qe, 6) + 0.0 as mean_qe, round(mean_te, 6) + 0.0 as mean_te, round(mean_ari, 6) + 0.0 as mean_ari, round(min_ari, 6) + 0.0 as min_ari, stable from grids")
 def grid_summary(spark, sf_dir):
-    """Measures of ten runs (numbers of the first vectors stand in), with pairs that agree to 0.9."""
-    runs = _runs(spark, sf_dir)
-    a, b = runs.select("grid", F.col("run_id").alias("a")), runs.select("grid", F.col("run_id").alias("b"))
-    pairs = a.join(b, "grid").filter("a < b").select("a", "b", F.lit(0.9).alias("ari"))
-    return rounded(som.grid_summary(runs, pairs))
+    """Means over the maps of each grid, and how alike their best neurons are."""
+    return rounded(som.grid_summary(*_compared_maps(spark, sf_dir)))
 
 
-@query(_RUNS + " select grid, arg_min(seed, qe) as seed, round(min(qe), 6) + 0.0 as qe, round(arg_min(te, qe), 6) + 0.0 as te, 'no grid within the limits: least mean TE' as reason from runs where grid = (select arg_min(grid, mean_te) from grids) group by 1")
+@query(_RUNS + """, judged as (select *, mean_te < 0.10 and mean_ari > 0.80 as good from grids),
+chosen as (select grid, case when good then 0 else 1 end as bad, case when good then mean_qe else mean_te end as by_mean, (select count(*) from judged where good) as n_good from judged order by bad, by_mean, grid limit 1)
+select grid, seed, round(qe, 6) + 0.0 as qe, round(te, 6) + 0.0 as te,
+       case n_good when 0 then 'no grid within the limits: least mean TE' when 1 then 'the only grid within the limits' else 'within the limits: least mean QE' end as reason
+from runs join chosen using (grid) order by qe, seed limit 1""")
 def model_selection(spark, sf_dir):
-    """The run of least QE in the grid of least mean TE, where no grid is stable."""
-    runs = _runs(spark, sf_dir)
-    grids = som.grid_summary(runs, spark.createDataFrame([("5x5_seed0", "5x5_seed1", 0.5), ("6x6_seed0", "6x6_seed1", 0.5)], "a string, b string, ari double"))
-    return rounded(cluster.select_model(runs, grids))
+    """The map to use, by the errors and the agreement of all of them."""
+    runs, pairs = _compared_maps(spark, sf_dir)
+    return rounded(cluster.select_model(runs, som.grid_summary(runs, pairs)))
 
 
 @query()
@@ -630,11 +733,12 @@ def som_train(spark, sf_dir):
 
 @query()
 def ward_clusters(spark, sf_dir):
-    """neuron and cluster of the codebook that Ward's method gives, with the height of its merges' cut."""
-    book = _book(spark, sf_dir)
+    """Every vector's neuron and cluster, by Ward's method over the neurons' means, with the height of the merges' cut."""
+    book = _means_of_neurons(spark, sf_dir)
     merges = cluster.ward(book)
-    labels = cluster.cut_tree(merges, len(book), 6)
-    return spark.createDataFrame([(i + 1, c, merges[-5][2]) for i, c in enumerate(labels)], "neuron int, cluster int, cut double")
+    of_neuron = F.array(*[F.lit(c) for c in cluster.cut_tree(merges, len(book), 6)])
+    found = som.assign(_vectors(spark, sf_dir), book)
+    return found.select("vec_id", F.col("bmu").alias("neuron"), F.element_at(of_neuron, F.col("bmu")).alias("cluster"), F.lit(float(merges[-5][2])).alias("cut"))
 
 
 @query()

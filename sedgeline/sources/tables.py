@@ -97,6 +97,28 @@ def write_clusters(df: DataFrame, path: str) -> None:
     write_features(df, path)
 
 
+def write_series(medians: DataFrame, about: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """series.daily_medians and series.metadata as tables <name>_days and <name>_about, bucketed by mesh, days sorted by date.
+
+    Features with any parameters then need no shuffle (series.matrix_of_series). Medians are bucketed, not
+    readings: a mesh has as many rows as dates, however many readings it has, so that no bucket is hot.
+    """
+    for part, df, order in (("days", medians, ["mesh_id_250m", "date"]), ("about", about, ["mesh_id_250m"])):
+        spark = df.sparkSession
+        spark.sql(f"drop table if exists {name}_{part}")
+        dealt = df.repartition(buckets, "mesh_id_250m")
+        dealt.write.mode("overwrite").bucketBy(buckets, "mesh_id_250m").sortBy(*order).option("path", f"{path}/{part}").saveAsTable(f"{name}_{part}")
+
+
+def read_series(spark: SparkSession, name: str, path: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """What write_series wrote; a session that doesn't know the tables is told of the files and their buckets."""
+    for part, order in (("days", "mesh_id_250m, date"), ("about", "mesh_id_250m")):
+        if not spark.catalog.tableExists(f"{name}_{part}"):
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/{part}").schema)
+            spark.sql(f"create table {name}_{part} ({columns}) using parquet clustered by (mesh_id_250m) sorted by ({order}) into {buckets} buckets location '{path}/{part}'")
+    return spark.table(f"{name}_days"), spark.table(f"{name}_about")
+
+
 def write_csv(df: DataFrame, path: str, mark: bool = True) -> None:
     """CSV files with a header; mark: each begins with a byte order mark, as spreadsheets like it."""
     first = df.columns[0]
