@@ -1,8 +1,10 @@
 """Document fingerprints by Order MinHash, with DataFrame functions only.
 
-The k-mers of a text are its runs of three words, numbered by occurrence, so that a repeated k-mer counts
-as often as it is there. A text whose words have more than LONG code points on average (one without white
-space, such as Chinese) is taken by its runs of SPAN code points instead of words. Their hashes deal them to bins; in each bin the two minimal ones are taken,
+The k-mers of a text are its runs of three units, numbered by occurrence, so that a repeated k-mer counts
+as often as it is there. A unit is a word, but of a word of more than LONG code points (text without white
+space, such as Chinese, is one) those runs of SPAN code points are units whose hash is divisible by SPAN,
+about one in SPAN, wherever they stand; if there are none, the word. That is told word by word, so that an
+edit changes the units of the words that it touches, and no others. The k-mers' hashes deal them to bins; in each bin the two minimal ones are taken,
 put back into the order they have in the text, and hashed as a tuple. Unlike the minima alone, the
 tuples change when passages are moved, as edit distance does. Two fingerprints are as alike as the
 share of bins, of those that are filled in either, that hold the same tuple.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from sedgeline.llm.common import SPACE, partitions, text_or_empty
 
 BINS = 64
-#: Code points a word, on average, beyond which a text is taken by code points, and how many of them stand for a word.
+#: Code points beyond which a word is taken by its code points, and how many of them stand for a word.
 LONG, SPAN = 24, 5
 _BIN_SHIFT = 63 - 6
 _HIGH = 0x7FFFFFFF00000000
@@ -98,9 +100,16 @@ def signature(text: Column) -> Column:
     def of_characters(c: Column) -> Column:
         return F.transform(c, lambda x, i: F.xxhash64(x, *[F.get(c, i + k) for k in range(1, SPAN)]))
 
+    def of_word(w: Column) -> Column:
+        points = _let(F.filter(F.split(w, "", -1), lambda x: x != ""), of_characters)
+        chosen = F.filter(points, lambda h: F.pmod(h, F.lit(SPAN)) == 0)
+        whole = F.array(F.xxhash64(w))
+        return F.when(F.length(w) > LONG, _let(chosen, lambda c: F.when(F.size(c) > 0, c).otherwise(whole))).otherwise(whole)
+
     def units(words: Column) -> Column:
-        points = _let(F.filter(F.split(text, "", -1), lambda x: x != ""), of_characters)
-        return F.when(F.length(text) > F.size(words) * LONG, points).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
+        # Without a long word both give the same; most texts need no lists of lists.
+        short = F.transform(words, lambda w: F.xxhash64(w))
+        return F.when(F.exists(words, lambda w: F.length(w) > LONG), F.flatten(F.transform(words, of_word))).otherwise(short)
 
     return _let(_let(F.split(text, SPACE, -1), units), of_words)
 

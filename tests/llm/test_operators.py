@@ -372,43 +372,78 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_order_minhash_signature(spark):
-    """The signature recomputed in plain Python, for words and for text without white space."""
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    chain = lambda xs, h=42: h if not xs else chain(xs[1:], signed(xxhash.xxh64_intdigest(xs[0] if isinstance(xs[0], bytes) else (xs[0] & (1 << 64) - 1).to_bytes(8, "little"), h & (1 << 64) - 1)))
-    chain32 = lambda k, occurrence: signed(xxhash.xxh64_intdigest((occurrence & 0xFFFFFFFF).to_bytes(4, "little"), chain([k]) & (1 << 64) - 1))
-
-    def plain(text):
-        words = re.split(r"[\x20\x09-\x0D]+", text)
-        if len(text) > len(words) * order_minhash.LONG:
-            units = [chain([c.encode() for c in text[i : i + order_minhash.SPAN]]) for i in range(len(text))]
+signed = lambda h: h - (1 << 64) if h >> 63 else h
+chain = lambda xs, h=42: h if not xs else chain(xs[1:], signed(xxhash.xxh64_intdigest(xs[0] if isinstance(xs[0], bytes) else (xs[0] & (1 << 64) - 1).to_bytes(8, "little"), h & (1 << 64) - 1)))
+chain32 = lambda k, occurrence: signed(xxhash.xxh64_intdigest((occurrence & 0xFFFFFFFF).to_bytes(4, "little"), chain([k]) & (1 << 64) - 1))
+
+def plain_signature(text):
+    words = re.split(r"[\x20\x09-\x0D]+", text)
+    units = []
+    for w in words:
+        if len(w) > order_minhash.LONG:
+            runs = [chain([c.encode() for c in w[i : i + order_minhash.SPAN]]) for i in range(len(w))]
+            units += [h for h in runs if h % order_minhash.SPAN == 0] or [chain([w.encode()])]
         else:
-            units = [chain([w.encode()]) for w in words]
-        kmers = [chain(units[i : i + 3]) for i in range(len(units))]
-        placed = sorted((k & order_minhash._HIGH) | i for i, k in enumerate(kmers))
-        times, numbered = Counter(), []
-        for x in placed:
-            kmer = x >> 32
-            numbered.append((chain32(kmer, times[kmer]) & order_minhash._HIGH) | (x & 0xFFFFFFFF))
-            times[kmer] += 1
-        bins = defaultdict(list)
-        for x in sorted(numbered):
-            bins[x >> order_minhash._BIN_SHIFT].append(x & 0xFFFFFFFF)
-        out = []
-        for b in range(order_minhash.BINS):
-            places = sorted(bins[b][:2])
-            out.append(max(chain([kmers[i] for i in places]) & 0xFFFFFFFF, 1) if places else 0)
-        return out
-
-    texts = ["", "a b c", "x " * 300, " ".join(f"w{i % 90}" for i in range(500)), "漢字" * 40 + "かな" * 30, "q" * 200]
+            units.append(chain([w.encode()]))
+    kmers = [chain(units[i : i + 3]) for i in range(len(units))]
+    placed = sorted((k & order_minhash._HIGH) | i for i, k in enumerate(kmers))
+    times, numbered = Counter(), []
+    for x in placed:
+        kmer = x >> 32
+        numbered.append((chain32(kmer, times[kmer]) & order_minhash._HIGH) | (x & 0xFFFFFFFF))
+        times[kmer] += 1
+    bins = defaultdict(list)
+    for x in sorted(numbered):
+        bins[x >> order_minhash._BIN_SHIFT].append(x & 0xFFFFFFFF)
+    out = []
+    for b in range(order_minhash.BINS):
+        places = sorted(bins[b][:2])
+        out.append(max(chain([kmers[i] for i in places]) & 0xFFFFFFFF, 1) if places else 0)
+    return out
+
+
+def plain_likeness(a, b):
+    filled = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+    return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
+
+
+def test_order_minhash_signature(spark):
+    """The signature recomputed in plain Python, for words, for text without white space, and for texts of both."""
+    texts = ["", "a b c", "x " * 300, " ".join(f"w{i % 90}" for i in range(500)), "漢字" * 40 + "かな" * 30, "q" * 200, "short " + "漢字かな" * 20 + " words 𠮷" + "é" * 30 + " " + "a" * 24 + " " + "b" * 25]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: list(r.s) for r in df.select("i", order_minhash.signature(F.col("t")).alias("s")).collect()}
-    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    assert got == {i: plain_signature(t) for i, t in enumerate(texts)}
     same = "".join(chr(0x4E00 + i * 37 % 900) for i in range(400))
     a, b = F.lit(same), F.lit(same[:390] + "xyz")
     assert 0.6 < spark.range(1).select(order_minhash.likeness(order_minhash.signature(a), order_minhash.signature(b))).first()[0] < 1
 
 
+def test_order_minhash_of_near_copies_around_long_words(spark):
+    """Edits of one word leave texts alike, on whichever side of LONG their words are on average."""
+    pairs = []
+    for size in (22, 23, 24, 25, 26):
+        words = [hashlib.sha256(f"{size}:{i}".encode()).hexdigest()[:size] for i in range(301)]
+        for last in ("x", "y" * 24, "z" * 25, "w" * 60):
+            pairs.append((" ".join(words), " ".join([*words[:-1], last])))
+    mixed = [f"w{i}" for i in range(150)] + ["漢字" * 300]
+    pairs += [(" ".join(mixed), " ".join([*mixed[:-1], "short"][:150] + ["漢字" * 290 + "かな" * 10])), (" ".join(mixed), " ".join([*mixed[:75], "u" * 40, *mixed[76:]]))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    likeness = order_minhash.likeness(order_minhash.signature(F.col("a")), order_minhash.signature(F.col("b")))
+    found = {r.i: r.x for r in df.select("i", likeness.alias("x")).collect()}
+    assert min(x for i, x in found.items() if i < 20) > 0.9 and min(found.values()) > 0.6, found
+
+
+def test_order_minhash_query_likenesses(spark, docs, rows):
+    """near_edited and near_next of the query's columns, against plain ones."""
+    found = order_minhash.fingerprints(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    found = found.select("doc_id", order_minhash.likeness(F.col("signature"), F.col("edited_signature")).alias("e"), order_minhash.likeness(F.col("signature"), F.col("next_signature")).alias("n"))
+    ordered = sorted({r[0]: r[1] or "" for r in reversed(rows) if r[0] is not None}.items())
+    got = {r.doc_id: (r.e, r.n) for r in found.collect()}
+    for (i, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        own, half = plain_signature(t), len(t) // 2
+        assert got[i] == (pytest.approx(plain_likeness(own, plain_signature(t[: len(t) - half] + after[:half]))), pytest.approx(plain_likeness(own, plain_signature(after))))
+
+
 PAGES = "page_id long, url string, html string, record string"
 
 
