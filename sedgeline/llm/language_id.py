@@ -4,10 +4,11 @@ A text is its byte bigrams and trigrams (A-Z lower-cased, other ASCII signs as s
 fixed number of features, as square roots of counts and of length 1. Both levels are one-versus-one
 linear support vector machines; a level's share of a class is the mean of its pairwise odds.
 
-Learning takes at most PER_LANGUAGE rows of each of MOST_LANGUAGES languages (bounds of the sample:
-rows least by a hash; languages with the most rows among those, then by name). Each pair's machine
-is trained in a task of its own and only its weights, of fixed size, come to the driver. Prediction
-reads whole texts, in any number.
+Learning takes at most PER_LANGUAGE rows of each language (those least by a hash) and learns every
+language. Where the table of families leaves more of them than FAMILIES_AT_MOST and the square root of the
+number of languages, those whose mean texts are most alike are joined, so that there are about n^1.5
+machines, not n^2. Each pair's machine is trained in a task of its own and only its weights, of fixed size,
+come to the driver. Prediction reads whole texts, in any number.
 
 Results for odd input: a text that is null or has no letter is ``und`` with score 0, and so is every
 text if there is nothing to learn from. Rows with a null language are not learnt from; repeated ones
@@ -17,6 +18,7 @@ for those of the names that the result gets; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -31,8 +33,8 @@ from sedgeline.llm.common import cut, fresh
 UNKNOWN = "und"
 #: Rows learnt from, of each language.
 PER_LANGUAGE = 400
-#: Languages learnt, at most.
-MOST_LANGUAGES = 64
+#: Families beyond which they are joined by likeness, unless the languages' square root is more.
+FAMILIES_AT_MOST = 16
 #: Groups in which the rows of a language are ranked first.
 _GROUPS = 64
 #: The list of rows to learn from is broadcast if its bound is no more than this.
@@ -138,7 +140,7 @@ def has_letter(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def _sample(docs: DataFrame, per_language: int, most_languages: int, doc_id: str, text: str, lang: str) -> tuple[DataFrame, list[str]]:
+def _sample(docs: DataFrame, per_language: int, doc_id: str, text: str, lang: str) -> tuple[DataFrame, list[str]]:
     """lang, text_hash, at and value (the features that are not zero) of the rows to learn from, cut; and the languages."""
     labelled = docs.filter(F.col(lang).isNotNull() & has_letter(text))
     named = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
@@ -148,10 +150,8 @@ def _sample(docs: DataFrame, per_language: int, most_languages: int, doc_id: str
         order = Window.partitionBy(*part).orderBy("rank")
         ranked = ranked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).drop("n")
     chosen = cut(ranked.select(F.col("doc").alias("c_doc"), F.col("text_hash").alias("c_hash"), F.col("lang").alias("c_lang")).distinct())
-    counts = chosen.groupBy("c_lang").count().orderBy(F.desc("count"), "c_lang").limit(most_languages).collect()
-    learnt = sorted(r["c_lang"] for r in counts)
-    chosen = chosen.filter(F.col("c_lang").isin(learnt))
-    if per_language * most_languages <= _BROADCAST_ROWS:
+    learnt = sorted(r["c_lang"] for r in chosen.select("c_lang").distinct().collect())
+    if per_language * len(learnt) <= _BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     on = named["doc"].eqNullSafe(chosen["c_doc"]) & (named["text_hash"] == chosen["c_hash"]) & (named["lang"] == chosen["c_lang"])
     found = named.join(chosen, on, "left_semi").dropDuplicates(["lang", "doc", "text_hash"])
@@ -178,6 +178,39 @@ def _train_one(table: pa.Table) -> pa.Table:
     return pa.table({"machine": table.column("machine").slice(0, 1), "weights": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([float(b)])})
 
 
+def _mean_text(table: pa.Table) -> pa.Table:
+    """The sum of a language's rows of features, as long as 1."""
+    total = np.zeros(FEATURES, np.float32)
+    for at, value in zip(table.column("at").to_pylist(), table.column("value").to_pylist(), strict=True):
+        total[np.frombuffer(at, np.uint16)] += np.frombuffer(value, np.float16)
+    total /= max(float(np.linalg.norm(total)), 1e-9)
+    return pa.table({"lang": table.column("lang").slice(0, 1), "mean": pa.array([total.tobytes()], pa.binary())})
+
+
+def _joined(family: dict[str, str], sample: DataFrame) -> dict[str, str]:
+    """family, in which the families that are most alike (by their languages' mean texts) are joined until they are few enough."""
+    most = max(FAMILIES_AT_MOST, math.ceil(math.sqrt(len(family))))
+    names = sorted(set(family.values()))
+    if len(names) <= most:
+        return family
+    rows = sample.select("lang", "text_hash", "at", "value").groupBy("lang").applyInArrow(_mean_text, "lang string, mean binary").collect()
+    mean = {r["lang"]: np.frombuffer(r["mean"], np.float32) for r in rows}
+    total = np.array([sum(mean[x] for x in sorted(family) if family[x] == f) for f in names])
+    into = list(range(len(names)))
+    alive = list(range(len(names)))
+    while len(alive) > most:
+        own = total[alive] / np.maximum(np.linalg.norm(total[alive], axis=1, keepdims=True), 1e-9)
+        alike = own @ own.T
+        np.fill_diagonal(alike, -np.inf)
+        i, j = sorted(np.unravel_index(int(np.argmax(alike)), alike.shape))
+        a, b = alive[i], alive[j]
+        total[a] += total[b]
+        into = [a if x == b else x for x in into]
+        alive.pop(j)
+    of = {f: names[into[k]] for k, f in enumerate(names)}
+    return {x: of[f] for x, f in family.items()}
+
+
 def train(
     docs: DataFrame,
     per_language: int = PER_LANGUAGE,
@@ -185,13 +218,12 @@ def train(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    most_languages: int = MOST_LANGUAGES,
 ) -> Model | None:
-    """A model from at most per_language rows of each of most_languages languages; None if no row has one."""
-    sample, learnt = _sample(docs, per_language, most_languages, doc_id, text, lang)
+    """A model from at most per_language rows of each language; None if no row has one."""
+    sample, learnt = _sample(docs, per_language, doc_id, text, lang)
     if not learnt:
         return None
-    family = {name: families.get(name, name) for name in learnt}
+    family = _joined({name: families.get(name, name) for name in learnt}, sample)
     names = sorted(set(family.values()))
     within = {f: [name for name in learnt if family[name] == f] for f in names}
     sides = []

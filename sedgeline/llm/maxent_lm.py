@@ -7,9 +7,11 @@ skip), times that within the class: again a softmax over hashed features (the wo
 class) for classes of the head, and add-one frequencies in the class for the rest, which leave one place
 for words that training hasn't seen.
 
-Weights are learnt from all training texts: in each round every task takes steps on its share from the
-common weights, and its changes are summed per feature row, weighted by use, with a plain aggregation.
-The weights have a fixed size. Counts of all tokens are kept as a table: frequent tokens (over one in
+Weights are learnt from all training texts: a hash of each deals it to a round and a share of it, of about
+SHARE_TOKENS tokens; steps are taken on each share, in the order of the hashes, from the common weights, and
+its changes are summed per feature row, weighted by use, with a plain aggregation. So weights are a function
+of the table alone (but for the last digits of sums), however its rows are partitioned.
+They have a fixed size. Counts of all tokens are kept as a table: frequent tokens (over one in
 2^20: under 2^20 of them) are broadcast, all others joined, none of which can be hot.
 
 Results for odd input: a null text is empty and has its end only. A null doc_id is learnt from; a
@@ -39,8 +41,8 @@ WIDTH = CLASSES + ENDINGS
 #: A token is frequent if more than one in so many tokens is it.
 FREQUENT = 1 << 20
 ROUNDS = 2
-#: Tokens that a training task takes at least: what a task returns doesn't depend on how many it takes.
-TASK_TOKENS = 1_000_000
+#: Tokens of a share, about: what a share returns doesn't depend on how many it has.
+SHARE_TOKENS = 2_000_000
 BATCH = 16384
 #: Runs of one row in a batch are short up to so many tokens.
 SHORT = 6
@@ -216,6 +218,17 @@ def _learn(shared):
     return run
 
 
+def _learn_share(shared):
+    """The changes that the texts of one share make, taken in the order of their keys."""
+    run = _learn(shared)
+
+    def one(share: pa.Table) -> pa.Table:
+        ordered = share.sort_by("key").select(["text"]).combine_chunks()
+        return pa.Table.from_batches(list(run(iter(ordered.to_batches()))))
+
+    return one
+
+
 def vocabulary(train: DataFrame) -> DataFrame:
     """token (hash), ending, count over all training texts."""
     counts = train.mapInArrow(_count, "token long, ending int, count long")
@@ -240,10 +253,12 @@ def fit(train: DataFrame, vocab: DataFrame, total: int) -> Model:
     model = Model(token, np.log10(count + 1.0), place, np.log10(size), *weights)
     columns = [f"d{k}" for k in range(WIDTH)]
     schema = "row int, used float, " + ", ".join(f"{c} float" for c in columns)
+    shares = max(1, round(total / (ROUNDS * SHARE_TOKENS)))
     for number in range(ROUNDS):
-        share = train.filter(F.pmod(F.col("key"), F.lit(ROUNDS)) == number).select("text").coalesce(max(1, total // TASK_TOKENS))
+        shown = train.filter(F.pmod(F.col("key"), F.lit(ROUNDS)) == number).withColumn("share", F.pmod(F.xxhash64("key"), F.lit(shares)))
         shared = spark.sparkContext.broadcast(model)
-        sums = share.mapInArrow(_learn(shared), schema).groupBy("row").agg(F.sum("used").alias("used"), *[F.sum(c).alias(c) for c in columns])
+        learnt = shown.groupBy("share").applyInArrow(_learn_share(shared), schema)
+        sums = learnt.groupBy("row").agg(F.sum("used").alias("used"), *[F.sum(c).alias(c) for c in columns])
         changes = sums.toArrow()
         row = changes.column("row").to_numpy()
         mean = np.stack([changes.column(c).to_numpy() for c in columns], axis=1) / changes.column("used").to_numpy()[:, None]

@@ -125,6 +125,42 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_jaccard_join": r"""
+with recursive worded as (
+  select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents
+), shingles as (
+  select distinct row, array_to_string(words[i : i + 2], ' ') as shingle
+  from (select row, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) as i from worded where len(words) > 0)
+), sizes as (
+  select row, count(*) as n from shingles group by row
+), shared as (
+  select a.row as a, b.row as b, count(*) as n from shingles a join shingles b on a.shingle = b.shingle and a.row <> b.row group by all
+), links as (
+  select s.a, s.b from shared s join sizes x on x.row = s.a join sizes y on y.row = s.b where 100 * s.n >= 90 * (x.n + y.n - s.n)
+), reached(row, other) as (
+  select row, row from worded union select r.row, l.b from reached r join links l on l.a = r.other
+), components as (
+  select r.row, min(w.doc_id) as component_id from reached r join worded w on w.row = r.other group by r.row
+)
+select w.doc_id, coalesce(s.n, 0)::bigint as n_shingles, c.component_id from worded w join components c on c.row = w.row left join sizes s on s.row = w.row
+""",
+    "op8_suffix_dedup": r"""
+with distinct_documents as (
+  select distinct doc_id, text from documents
+), worded as (
+  select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from distinct_documents
+), windows as (
+  select row, doc_id, start, md5(array_to_string(words[start + 1 : start + 50], ' ')) as passage
+  from (select row, doc_id, words, unnest(range(len(words) - 49)) as start from worded where len(words) >= 50)
+), again as (
+  select row, doc_id, start from windows where passage in (select passage from windows group by passage having count(*) > 1)
+), marked as (
+  select *, case when start <= lag(start) over (partition by row order by start) + 50 then 0 else 1 end as opens from again
+), runs as (
+  select *, sum(opens) over (partition by row order by start) as run from marked
+)
+select doc_id, min(start) as start_word, max(start) + 50 as end_word from runs group by row, doc_id, run
+""",
     "op3_line_dedup": r"""
 with numbered as (
   select row_number() over () as row, doc_id, hash(doc_id, text) as document, string_split(coalesce(text, ''), chr(10)) as lines from documents

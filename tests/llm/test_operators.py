@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -244,6 +245,18 @@ def test_maxent_lm_probabilities(spark, docs):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_maxent_lm_scores_are_a_function_of_the_table(spark, monkeypatch):
+    """In 1, 4 and 16 partitions, in several shares, scores agree."""
+    monkeypatch.setattr(maxent_lm, "SHARE_TOKENS", 30_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found = []
+    for n in (1, 4, 16):
+        rows = maxent_lm.score(docs.repartition(n), F.col("doc_id") % 7 == 2).collect()
+        found.append([r.score for r in sorted(rows, key=lambda r: r.doc_id)])
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], rel=1e-6)
+
+
 def test_maxent_lm_beats_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
@@ -274,8 +287,25 @@ def test_language_id(spark, docs, empty):
     clashing = test.withColumns({"_known": F.lit("mine"), "__known": F.lit("too"), "score": F.lit("old")})
     kept = language_id.predict(clashing, model, lang_pred="lp", score="sc").collect()
     assert all((r._known, r["__known"], r.score) == ("mine", "too", "old") for r in kept) and {r.doc_id: r.lp for r in kept} == {i: v[0] for i, v in got.items()}
-    few = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20, most_languages=2)
-    assert sum(len(p.classes) for p in few.languages.values()) == 2
+
+
+def test_language_id_learns_every_language(spark):
+    """Seventy languages without a table of families: all are learnt and told apart; families come from the texts."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(70):
+        rng = random.Random(k // 5)  # five languages each share half of their words
+        shared = ["".join(rng.choices(letters, k=5)) for _ in range(12)]
+        own = ["".join(random.Random(1000 + k).choices(letters, k=60))[5 * i : 5 * i + 5] for i in range(12)]
+        for i in range(14):
+            draw = random.Random(k * 100 + i)
+            rows.append((k * 100 + i, " ".join(draw.choices(shared + own, k=40)), f"x{k:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs.filter("doc_id % 100 < 10"), per_language=10)
+    assert sum(len(p.classes) for p in model.languages.values()) == 70 and len(model.families.classes) == language_id.FAMILIES_AT_MOST
+    judged = language_id.predict(docs.filter("doc_id % 100 >= 10"), model)
+    right, every = judged.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
+    assert every == 280 and right / every > 0.97 and judged.select("lang_pred").distinct().count() == 70
 
 
 def test_order_minhash(docs, rows, empty):
