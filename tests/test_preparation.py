@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyarrow import parquet
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
@@ -191,3 +192,14 @@ def test_measures_and_best_neurons_against_plain_ones(spark, points):
     assert (row.qe, row.te) == (pytest.approx(qe), pytest.approx(te))
     odd = spark.createDataFrame([(None, 1), ([0.0] * 4, 2)], "vector array<double>, k int")
     assert [(r.k, r.bmu is None) for r in som.assign(odd, book).orderBy("k").collect()] == [(1, True), (2, False)]
+
+
+def test_row_groups(spark, tmp_path, monkeypatch):
+    """No row group of the measurements has more rows than the limit."""
+    monkeypatch.setattr(tables, "GROUP_ROWS", 700)
+    rows = spark.range(2000).select(F.lit("c").alias("category"), F.col("id").cast("double").alias("value"))
+    tables.write_measurements(rows.coalesce(1), f"{tmp_path}/g")
+    files = list((tmp_path / "g").glob("*.parquet"))
+    assert len(files) == 1
+    found = parquet.ParquetFile(files[0]).metadata
+    assert [found.row_group(i).num_rows for i in range(found.num_row_groups)] == [700, 700, 600] and found.row_group(0).column(0).compression == "SNAPPY"

@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from sedgeline.plans import exported  # noqa: F401  registers its queries
 from sedgeline.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
