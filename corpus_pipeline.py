@@ -61,10 +61,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again."""
+    """All stages over documents, each written as Parquet to the shared folder and read again; only the last one's copy stays."""
     base = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}-{name}")
-        docs = spark.read.parquet(f"{base}/{number}-{name}")
+        written = f"{base}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(written)
+        docs = spark.read.parquet(written)
+        if before:
+            _remove(spark, before)
+        before = written
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """A stage's copy of the corpus goes once its successor is written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

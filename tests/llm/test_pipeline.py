@@ -1,6 +1,8 @@
 """The pipeline from end to end, against plain versions of its stages where there are any."""
 
+import os
 import re
+import urllib.parse
 from collections import Counter
 
 import pytest
@@ -33,6 +35,9 @@ def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert got.columns == [*docs.columns, "slot", "shard"] and got.filter("_key <> 'kept' or lang_pred <> 7").count() == 0
+    # Of the stages' copies of the corpus only the last is left.
+    [run] = {os.path.dirname(os.path.dirname(urllib.parse.urlparse(f).path)) for f in got.inputFiles()}
+    assert os.listdir(run) == ["4-sharding"]
     rows = got.collect()
     ids = {r.doc_id for r in rows}
     # Without letters: gone. Of the copies one stays, that of the least id. The benchmark's passage is gone.
