@@ -6,7 +6,8 @@ one byte for each of its first LENGTH words, then for the words before it, read
 sorting these bytes, over range partitions, is sorting suffixes by content. Neighbours are compared word
 by word; runs of those that share the words that a common minimiser leaves to the right are extended to
 the left and right until LENGTH words agree. A run that touches an end of a partition also sends one place
-of each of its passages to a count over all partitions.
+of each of its passages to a count over all partitions, and so does each piece of a run that is too long to
+be held.
 
 Codes only find candidates. The whole words of each candidate passage are then hashed from the texts that
 have any, and passages that are nowhere else go: so results don't depend on codes, only on 64-bit hashes
@@ -42,6 +43,8 @@ _WIDTH = LENGTH + _LEFT
 _PLACE = np.dtype([("doc", ">i8"), ("has_id", "u1"), ("text", ">i8"), ("pos", ">u4"), ("left", "u1"), ("right", "u1")])
 #: Suffixes that are compared at a time, and the runs that begin among them.
 _BLOCK = 100_000
+#: Suffixes of one run that are held at once; what a longer run has goes on as if in another partition.
+_MOST = 2 * _BLOCK
 
 
 def minimisers(word: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -132,7 +135,7 @@ def _extended(codes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[tu
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one sorted partition: first and last start of candidate passages (passage null), and passages of its first and last run, which may go on elsewhere."""
     held: list[np.ndarray] = []
-    rows, begun, limit = 0, False, _BLOCK
+    rows, open_start, limit = 0, True, _BLOCK
 
     def out(block: np.ndarray, at_start: bool, at_end: bool) -> pa.RecordBatch:
         codes, place = block[:, :_WIDTH], np.ascontiguousarray(block[:, _WIDTH:]).view(_PLACE).ravel()
@@ -166,12 +169,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # All but the last run, which may go on.
         stop = int(np.flatnonzero(_common(block) < SHARED)[-1])
         if stop:
-            yield out(block[:stop], not begun, False)
-            begun = True
+            yield out(block[:stop], open_start, False)
+            open_start = False
         held, rows = [block[stop:]], len(block) - stop
-        limit = max(_BLOCK, 2 * rows)
+        if rows >= _MOST:
+            # One run, as of a passage that is nearly everywhere: its pieces meet again in the count of passages.
+            yield out(block[stop:], True, True)
+            held, rows, open_start = [], 0, True
+        limit = min(max(_BLOCK, 2 * rows), _MOST)
     if rows:
-        yield out(np.concatenate(held), not begun, True)
+        yield out(np.concatenate(held), open_start, True)
 
 
 def _starts(ranges: list[tuple[int, int]]) -> np.ndarray:

@@ -176,6 +176,36 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.repeated_spans(empty).count() == 0
 
 
+def test_long_runs_of_suffixes_are_held_in_pieces(monkeypatch):
+    """A passage of hundreds of documents, with few suffixes held at once: the same candidates."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{' '.join(f'u{d}x{i}' for i in range(d % 13))} {passage} tail{d}" for d in range(400)] + [" ".join(f"z{i}" for i in range(90))] * 2
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text_hash": [hash(t) & 0xFFFFFFF for t in texts], "text": texts})
+    suffixes = sorted(s for b in suffix_dedup._suffixes(iter([batch])) for s in b.column("suffix").to_pylist())
+    most_held = []
+
+    def candidates(block, most):
+        monkeypatch.setattr(suffix_dedup, "_BLOCK", block)
+        monkeypatch.setattr(suffix_dedup, "_MOST", most)
+        extended = suffix_dedup._extended
+        monkeypatch.setattr(suffix_dedup, "_extended", lambda codes, place: most_held.append(len(codes)) or extended(codes, place))
+        parts = [pa.RecordBatch.from_pydict({"suffix": suffixes[i : i + 7]}) for i in range(0, len(suffixes), 7)]
+        found = [r for b in suffix_dedup._neighbours(iter(parts)) for r in b.to_pylist()]
+        monkeypatch.setattr(suffix_dedup, "_extended", extended)
+        surely = {(r["doc_id"], k) for r in found if r["passage"] is None for k in range(r["first"], r["last"] + 1)}
+        late = defaultdict(set)
+        for r in found:
+            if r["passage"] is not None:
+                late[r["passage"]].add((r["doc_id"], r["first"]))
+        return surely | {x for places in late.values() if len(places) > 1 for x in places}
+
+    want = candidates(1 << 20, 1 << 21)
+    assert {d for d, _ in want} >= set(range(400)) and max(most_held) > 300
+    for block, most in ((10, 20), (25, 50), (100, 200)):
+        most_held.clear()
+        assert candidates(block, most) == want and max(most_held) <= most + 7 + block
+
+
 def test_maxent_lm(docs, rows, empty):
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7, F.lit(0)) == 2
     got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in maxent_lm.score(docs, out).collect())
