@@ -252,9 +252,13 @@ def task_list(items: DataFrame, first_year: int = 2011, last_year: int = 2024) -
 
 
 def open_tasks(tasks: DataFrame, state: DataFrame) -> DataFrame:
-    """Tasks that are neither completed nor skipped; failed ones are tried again."""
+    """Tasks that are neither completed nor skipped; failed ones are tried again.
+
+    Both sides are sorted by path: a state holds a row for each task that ever ran, far more than the size of
+    the items that it comes from tells, so it isn't broadcast or held by a task.
+    """
     done = state.filter(F.col("status").isin("completed", "skipped_empty")).select("output_path")
-    return tasks.join(done, "output_path", "left_anti")
+    return tasks.join(done.hint("merge"), "output_path", "left_anti")
 
 
 def record_state(updates: DataFrame, path: str) -> None:
