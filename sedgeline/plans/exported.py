@@ -6,13 +6,14 @@ archives are found: in another encoding, without dates, with a column too few, d
 
 from __future__ import annotations
 
-import csv
 import io
 import math
 import uuid
 import zipfile
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,39 +25,49 @@ from sedgeline.sources import archives, stores
 #: Readings for each PARTS parts of an item, so that an archive holds a bounded number; and what is odd about some parts (by part modulo PARTS).
 READINGS, PARTS = 1_000_000, 16
 _ODD = {3: "shift_jis", 5: "undated", 6: "narrow", 7: "damaged", 8: "no_csv"}
-_TEXTS = [c for c in archives.RAW_COLUMNS if c]
 _KEYS = ["source_class", "source_item", "part"]
 
 
-def _archive(rows: list[dict], kind: str | None) -> bytes:
-    """One archive with a member for each year."""
-    years: dict[str, list[dict]] = {}
-    for r in rows:
-        years.setdefault(r["year"], []).append(r)
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-        for year in sorted(years):
-            text = io.StringIO()
-            writer = csv.writer(text)
-            columns = archives.RAW_COLUMNS[:-1] if kind == "narrow" else archives.RAW_COLUMNS
-            writer.writerow([c or f"unused_{i}" for i, c in enumerate(columns)])
-            for r in years[year]:
-                writer.writerow(["" if not c or (kind == "undated" and c == "correction_date") else r[c] or "" for c in columns])
-            name = f"{year}.txt" if kind == "no_csv" else f"{year}.csv"
-            archive.writestr(name, text.getvalue().encode("shift_jis" if kind == "shift_jis" else "utf-8"))
+def _lines(text: pa.Table) -> bytes:
+    """CSV without a header; Arrow quotes all texts or none, so quotes are only where a text needs them."""
+    for style in ("none", "needed"):
+        out = io.BytesIO()
+        try:
+            csv.write_csv(text, out, csv.WriteOptions(include_header=False, quoting_style=style))
+        except pa.ArrowInvalid:
+            continue
+        return out.getvalue()
+    raise ValueError("texts that can't be written as CSV")
+
+
+def _archive(rows: pa.Table, kind: str | None) -> bytes:
+    """One archive with a member for each year; rows are in the order of the years."""
+    columns = archives.RAW_COLUMNS[:-1] if kind == "narrow" else archives.RAW_COLUMNS
+    blank = {None, "correction_date"} if kind == "undated" else {None}
+    nothing = pa.nulls(rows.num_rows, pa.string())
+    cells = [nothing if c in blank or c not in rows.column_names else rows.column(c) for c in columns]
+    names = [c or f"unused_{i}" for i, c in enumerate(columns)]
+    text, header = pa.Table.from_arrays(cells, names), ",".join(names).encode() + b"\n"
+    out, first = io.BytesIO(), 0
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
+        for run in pc.run_end_encode(rows.column("year").combine_chunks()).run_ends.to_pylist():
+            year, content = rows.column("year")[first].as_py(), header + _lines(text.slice(first, run - first))
+            content = content.decode().encode("shift_jis") if kind == "shift_jis" else content
+            archive.writestr(f"{year}.txt" if kind == "no_csv" else f"{year}.csv", content)
+            first = run
     content = out.getvalue()
     return content[: len(content) // 2] if kind == "damaged" else content
 
 
 def export(rows: DataFrame, root: str) -> None:
-    """rows: source_class, source_item, part, year and the raw columns as text. A task writes the archives of its parts, each whole or not at all."""
+    """rows: source_class, source_item, part, year and raw columns as text; those that it lacks are blank. A task writes the archives of its parts, each whole or not at all."""
 
     def write(table: pa.Table) -> pa.Table:
-        found = table.sort_by([("year", "ascending"), ("note", "ascending")]).to_pylist()
-        if found:
-            keys = [found[0][k] for k in _KEYS]
+        if table.num_rows:
+            keys = [table.column(k)[0].as_py() for k in _KEYS]
+            found = table.sort_by([("year", "ascending"), ("note", "ascending")])
             stores.put(f"{root}/{keys[0]}/{keys[1]}/{keys[2]}.zip", _archive(found, _ODD.get(keys[2] % PARTS)))
-        return pa.table({"rows": pa.array([len(found)], pa.int64())})
+        return pa.table({"rows": pa.array([table.num_rows], pa.int64())})
 
     rows.groupBy(*_KEYS).applyInArrow(write, "rows long").agg(F.sum("rows")).collect()
 
@@ -77,7 +88,7 @@ def _exported(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
         F.year("correction_date").cast("string").alias("year"),
     ]
     root = stores.qualified(spark, f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}")
-    export(m.select(*keys, *[texts.get(c, F.lit(None).cast("string")).alias(c) for c in _TEXTS]), root)
+    export(m.select(*keys, *[x.alias(c) for c, x in texts.items()]), root)
     return root, parts
 
 

@@ -1,7 +1,10 @@
 """What queries hold in memory, move and write as their tables grow."""
 
+import zipfile
+
 from pyspark.sql import functions as F
 
+from sedgeline.plans import exported
 from sedgeline.sources import archives
 
 
@@ -18,3 +21,18 @@ def test_a_state_of_tasks_is_not_broadcast(spark):
     assert told(found.select(*tasks.columns)) == told(tasks.filter("fiscal_year % 3 = 2"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_archives_are_written_from_columns(spark, tmp_path):
+    """Raw columns that the rows lack are blank; quotes are only in members that need them."""
+    columns = "source_class string, source_item string, part int, year string, note string, category string, correction_date string"
+    rows = [("c", "i", p, y, f"n{k}", "空間線量率", f"{y}-01-02") for p in (0, 3, 6) for y in ("1992", "1993") for k in range(3)] + [("c", "i", 0, "1994", 'a,"b"\nc', None, "1994-01-02")]
+    exported.export(spark.createDataFrame(rows, columns), str(tmp_path))
+    found = archives.read_archives(spark, str(tmp_path))
+    audit = sorted((r.path.split("/")[-1], r.member, r.status, r.rows) for r in archives.file_audit(found).collect())
+    ok = [("0.zip", "1992.csv", "ok", 3), ("0.zip", "1993.csv", "ok", 3), ("0.zip", "1994.csv", "ok", 1), ("3.zip", "1992.csv", "ok", 3), ("3.zip", "1993.csv", "ok", 3)]
+    assert audit == [*ok, ("6.zip", "1992.csv", "wrong_columns", 0), ("6.zip", "1993.csv", "wrong_columns", 0)]
+    read = archives.measurements(found).select("note", "category", "correction_date", "value").collect()
+    assert sorted(map(tuple, read), key=str) == sorted([(r[4], r[5], r[6], None) for r in rows if r[2] != 6], key=str)
+    with zipfile.ZipFile(tmp_path / "c" / "i" / "0.zip") as z:
+        assert {n: b'"' in z.read(n) for n in z.namelist()} == {"1992.csv": False, "1993.csv": False, "1994.csv": True}
