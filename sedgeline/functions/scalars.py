@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from sedgeline.params import DEFAULT, Params
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_DATES = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "M/d/yyyy", "yyyyMMdd")
+#: Formats by whether a text has a colon and a slash: each text is tried in those only that may fit.
+_DATES = {
+    (True, True): ("yyyy/M/d H:mm:ss", "yyyy/M/d H:mm"),
+    (True, False): ("yyyy-MM-dd HH:mm:ss",),
+    (False, True): ("yyyy/M/d", "M/d/yyyy"),
+    (False, False): ("yyyy-MM-dd", "yyyyMMdd"),
+}
 
 
 def number(text: Column) -> Column:
@@ -18,7 +24,11 @@ def number(text: Column) -> Column:
 
 def timestamp(text: Column) -> Column:
     """A timestamp from any of several formats, row by row; null if none fits."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in _DATES]).cast("timestamp_ntz")
+    told = F.lit(None).cast("timestamp")
+    for (colon, slash), formats in _DATES.items():
+        here = (text.contains(":") == F.lit(colon)) & (text.contains("/") == F.lit(slash))
+        told = F.when(here, F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in formats])).otherwise(told)
+    return told.cast("timestamp_ntz")
 
 
 def mesh_id(text: Column) -> Column:

@@ -19,7 +19,9 @@ from collections.abc import Callable, Iterator, Sequence
 from datetime import UTC, datetime
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import csv as arrow_csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,12 +141,58 @@ def _rows(open_member: Callable[[], BinaryIO]) -> Iterator[tuple[str, list[list[
         yield "ok", part
 
 
-def _batch(path: str, size: int, member: str | None, status: str, first: int, rows: list[list[str]]) -> pa.RecordBatch:
-    n = max(1, len(rows))
-    cells = [[(r[i] if r[i] not in ("", " ") else None) for r in rows] or [None] for i, _ in _KEPT]
-    about = [pa.array([path] * n, pa.string()), pa.array([size] * n, pa.int64()), *[pa.array([x] * n, pa.string()) for x in (member, status)]]
-    names = ["path", "bytes", "member", "status", "row_no", *[c for _, c in _KEPT]]
-    return pa.RecordBatch.from_arrays([*about, pa.array(range(first, first + n), pa.int64()), *[pa.array(c, pa.string()) for c in cells]], names)
+def _plain(raw: bytes) -> pa.Table | None:
+    """The kept columns of a held member in which nothing is quoted and all is as it should be; None if _rows has to tell what it is."""
+    for encoding in ENCODINGS:
+        try:
+            text = raw.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+        break
+    else:
+        return None
+    content = text.encode()
+    ends = np.flatnonzero(np.frombuffer(content, np.uint8) == 10)
+    longest = np.diff(ends, prepend=-1, append=len(content)).max()
+    odd = b'"' in content or b"\0" in content or content.count(b"\r") != content.count(b"\r\n") or longest > csv.field_size_limit()
+    if odd or not len(ends) or content[: ends[0]].count(b",") != len(RAW_COLUMNS) - 1:
+        return None
+    names = [c or f"_{i}" for i, c in enumerate(RAW_COLUMNS)]
+    kept = [c for _, c in _KEPT]
+    try:
+        found = arrow_csv.read_csv(
+            pa.BufferReader(content),
+            arrow_csv.ReadOptions(use_threads=False, block_size=len(content) + 1, skip_rows=1, column_names=names),
+            arrow_csv.ParseOptions(quote_char=False),
+            arrow_csv.ConvertOptions(include_columns=kept, column_types=dict.fromkeys(kept, pa.string()), null_values=["", " "], strings_can_be_null=True),
+        )
+    except pa.ArrowInvalid:
+        return None
+    return found if found.column("correction_date").null_count < found.num_rows else None
+
+
+_NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
+
+
+def _batch(path: str, size: int, member: str | None, status: str, first: int, n: int, cells: list[pa.Array]) -> pa.RecordBatch:
+    about = [pa.repeat(pa.scalar(x, t), n) for x, t in ((path, pa.string()), (size, pa.int64()), (member, pa.string()), (status, pa.string()))]
+    return pa.RecordBatch.from_arrays([*about, pa.array(np.arange(first, first + n)), *cells], _NAMES)
+
+
+def _rejected(path: str, size: int, member: str | None, status: str, first: int = 0) -> pa.RecordBatch:
+    return _batch(path, size, member, status, first, 1, [pa.nulls(1, pa.string())] * len(_KEPT))
+
+
+def _parts(open_member: Callable[[], BinaryIO], raw: bytes | None) -> Iterator[tuple[str, int, list[pa.Array]]]:
+    """(status, rows, columns) in slices; a rejected member gives one status without rows. raw: its bytes, if they are held."""
+    found = None if raw is None else _plain(raw)
+    if found is None:
+        for status, rows in _rows(open_member):
+            yield status, len(rows), [pa.array([(r[i] if r[i] not in ("", " ") else None) for r in rows], pa.string()) for i, _ in _KEPT]
+        return
+    for k in range(0, found.num_rows, _SLICE):
+        part = found.slice(k, _SLICE)
+        yield "ok", part.num_rows, [c.combine_chunks() for c in part.columns]
 
 
 def _read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,25 +202,22 @@ def _read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for listed in batch.to_pylist():
             path, size, member = listed["path"], listed["bytes"], listed["member"]
             if listed["status"]:
-                yield _batch(path, size, None, listed["status"], 0, [])
+                yield _rejected(path, size, None, listed["status"])
                 continue
             first = 0
             try:
                 if held is None or held[0] != path:
                     held = (path, zipfile.ZipFile(stores.opened(path)))
                 archive = held[1]
-                if listed["size"] <= HELD_BYTES:
-                    raw = archive.read(member)
-                    open_member = lambda raw=raw: io.BytesIO(raw)
-                else:
-                    open_member = lambda archive=archive, member=member: archive.open(member)
-                for status, rows in _rows(open_member):
-                    yield _batch(path, size, member, status, first, rows)
-                    first += len(rows)
+                raw = archive.read(member) if listed["size"] <= HELD_BYTES else None
+                open_member = lambda archive=archive, member=member, raw=raw: archive.open(member) if raw is None else io.BytesIO(raw)
+                for status, n, cells in _parts(open_member, raw):
+                    yield _batch(path, size, member, status, first, n, cells) if n else _rejected(path, size, member, status, first)
+                    first += n
             except _DAMAGED:
-                yield _batch(path, size, member, "corrupt", first, [])
+                yield _rejected(path, size, member, "corrupt", first)
             except OSError:
-                yield _batch(path, size, member, "unreadable", first, [])
+                yield _rejected(path, size, member, "unreadable", first)
 
 
 def read_archives(

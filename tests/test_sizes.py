@@ -1,9 +1,12 @@
 """What queries hold in memory, move and write as their tables grow."""
 
+import io
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from sedgeline.functions import scalars
 from sedgeline.plans import exported
 from sedgeline.sources import archives
 
@@ -36,3 +39,35 @@ def test_archives_are_written_from_columns(spark, tmp_path):
     assert sorted(map(tuple, read), key=str) == sorted([(r[4], r[5], r[6], None) for r in rows if r[2] != 6], key=str)
     with zipfile.ZipFile(tmp_path / "c" / "i" / "0.zip") as z:
         assert {n: b'"' in z.read(n) for n in z.namelist()} == {"1992.csv": False, "1993.csv": False, "1994.csv": True}
+
+
+def member(lines, end="\n", encoding="utf-8"):
+    rows = [[{0: "空間線量率", 1: "A", 11: f"2012-04-{k % 28 + 1:02d}", 12: str(k), 14: " ", 29: "x y"}.get(i, "") for i in range(37)] for k in range(lines)]
+    return end.join(map(",".join, [["h"] * 37, *rows])).encode(encoding)
+
+
+def test_plain_members_are_parsed_by_columns():
+    """Just the rows of the reader of any member, or left to it."""
+    good = member(50)
+    plain = {"good": good, "mark": b"\xef\xbb\xbf" + good, "sjis": member(9, encoding="shift_jis"), "cr": member(9, "\r\n"), "ended": good + b"\n\n", "blanks": good.replace(b"\n", b"\n\n"), "one": member(1)}
+    left = {
+        "quoted": good.replace(b",x y,", b',"x,y",', 1), "narrow": good.replace(b",7,", b",", 1), "wide": good + b",", "header": good.replace(b"h,", b"", 1), "blank header": b"\n" + good, "cr only": member(9, "\r"),
+        "empty": member(0), "nothing": b"", "bytes": b"\xff\xff" + good, "nul": good.replace(b"x", b"\0", 1), "long": good.replace(b"x y", b"x" * 140_000, 1), "a space": good + b"\n ",
+    }
+    left["undated"] = b"\n".join(b",".join(b"" if i == 11 else c for i, c in enumerate(line.split(b","))) for line in good.split(b"\n"))
+    for name, raw in (plain | left).items():
+        told = list(archives._rows(lambda raw=raw: io.BytesIO(raw)))
+        want = [(status, len(rows), [[r[i] if r[i] not in ("", " ") else None for r in rows] for i, _ in archives._KEPT]) for status, rows in told]
+        assert (archives._plain(raw) is not None) == (name in plain), name
+        assert [(s, n, [c.to_pylist() for c in cells]) for s, n, cells in archives._parts(lambda raw=raw: io.BytesIO(raw), raw)] == want, name
+        assert all(c.type == pa.string() for _, _, cells in archives._parts(lambda raw=raw: io.BytesIO(raw), raw) for c in cells)
+
+
+def test_a_date_is_tried_in_the_formats_that_may_fit(spark):
+    texts = ["2012-04-01 10:11:12", " 2012-04-01 ", "2012/4/1 1:02:03", "2012/4/1 1:02", "2012/4/1", "4/1/2012", "20120401", "2012-04-01 10:11", "20120401:", "1/2", "2012-04-01/", "2012-02-30", "", "bad", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    was = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "M/d/yyyy", "yyyyMMdd")
+    every = F.coalesce(*[F.try_to_timestamp(F.trim("t"), F.lit(f)) for f in was]).cast("timestamp_ntz")
+    got = df.select(every, scalars.timestamp(F.col("t"))).collect()
+    assert [r[0] for r in got] == [r[1] for r in got] and sum(r[0] is not None for r in got) == 7
+    assert all(len(formats) <= 2 for formats in scalars._DATES.values())
