@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgeline.operators import stages
-from sedgeline.operators.stages import KEYS, MESH, STAGES, TYPE, VALUE
+from sedgeline.operators.stages import DATE, KEYS, MESH, STAGES, TYPE, VALUE
 from sedgeline.params import DEFAULT, Params
 from sedgeline.sources import stores
 
 #: Counts of a mesh: rows that pass so many stages, and whether it has several types where types are made one.
 COUNTS = [f"r{k}" for k in range(len(STAGES))]
+#: Facts of a mesh (stages.mesh_facts), also kept with its rows.
+FACTS = ["n_dates", "first_mean", "winner", "n_types"]
 _COMMIT = "batch long, settings string"
 
 
@@ -62,7 +64,7 @@ class Increments:
         """Kept rows of the meshes of facts."""
         of = facts.select(F.col(MESH).alias("_of"), F.col("batch").alias("_last"))
         kept = self._all("rows")
-        return kept.join(of, (kept[MESH] == of["_of"]) & (kept["batch"] == of["_last"]), "left_semi").drop("batch")
+        return kept.join(of, (kept[MESH] == of["_of"]) & (kept["batch"] == of["_last"]), "left_semi").drop("batch", *FACTS)
 
     def add(self, clean: DataFrame) -> int:
         """Merge a batch of cleaned rows; its number."""
@@ -79,26 +81,42 @@ class Increments:
             touched = facts.join(loaded.select(F.col(MESH).alias("_new")), F.col(MESH) == F.col("_new"), "left_semi")
             rows = rows.unionByName(self._current(touched).drop("_passed"))
             loaded = loaded.unionByName(touched.select(MESH, "r0")).groupBy(MESH).agg(F.sum("r0").alias("r0"))
-        single = rows.groupBy(*KEYS).agg(F.sum("_copies").alias("_copies"), F.min(F.struct(*rest)).alias("_first"))
+        single = rows.groupBy(*KEYS).agg(F.min(F.struct(*rest)).alias("_first"), F.sum("_copies").alias("_copies"))
         single = single.select(*[F.col(c) if c in KEYS else F.col(f"_first.{c}").alias(c) for c in columns], "_copies")
         limit = F.col("detection_lower_limit")
         detected = F.col(VALUE).isNotNull() & (limit.isNull() | F.coalesce(F.col(VALUE) > limit, F.lit(False)))
-        of_mesh = stages.mesh_facts(single.filter(detected)).select(F.col(MESH).alias("_of"), "n_dates", "first_mean", "winner", "n_types")
-        joined = single.join(of_mesh, F.col(MESH) == F.col("_of"), "left")
-        written = joined.withColumn("_passed", self._passed(detected)).drop("_of", "n_dates", "first_mean", "winner", "n_types")
-        written.write.mode("overwrite").parquet(f"{self.path}/rows/batch={n}")
+        joined = single.join(self._facts_of(single, detected), F.col(MESH) == F.col("_of"), "left")
+        # Each row goes with its mesh's facts, so that they are neither computed nor shuffled again.
+        joined.withColumn("_passed", self._passed(detected)).drop("_of").write.mode("overwrite").parquet(f"{self.path}/rows/batch={n}")
 
         kept = self.spark.read.parquet(f"{self.path}/rows/batch={n}")
         passed = [F.sum(F.when(F.col("_passed") >= k, F.col("_copies") if k < 2 else F.lit(1)).otherwise(0)).alias(f"r{k}") for k in range(1, len(STAGES))]
-        counted = kept.groupBy(F.col(MESH).alias("_counted")).agg(*passed)
-        found = stages.mesh_facts(kept.filter(detected)).withColumnRenamed(MESH, "_of")
-        full = loaded.join(counted, F.col(MESH) == F.col("_counted"), "left").join(found, F.col(MESH) == F.col("_of"), "left")
-        full = full.drop("_of", "_counted").fillna(0, COUNTS)
+        facts = [F.first(c).alias(c) for c in FACTS]
+        counted = kept.groupBy(F.col(MESH).alias("_counted")).agg(*passed, *facts)
+        full = loaded.join(counted, F.col(MESH) == F.col("_counted"), "left").drop("_counted").fillna(0, COUNTS)
         mixed = ((F.col("r5") > 0) & (F.coalesce("n_types", F.lit(0)) > 1)).alias("mixed")
-        full.select(MESH, "n_dates", "first_mean", "winner", "n_types", *COUNTS, mixed).write.mode("overwrite").parquet(f"{self.path}/facts/batch={n}")
+        full.select(MESH, *FACTS, *COUNTS, mixed).write.mode("overwrite").parquet(f"{self.path}/facts/batch={n}")
         self.spark.createDataFrame([(n, self.settings)], _COMMIT).coalesce(1).write.mode("append").json(f"{self.path}/commits")
         return n
 
+    def _facts_of(self, single: DataFrame, detected: Column) -> DataFrame:
+        """stages.mesh_facts of the detected rows, with the mesh as _of.
+
+        Conditions instead of filters, and copies in all branches: else they differ below the exchange of the
+        rows, which then isn't shared but made once for each.
+        """
+        here = detected & (F.col("_copies") > 0)
+        dated = single.groupBy(MESH, DATE).agg(F.sum(F.when(here, F.col(VALUE))).alias("_sum"), F.count_if(here).alias("_n"))
+        dates = F.col(DATE).isNotNull() & (F.col("_n") > 0)
+        first = F.min(F.when(dates, F.struct(DATE, "_sum", "_n"))).alias("_f")
+        means = dated.groupBy(F.col(MESH).alias("_of")).agg(F.when(F.sum("_n") > 0, F.count_if(dates)).alias("n_dates"), first)
+        typed = single.groupBy(MESH, TYPE).agg(F.count_if(here).alias("count"))
+        there = F.col(TYPE).isNotNull() & (F.col("count") > 0)
+        best = F.min(F.when(there, F.struct(-F.col("count"), stages.type_rank(F.col(TYPE)), F.col(TYPE).alias("type")))).alias("best")
+        winners = typed.groupBy(F.col(MESH).alias("_typed")).agg(best, F.nullif(F.count_if(there), F.lit(0)).alias("n_types"))
+        found = means.join(winners, F.col("_of") == F.col("_typed"), "left")
+        return found.select("_of", "n_dates", F.try_divide("_f._sum", F.col("_f._n")).alias("first_mean"), F.col("best.type").alias("winner"), "n_types")
+
     def _passed(self, detected: Column) -> Column:
         """How many of STAGES after the first a near row without repetitions passes."""
         gates = [

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sedgeline.functions import scalars
+from sedgeline.operators import increments, stages
+from sedgeline.params import Params
 from sedgeline.plans import exported
 from sedgeline.sources import archives
 
@@ -71,3 +73,33 @@ def test_a_date_is_tried_in_the_formats_that_may_fit(spark):
     got = df.select(every, scalars.timestamp(F.col("t"))).collect()
     assert [r[0] for r in got] == [r[1] for r in got] and sum(r[0] is not None for r in got) == 7
     assert all(len(formats) <= 2 for formats in scalars._DATES.values())
+
+
+def test_a_batch_moves_its_rows_twice(spark, tmp_path):
+    """Once to be grouped by their keys, once to meet the facts of their meshes; what stages keep stays as it is."""
+    note = F.concat(*[F.md5(F.concat_ws("-", "id", F.lit(k))) for k in range(8)])  # what a row weighs, and doesn't compress
+    mesh, kind = (F.col("id") % 97).cast("string"), F.when(F.col("id") % 31 == 0, None).when(F.col("id") % 4 == 0, "Walk").otherwise("Car")
+    day = F.date_add(F.lit("2012-01-01").cast("date"), (F.col("id") % 50).cast("int")).cast("timestamp_ntz")
+    value = F.when(F.col("id") % 41 != 0, F.col("id") / 10000)
+    rows = spark.range(20_000).select(
+        mesh.alias("mesh_id_250m"), day.alias("correction_date"), value.alias("value"), kind.alias("measurement_type"), F.lit("i").alias("source_item"),
+        (F.col("id") % 90).cast("double").alias("distance_from_fdnpp_km"), F.when(F.col("id") % 5 == 0, 0.5).alias("detection_lower_limit"), F.col("id").alias("row_no"), note.alias("note"),
+    )
+    rows.write.parquet(f"{tmp_path}/in")
+    rows, params = spark.read.parquet(f"{tmp_path}/in"), Params(distance_cutoff_km=80, dose_threshold=0.005, min_dates=4)
+    near_bytes = 256 * rows.filter("distance_from_fdnpp_km <= 80").count()
+
+    def moved():
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state, before = increments.Increments(spark, f"{tmp_path}/state", ["row_no"], params), moved()
+        state.add(rows)
+        shuffled = moved() - before
+        assert told(state.result()) == told(stages.run_stages(rows, ["row_no"], params).select(*state.result().columns))
+        assert told(state.audit()) == told(stages.stage_audit(rows, ["row_no"], params))
+        assert shuffled < 2.4 * near_bytes, (shuffled, near_bytes)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
