@@ -36,11 +36,13 @@ class Grid:
         return {i + 1: [j + 1 for j in range(len(d)) if 0 < d[i, j] < 1.1] for i in range(len(d))}
 
     def edges(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(a, b) for a, near in self.neighbours().items() for b in near], "src int, dst int")
+        pairs = [(a, b) for a, near in self.neighbours().items() for b in near]
+        # An Arrow table is sent as it is; rows would be made by Python workers, one a core.
+        return spark.createDataFrame(pa.table({name: pa.array([p[k] for p in pairs], pa.int32()) for k, name in enumerate(("src", "dst"))}))
 
 
 #: Numbers in a block of differences between vectors and neurons.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +79,8 @@ def assign(df: DataFrame, codebook: np.ndarray, vector: str = "vector") -> DataF
         fields = [pa.array(best, mask=missing), pa.array(near, mask=missing), pa.array(second, mask=alone)]
         return pa.StructArray.from_arrays(fields, ["bmu", "bmu_distance", "second"])
 
-    found = df.withColumn("_near", nearest(F.col(vector)))
+    # Else a condition on the result (a join's, that it isn't null) goes below and has all vectors assigned a second time.
+    found = df.withColumn("_near", nearest.asNondeterministic()(F.col(vector)))
     return found.select(*df.columns, "_near.bmu", "_near.bmu_distance", "_near.second")
 
 

@@ -580,9 +580,10 @@ def node_counts(spark, sf_dir):
 @query(BMU + ", counts as (select bmu, count(*) as n from bmus group by 1) select src::int as src, dst::int as dst, coalesce(a.n, 0)::bigint as n_src, coalesce(b.n, 0)::bigint as n_dst from edges left join counts a on src = a.bmu left join counts b on dst = b.bmu")
 def hex_adjacency(spark, sf_dir):
     """Neighbours on the grid, with the vectors that are mapped to either."""
-    counts = som.node_counts(_assigned(spark, sf_dir), GRID)
-    a, b = counts.select(F.col("neuron").alias("src"), F.col("n").alias("n_src")), counts.select(F.col("neuron").alias("dst"), F.col("n").alias("n_dst"))
-    return GRID.edges(spark).join(a, "src").join(b, "dst").select("src", "dst", "n_src", "n_dst")
+    # One map of all counts, as many as the grid has neurons: the vectors are assigned once, not once for either end.
+    counts = som.node_counts(_assigned(spark, sf_dir), GRID).agg(F.map_from_entries(F.collect_list(F.struct("neuron", "n"))).alias("of"))
+    ends = [F.element_at("of", F.col(c)).alias(f"n_{c}") for c in ("src", "dst")]
+    return GRID.edges(spark).crossJoin(F.broadcast(counts)).select("src", "dst", *ends)
 
 
 def _means_of_neurons(spark, sf_dir) -> np.ndarray:

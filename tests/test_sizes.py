@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sedgeline.functions import scalars
 from sedgeline.operators import increments, stages
 from sedgeline.params import Params
-from sedgeline.plans import exported
+from sedgeline.plans import exported, queries
 from sedgeline.sources import archives
 
 
@@ -103,3 +103,10 @@ def test_a_batch_moves_its_rows_twice(spark, tmp_path):
         assert shuffled < 2.4 * near_bytes, (shuffled, near_bytes)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_vectors_are_assigned_once_for_the_edges_of_a_grid(spark):
+    plan = queries.hex_adjacency(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    edges = queries.GRID.edges(spark)
+    assert edges.dtypes == [("src", "int"), ("dst", "int")] and "RDD" not in edges._jdf.queryExecution().analyzed().toString()
