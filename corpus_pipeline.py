@@ -18,8 +18,20 @@ from sedgeline.llm import decontamination, jaccard_join, language_id, mixing, sh
 from sedgeline.llm.common import ensure_checkpoint_dir, fresh
 
 
+#: Bytes of an Arrow batch that goes to Python. Spark's own bound, 64 MB, is held outside the heap, more than once in each running task.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES at most, unless the session's are smaller: what comes of a stage is planned later, so that the setting stays."""
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language; those without a letter, of which no language can be told, go."""
+    _small_batches(spark)
     model = language_id.train(docs)
     if model is None:
         return docs.filter(language_id.has_letter("text"))
@@ -30,6 +42,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of those whose sets of five-word shingles are alike to 0.8 or more."""
+    _small_batches(spark)
     return jaccard_join.one_of_each(docs, n=5, percent=80)
 
 

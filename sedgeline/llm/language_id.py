@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,12 +170,13 @@ def _sample(docs: DataFrame, per_language: int, doc_id: str, text: str, lang: st
 
 
 def _train_one(table: pa.Table) -> pa.Table:
-    """The machine of one pair from its rows (side: 1 or -1)."""
-    table = table.sort_by([("side", "descending"), ("lang", "ascending"), ("text_hash", "ascending")])
+    """The machine of one pair from its rows (side: 1 or -1). Rows are put in order by number: their features are held once, beside x."""
+    order = pc.sort_indices(table, [("side", "descending"), ("lang", "ascending"), ("text_hash", "ascending")]).to_numpy()
+    at, value = table.column("at"), table.column("value")
     x = np.zeros((table.num_rows, FEATURES), np.float32)
-    for i, (at, value) in enumerate(zip(table.column("at").to_pylist(), table.column("value").to_pylist(), strict=True)):
-        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float16)
-    w, b = _machine(x, table.column("side").to_numpy().astype(np.float32))
+    for i, k in enumerate(order.tolist()):
+        x[i, np.frombuffer(at[k].as_buffer(), np.uint16)] = np.frombuffer(value[k].as_buffer(), np.float16)
+    w, b = _machine(x, table.column("side").to_numpy()[order].astype(np.float32))
     return pa.table({"machine": table.column("machine").slice(0, 1), "weights": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([float(b)])})
 
 

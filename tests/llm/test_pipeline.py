@@ -5,6 +5,8 @@ import re
 import urllib.parse
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,41 @@ def test_stages_keep_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("slot", F.lit("s"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns, name
+
+
+def test_batches_are_small(spark, folder):
+    """Long texts go to Python in batches of a few MB, not of the 64 MB that Spark would send; a smaller setting of the session holds."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = spark.conf.get(name)
+    try:
+        for stage in (corpus_pipeline.language_stage, corpus_pipeline.near_duplicate_stage):
+            spark.conf.unset(name)
+            stage(spark, docs, folder)
+            sizes = spark.range(24, numPartitions=1).select(F.repeat(F.lit("a"), 1 << 20).alias("text"))
+            sizes = sizes.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+            assert max(r.n for r in sizes.collect()) <= 2 * corpus_pipeline.BATCH_BYTES
+            spark.conf.set(name, "1000")
+            stage(spark, docs, folder)
+            assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_machine_of_rows_in_any_order():
+    """A pair's machine is the same whatever the order and the chunks of its rows."""
+    rng = np.random.default_rng(3)
+    at = [np.sort(rng.choice(language_id.FEATURES, 40, replace=False)).astype(np.uint16) for _ in range(30)]
+    value = [rng.random(40).astype(np.float16) for _ in at]
+    side = [1 if i % 2 else -1 for i in range(30)]
+    table = pa.table({"machine": ["m"] * 30, "side": pa.array(side, pa.int32()), "lang": ["a" if s > 0 else "b" for s in side], "text_hash": list(range(30)), "at": [x.tobytes() for x in at], "value": [x.tobytes() for x in value]})
+    order = sorted(range(30), key=lambda i: (-side[i], i))
+    x = np.zeros((30, language_id.FEATURES), np.float32)
+    for i, k in enumerate(order):
+        x[i, at[k]] = value[k]
+    w, b = language_id._machine(x, np.array([side[k] for k in order], np.float32))
+    w = w.astype(np.float32)
+    mixed = table.take(rng.permutation(30))
+    for rows in (table, mixed, pa.concat_tables([mixed.slice(0, 7), mixed.slice(7)])):
+        [got] = language_id._train_one(rows).to_pylist()
+        assert np.array_equal(np.frombuffer(got["weights"], np.float32), w) and got["bias"] == b
